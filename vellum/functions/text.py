@@ -32,12 +32,12 @@ LOOSE_LOOK_ALIKE = {"α": "a", "ν": "v", "ι": "i", "ρ": "p", "υ": "u", "γ":
 # Latin letters that stand in for a Vietnamese or plain Latin one.
 LATIN_STAND_IN = {"ð": "đ", "Ð": "Đ", "ɖ": "đ", "Ɖ": "Đ", "ı": "i", "ɑ": "a", "ɡ": "g"}
 
-ZERO_WIDTH = "­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿"
-ODD_SPACE = "   -   　"
-MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿"
-FULL_WIDTH = "！-～￠-￦"
+ZERO_WIDTH = "\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff"
+ODD_SPACE = "\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff"
+FULL_WIDTH = "\uff01-\uff5e\uffe0-\uffe6"
 MATH_LETTERS = "\U0001d400-\U0001d7ff"
-OTHER_SCRIPTS = "Ͱ-ϿЀ-ԯ԰-֏"
+OTHER_SCRIPTS = "\u0370-\u03ff\u0400-\u052f\u0530-\u058f"
 
 #: Text without any of these characters is already in the one form; valid in Java and in Python.
 SUSPECT_CLASS = f"[{ZERO_WIDTH}{ODD_SPACE}{MARKS}{FULL_WIDTH}{MATH_LETTERS}{OTHER_SCRIPTS}{''.join(LATIN_STAND_IN)}]"
@@ -164,7 +164,8 @@ def fold_char(ch: str) -> str:
             if unicodedata.category(x) == "Mn":
                 continue
             out.append(x if x.isalnum() else " ")
-    return "".join(out)
+    folded = "".join(out)
+    return folded if folded.isspace() else folded.replace(" ", "")
 
 
 def fold(text: str) -> str:
