@@ -165,7 +165,7 @@ def fold_char(ch: str) -> str:
                 continue
             out.append(x if x.isalnum() else " ")
     folded = "".join(out)
-    return folded if folded.isspace() else folded.replace(" ", "")
+    return folded if len(folded) < 2 or ch.isalpha() else " "
 
 
 def fold(text: str) -> str:
