@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import leak, spans
+from vellum.llm import encoding, leak, spans
 from vellum.session import table
 
 
@@ -31,5 +31,13 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leak.leak_report(p7_found(spark, d), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_share": p4_share, "p7_found": p7_found, "p7_report": p7_report}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restore_encoding(table(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restore_encoding(table(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id", F.array_join("chains", ",").alias("chains"), "changed_words", "restored")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_share": p4_share, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLES: dict[str, str] = {}
