@@ -7,10 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import encoding, leak, spans
+from vellum.llm import encoding, forms, leak, mix, spans, split
 from vellum.session import table
 
 
+#: Vocabulary file of a public tokenizer.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "legal_units").select(F.lit("unit").alias("kind"), F.col("unit_id").alias("key"), "text")
+    candidates = table(spark, d, "candidates").select(F.lit("candidate").alias("kind"), F.col("candidate_id").alias("key"), "text")
+    return split.split_texts(units.unionByName(candidates), table(spark, d, "piece_limits"), "kind", "key", "text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pieces(spark, d).where("pieces > 1").select("item_kind", "item_key").distinct()
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "legal_units").select(F.lit("legal_units").alias("table_name"), F.col("unit_id").alias("key"), "text")
+    questions = table(spark, d, "gold_questions").select(F.lit("gold_questions").alias("table_name"), F.col("question_id").alias("key"), F.col("question").alias("text"))
+    records = table(spark, d, "portal_records").where("try_parse_json(payload) is not null")
+    records = records.select(F.lit("portal_records").alias("table_name"), F.col("record_id").cast("string").alias("key"), F.get_json_object("payload", "$.data.docName").alias("text"))
+    return units.unionByName(questions).unionByName(records)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_kinds(spark, d).select("table_name", "record_key").distinct()
+
+
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    parts = {name: _texts(spark, d).where(F.col("table_name") == name) for name in ("legal_units", "gold_questions", "portal_records")}
+    found = [forms.odd_texts(df, "key", "text").select(F.lit(name).alias("table_name"), "record_key", F.array_join("kinds", ",").alias("kinds"), "canonical") for name, df in parts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p6_same(spark: SparkSession, d: str) -> DataFrame:
+    """Unit texts that are equal in the one form, by hash: how many units and how many different written forms."""
+    units = forms.canonical_texts(table(spark, d, "legal_units").select("unit_id", "text"), "text", "form")
+    per_form = units.groupBy(F.sha2("form", 256).alias("form_sha256")).agg(F.count_distinct("unit_id").alias("units"), F.count_distinct(F.xxhash64("text")).alias("spellings"))
+    return per_form.where("spellings > 1")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"), VOCABULARY)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     runs = spans.shared_runs(table(spark, d, "legal_units"), "unit_id", "text", 150)
     return runs.select(F.col("id_a").alias("unit_a"), F.col("id_b").alias("unit_b")).distinct()
@@ -39,5 +86,12 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restore_encoding(table(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id", F.array_join("chains", ",").alias("chains"), "changed_words", "restored")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_share": p4_share, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p4_found": p4_found, "p4_share": p4_share,
+    "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_same": p6_same,
+    "p7_found": p7_found, "p7_report": p7_report,
+    "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_restored": p9_restored,
+}
 ORACLES: dict[str, str] = {}
