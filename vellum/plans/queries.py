@@ -5,10 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from vellum.functions.text import key_form
+from vellum.operators import drift, snapshots
+from vellum.session import table
+
+#: Fields of the portal payloads under all the names they have had.
+PORTAL_COLUMNS = {
+    "guid": (["data.docGUId"], "string"),
+    "identity": (["data.docIdentity"], "string"),
+    "name": (["data.docName"], "string"),
+    "content": (["data.docContent", "data.docContent.html", "data.content", "data.noiDung", "data.body.value"], "string"),
+    "effect_status": (["data.effectStatus.effectStatusName", "data.effectStatusName", "data.effectStatus"], "string"),
+    "issue_date": (["data.issueDate", "data.ngayBanHanh"], "date"),
+    "effect_date": (["data.effectDate"], "date"),
+    "expire_date": (["data.expireDate"], "date"),
+    "doc_type": (["data.docType.docTypeName"], "string"),
+    "fields": (["data.fields.fieldName"], "array"),
+    "majors": (["data.majors.majorName"], "array"),
+    "organs": (["data.organs.organName", "data.issuingOrgans.organName"], "array"),
+    "signers": (["data.signers.signerName"], "array"),
+}
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "manifest_entries")
+    formed = rows.select("snapshot_id", key_form(F.col("document_id")).alias("document_id"), key_form(F.col("content_sha256")).alias("content_sha256"), "parser_version", "delivered_at")
+    return snapshots.snapshot_changes(formed, table(spark, d, "snapshots"), "document_id", ["content_sha256", "parser_version"])
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.change_counts(p1_found(spark, d))
+
+
+def _portal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "portal_records")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(_portal(spark, d), "feed", "file_no", "file_name", "payload").select("file_name", "change", "old_path", "new_path").distinct()
+
+
+def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
+    records = _portal(spark, d)
+    flat = drift.flat_values(records, "feed", "file_no", "file_name", "payload", "data.docGUId")
+    return drift.lifespans(drift.catalogue(flat), drift.files_of(records, "feed", "file_no", "file_name"))
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    flat = drift.consistent_table(_portal(spark, d), "record_id", "feed", "file_no", "file_name", "payload", PORTAL_COLUMNS)
+    return flat.select("record_id", "feed", "file_no", *(F.array_join(c, "; ").alias(c) if kind == "array" else F.col(c) for c, (_, kind) in PORTAL_COLUMNS.items()))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found, "p1_counts": p1_counts,
+    "p5_found": p5_found, "p5_lifespans": p5_lifespans, "p5_table": p5_table,
+}
 ORACLES: dict[str, str] = {}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return p1_found(spark, sf_dir)
