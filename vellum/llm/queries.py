@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import encoding, forms, leak, mix, spans, split
+from vellum.llm import encoding, forms, leak, mix, overlap, spans, split
 from vellum.session import table
 
 
@@ -25,6 +25,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("pieces > 1").select("item_kind", "item_key").distinct()
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "gold_questions"), "question_id", "question", "split", "gold_unit_ids")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.least("train_id", "eval_id").alias("question_a"), F.greatest("train_id", "eval_id").alias("question_b")).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "gold_questions"), "question_id", "split", "source")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     units = table(spark, d, "legal_units").select(F.lit("legal_units").alias("table_name"), F.col("unit_id").alias("key"), "text")
     questions = table(spark, d, "gold_questions").select(F.lit("gold_questions").alias("table_name"), F.col("question_id").alias("key"), F.col("question").alias("text"))
@@ -88,6 +100,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p3_found": p3_found, "p3_report": p3_report,
     "p4_found": p4_found, "p4_share": p4_share,
     "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_same": p6_same,
     "p7_found": p7_found, "p7_report": p7_report,
