@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,3 +121,39 @@ def groups(lengths: list[int], most: int) -> Iterator[slice]:
         total += n
     if begin < len(lengths):
         yield slice(begin, len(lengths))
+
+
+def char_table(pattern: str) -> np.ndarray:
+    """For every code point whether it matches a one-character pattern."""
+    test = re.compile(pattern)
+    table = np.zeros(0x110000, bool)
+    table[[cp for cp in range(0x20000) if not 0xD800 <= cp < 0xE000 and test.match(chr(cp))]] = True
+    return table
+
+
+class TextScan:
+    """Texts that hold one of the characters, or one of the neighbouring pairs, given as one-character patterns."""
+
+    def __init__(self, single: str, pairs: list[tuple[str, str]] = ()) -> None:
+        self.patterns = single, list(pairs)
+        self._tables = None
+
+    def __getstate__(self) -> dict:
+        return {"patterns": self.patterns, "_tables": None}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        """Which texts (numbers); nulls are none of them."""
+        if self._tables is None:
+            single, pairs = self.patterns
+            self._tables = char_table(single), [(char_table(a), char_table(b)) for a, b in pairs]
+        single, pairs = self._tables
+        out = []
+        held = [i for i, x in enumerate(texts) if x and not x.isascii()]
+        for part in groups([len(texts[i]) for i in held], 400_000):
+            points, starts = code_points([texts[i] for i in held[part]])
+            flag = single[points]
+            for a, b in pairs:
+                flag[:-1] |= a[points[:-1]] & b[points[1:]]
+            many = np.add.reduceat(flag, starts[:-1], dtype=np.int64)
+            out += [held[part.start + i] for i in np.flatnonzero(many)]
+        return out

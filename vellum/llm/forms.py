@@ -15,21 +15,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import SUSPECT_CLASS, canonical_column, canonical_form, odd_forms
+from vellum.llm.arrays import TextScan
 
 
 def odd_texts(records: DataFrame, key: str | Column, text: str | Column) -> DataFrame:
     """Records whose text holds odd forms: record_key, kinds (array), canonical.
 
-    A scan in the JVM picks the few texts with a suspicious character; only these reach Python. Null keys and texts are
+    A scan over code points picks the few texts with a suspicious character; only these are looked at word by word. Null keys and texts are
     skipped; a repeated row comes out again; empty text holds nothing.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    source = records.select(col(key).cast("string").alias("record_key"), col(text).alias("text")).where(F.col("record_key").isNotNull() & F.col("text").rlike(SUSPECT_CLASS))
+    source = records.select(col(key).cast("string").alias("record_key"), col(text).alias("text")).where("record_key is not null and text is not null")
+    scan = TextScan(SUSPECT_CLASS)
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [(i, kinds) for i, x in enumerate(texts) if (kinds := odd_forms(x))]
+            found = [(i, kinds) for i in scan(texts) if (kinds := odd_forms(texts[i]))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("record_key").take(pa.array([i for i, _ in found], pa.int64())), pa.array([k for _, k in found], pa.list_(pa.string())), pa.array([canonical_form(texts[i]) for i, _ in found], pa.string())],
                 names=["record_key", "kinds", "canonical"],
