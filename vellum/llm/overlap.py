@@ -85,7 +85,7 @@ def shared_words(left: list[list[int]], right: list[list[int]], most: np.ndarray
     m = np.array([len(x) for x in left], np.int64)
     n = np.array([len(x) for x in right], np.int64)
     a = np.full((rows, int(m.max(initial=0)) + 1), -1, np.int64)
-    b = np.full((rows, int(n.max(initial=0)) + 2 * band + 2), -2, np.int64)
+    b = np.full((rows, int(max(m.max(initial=0), n.max(initial=0))) + 2 * band + 2), -2, np.int64)
     for i, (x, y) in enumerate(zip(left, right, strict=True)):
         a[i, : len(x)] = x
         b[i, band : band + len(y)] = y
