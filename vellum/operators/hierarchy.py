@@ -7,7 +7,7 @@ their headings are settled in three passes from the top.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TYPES = ("part", "chapter", "section", "article", "clause", "point")
@@ -133,13 +133,10 @@ def _unit_ids(heads: DataFrame) -> DataFrame:
     w = Window.partitionBy("document_id").orderBy("line_no")
     number = {name: F.last(F.when(F.col("kind") == name, F.col("number")), ignorenulls=True).over(w) for name in TYPES}
     heads = heads.select("*", *(F.when(F.col(f"at_{name}").isNotNull(), number[name]).alias(f"no_{name}") for name in TYPES))
-    made: dict[str, Column] = {}
-    for i, name in enumerate(TYPES):
-        above = [made[t] for t in reversed(TYPES[:i])]
-        # an article hangs on the document by id, on its section, chapter or part as parent
-        parent = F.coalesce(*above) if above and name != "article" else F.lit(None)
-        made[name] = F.when(F.col(f"no_{name}").isNotNull(), F.concat_ws("::", F.coalesce(parent, F.col("document_id")), F.lit(name), F.col(f"no_{name}")))
-    heads = heads.select("*", *(made[t].alias(f"id_{t}") for t in TYPES))
+    # an article hangs on the document by id, and on its section, chapter or part as parent
+    part = {name: F.when(F.col(f"no_{name}").isNotNull(), F.concat_ws("::", F.lit(name), f"no_{name}")) for name in TYPES}
+    above = {name: TYPES[: i + 1] if i < 3 else TYPES[3 : i + 1] for i, name in enumerate(TYPES)}
+    heads = heads.select("*", *(F.when(part[name].isNotNull(), F.concat_ws("::", "document_id", *(part[t] for t in above[name]))).alias(f"id_{name}") for name in TYPES))
     path = F.array_compact(F.array(*(f"id_{t}" for t in TYPES)))
     return heads.withColumn("path", path).withColumn("unit_id", F.element_at("path", -1)).withColumn("parent_id", F.try_element_at("path", F.lit(-2))).drop(*(f"id_{t}" for t in TYPES), *(f"no_{t}" for t in TYPES), *(f"at_{t}" for t in TYPES))
 

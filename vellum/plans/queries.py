@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions.text import key_form
 from vellum.operators import dense, drift, evaluation, graph, hierarchy, integrity, lexical, normalize, snapshots
 from vellum.plans.oracles import ORACLES as ORACLES
-from vellum.session import table
+from vellum.session import cut, table
 from vellum.sources import artifacts, portal
 
 #: Fields of the portal payloads under all the names they have had.
@@ -207,7 +207,7 @@ def parsed_units(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parsed_unit_violations(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.unit_violations(hierarchy.parse_units(_portal_texts(spark, d), "document_id", "text"))
+    return hierarchy.unit_violations(cut(hierarchy.parse_units(_portal_texts(spark, d), "document_id", "text")))
 
 
 @query
