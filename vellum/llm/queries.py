@@ -107,4 +107,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_restored": p9_restored,
 }
-ORACLES: dict[str, str] = {}
+_SIZED = "(select 'unit' item_kind, unit_id item_key, length(text) n from legal_units union all select 'candidate', candidate_id, length(text) from candidates)"
+ORACLES: dict[str, str] = {
+    "p2_found": f"select distinct item_kind, item_key from {_SIZED} join piece_limits using (item_kind) where n > max_chars and item_key is not null",
+    # every run of 150 characters, by hash
+    "p4_found": """with u as (select unit_id, any_value(text) text from legal_units where length(text) >= 150 group by 1),
+        g as (select distinct unit_id, md5(substring(text, i, 150)) h from (select unit_id, text, unnest(range(1, length(text) - 148)) i from u)),
+        k as (select h from g group by 1 having count(*) > 1)
+        select distinct a.unit_id unit_a, b.unit_id unit_b from g a join k using (h) join g b using (h) where a.unit_id < b.unit_id""",
+}
