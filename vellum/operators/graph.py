@@ -32,17 +32,28 @@ def one_row_each(table: DataFrame, key: str, later: str | None = None) -> DataFr
     return table.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(row, F.col(later)).alias("row")).select(*(F.col(key) if c == key else F.col(f"row.{c}").alias(c) for c in table.columns))
 
 
+def _named(documents: DataFrame) -> DataFrame:
+    """Every name of a document's metadata as listed: src, label, type, name, extra (which list it comes from, job title)."""
+    none, text = F.lit(None).cast("string"), lambda c: F.coalesce(c, F.array().cast("array<string>"))
+
+    def entry(label: str, kind: str, name: Column, extra: Column) -> Column:
+        return F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"), name.alias("name"), extra.alias("extra"))
+
+    lists = [F.array(*(entry(label, kind, F.col(column), none) for label, (kind, column) in SINGLE.items()))]
+    lists.append(F.transform(text("fields"), lambda x: entry("Field", "IN_FIELD", x, F.lit("fields"))))
+    lists.append(F.transform(text("majors"), lambda x: entry("Field", "IN_FIELD", x, F.lit("majors"))))
+    lists.append(F.transform(text("issuing_organs"), lambda x: entry("Organization", "ISSUED_BY", x, none)))
+    signers = F.coalesce(F.col("signers"), F.array().cast("array<struct<name:string,job_title:string>>"))
+    lists.append(F.transform(signers, lambda s: entry("Signer", "SIGNED_BY", s["name"], s["job_title"])))
+    every = documents.select(physical_key(F.col("snapshot_id"), F.col("document_id")).alias("src"), F.explode(F.concat(*lists)).alias("x"))
+    return every.select("src", "x.*").where("src is not null and name is not null")
+
+
 def _metadata(documents: DataFrame) -> DataFrame:
-    """document key, label, type, name and extra (field sources, job title) of every metadata edge, once each."""
-    doc = physical_key(F.col("snapshot_id"), F.col("document_id")).alias("src")
-    parts = [documents.select(doc, F.lit(label).alias("label"), F.lit(kind).alias("type"), F.col(column).alias("name"), F.lit(None).cast("string").alias("extra")) for label, (kind, column) in SINGLE.items()]
-    fields = _union([documents.select(doc, F.explode(column).alias("name"), F.lit(column).alias("source")) for column in ("fields", "majors")])
-    parts.append(fields.groupBy("src", "name").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("extra")).select("src", F.lit("Field").alias("label"), F.lit("IN_FIELD").alias("type"), "name", "extra"))
-    parts.append(documents.select(doc, F.explode("issuing_organs").alias("name")).distinct().select("src", F.lit("Organization").alias("label"), F.lit("ISSUED_BY").alias("type"), "name", F.lit(None).cast("string").alias("extra")))
-    # a signer named twice is one edge
-    signers = documents.select(doc, F.explode("signers").alias("s")).groupBy("src", F.col("s.name").alias("name")).agg(F.max("s.job_title").alias("extra"))
-    parts.append(signers.select("src", F.lit("Signer").alias("label"), F.lit("SIGNED_BY").alias("type"), "name", "extra"))
-    return _union(parts).where("src is not null and name is not null")
+    """src, label, type, name and extra (field sources, a signer's job title) of every metadata edge, once each."""
+    return _named(documents).groupBy("src", "label", "type", "name").agg(F.nullif(F.array_join(F.array_sort(F.collect_set("extra")), ","), F.lit("")).alias("sources"), F.max("extra").alias("job")).select(
+        "src", "label", "type", "name", F.when(F.col("label") == "Signer", F.col("job")).otherwise(F.col("sources")).alias("extra")
+    )
 
 
 def nodes(documents: DataFrame, units: DataFrame) -> DataFrame:
@@ -82,35 +93,20 @@ def amends(documents: DataFrame, units: DataFrame, relations: DataFrame) -> Data
 
 def expected_counts(documents: DataFrame, units: DataFrame, relations: DataFrame) -> DataFrame:
     """kind (node, edge), name, expected: what the source tables say, without building the graph."""
-    per_type = {t: F.count_if(F.col("unit_type") == t) for t in TYPES}
-    unit_counts = units.agg(*(c.alias(t) for t, c in per_type.items()))
-    stacked = ", ".join(f"'{t}', {t}" for t in TYPES)
-    by_type = unit_counts.select(F.expr(f"stack({len(TYPES)}, {stacked}) as (t, n)"))
-    names = documents.select(
-        F.explode(F.filter(F.array(
-            F.struct(F.lit("DocumentType").alias("label"), F.col("portal_document_type").alias("name")),
-            F.struct(F.lit("EffectStatus").alias("label"), F.col("source_effect_status").alias("name")),
-        ), lambda x: x["name"].isNotNull())).alias("x")
-    ).select("x.*")
-    lists = {"Field": F.array_union(F.coalesce("fields", F.array()), F.coalesce("majors", F.array())), "Organization": F.array_distinct(F.coalesce("issuing_organs", F.array())), "Signer": F.array_distinct(F.coalesce(F.expr("transform(signers, s -> s.name)"), F.array()))}
-    listed = _union([documents.select(F.lit(label).alias("label"), F.explode(column.cast("array<string>")).alias("name")) for label, column in lists.items()]).where("name is not null")
-    every = names.unionByName(listed)
-    labels = every.groupBy("label").agg(F.count_distinct("name").alias("nodes"), F.count("*").alias("edges"))
-    # one row a label: labels without names count 0
-    known = documents.sparkSession.createDataFrame([("DocumentType", "HAS_TYPE"), ("EffectStatus", "HAS_STATUS"), ("Field", "IN_FIELD"), ("Organization", "ISSUED_BY"), ("Signer", "SIGNED_BY")], "label string, type string")
-    filled = known.join(labels, "label", "left").na.fill(0)
-    total = documents.select(F.lit(1).alias("one")).unionByName(units.where(F.col("unit_type").isin(*TYPES)).select(F.lit(1).alias("one")))
-    node, edge = F.lit("node").alias("kind"), F.lit("edge").alias("kind")
-    return _union([
-        documents.select("snapshot_id").union(units.select("snapshot_id")).agg(F.count_distinct("snapshot_id").alias("expected")).select(node, F.lit("Snapshot").alias("name"), "expected"),
-        documents.agg(F.count("*").alias("expected")).select(node, F.lit("Document").alias("name"), "expected"),
-        filled.select(node, F.col("label").alias("name"), F.col("nodes").alias("expected")),
-        by_type.select(node, F.initcap("t").alias("name"), F.col("n").alias("expected")),
-        total.agg(F.count("*").alias("expected")).select(edge, F.lit("IN_SNAPSHOT").alias("name"), "expected"),
-        filled.select(edge, F.col("type").alias("name"), F.col("edges").alias("expected")),
-        by_type.select(edge, F.concat(F.lit("HAS_"), F.upper("t")).alias("name"), F.col("n").alias("expected")),
-        relations.where("relation_type = 'AMENDS'").agg(F.count_distinct("relation_id").alias("expected")).select(edge, F.lit("AMENDS").alias("name"), "expected"),
-    ])
+    unit_counts = units.agg(F.count_if(F.col("unit_type").isin(*TYPES)).alias("all"), *(F.count_if(F.col("unit_type") == t).alias(t) for t in TYPES))
+    # the names of a document, its own row and its snapshot, listed once and counted by label
+    own = documents.select(F.lit("Document").alias("label"), F.col("document_id").alias("name")).unionByName(units.select(F.lit("Snapshot").alias("label"), F.col("snapshot_id").alias("name")).distinct())
+    own = own.unionByName(documents.select(F.lit("Snapshot").alias("label"), F.col("snapshot_id").alias("name")).distinct())
+    edges_of = _named(documents).groupBy("src", "label", "name").count().select("label", "name")
+    labels = own.unionByName(edges_of).groupBy("label").agg(F.count_distinct("name").alias("nodes"), F.count("*").alias("edges"))
+    types = {"DocumentType": "HAS_TYPE", "EffectStatus": "HAS_STATUS", "Field": "IN_FIELD", "Organization": "ISSUED_BY", "Signer": "SIGNED_BY"}
+    flat = labels.agg(*(F.coalesce(F.max(F.when(F.col("label") == x, F.col(c))), F.lit(0)).alias(f"{c}_{x}") for x in ("Document", "Snapshot", *types) for c in ("nodes", "edges")))
+    amending = relations.where("relation_type = 'AMENDS'").agg(F.count_distinct("relation_id").alias("amends"))
+    wide = unit_counts.join(flat, F.lit(True)).join(amending, F.lit(True))  # one row each
+    rows = [("node", "Snapshot", "nodes_Snapshot"), ("node", "Document", "nodes_Document"), *(("node", x, f"nodes_{x}") for x in types), *(("node", t.capitalize(), t) for t in TYPES)]
+    rows += [("edge", "IN_SNAPSHOT", "`all` + nodes_Document"), *(("edge", kind, f"edges_{x}") for x, kind in types.items()), *(("edge", f"HAS_{t.upper()}", t) for t in TYPES), ("edge", "AMENDS", "amends")]
+    stacked = ", ".join(f"'{kind}', '{name}', {value}" for kind, name, value in rows)
+    return wide.select(F.expr(f"stack({len(rows)}, {stacked}) as (kind, name, expected)"))
 
 
 def observed_counts(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:

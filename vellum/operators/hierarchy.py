@@ -1,8 +1,7 @@
 """Hierarchy of headed lines (part, chapter, section, article, clause, point) as windows over a document's lines.
 
 A unit's place is found by carrying the last heading of each rank forward; a rank is open while no later heading of a
-lower rank number has closed it. Clauses only count under an open article and points under an open clause or article, so
-their headings are settled in three passes from the top.
+lower rank number has closed it. Clauses and points only count under an open article (an open clause lies in one).
 """
 
 from __future__ import annotations
@@ -69,76 +68,59 @@ def parse_units(documents: DataFrame, key: str, text: str, strict_quotes: bool =
     is its title and lines joined by line ends. Faulty hierarchies come out as they are: unit_violations finds them.
     strict_quotes counts quotation marks over all lines instead of line by line.
     """
-    lines = logical_lines(text_lines(documents, key, text))
     doc = Window.partitionBy("document_id").orderBy("line_no")
+    lines = logical_lines(text_lines(documents, key, text))
     lines = lines.withColumn("appendix", F.max(F.col("line").rlike(APPENDIX)).over(doc)).where("not appendix").drop("appendix")
-    lines = _quoted(lines, strict_quotes)
-
-    form = F.when(F.col("quoted"), None)
-    for name in TYPES:
-        form = form.when(F.col("line").rlike(HEADINGS[name]), name)
-    lines = lines.withColumn("form", form)
-    # a point's line never matches a clause and the other way round, so each pass only decides its own rank
-    top = F.when(F.col("form").isin(*TYPES[:4]), F.col("form"))
-    lines = lines.withColumn("kind", top)
-    for name in ("clause", "point"):
-        lines = _carry(lines, TYPES[:4] if name == "clause" else TYPES[:5])
-        parents = F.col("at_article").isNotNull() if name == "clause" else F.col("at_clause").isNotNull() | F.col("at_article").isNotNull()
-        lines = lines.withColumn("kind", F.when((F.col("form") == name) & parents, name).otherwise(F.col("kind"))).drop(*(f"at_{t}" for t in TYPES[: 4 if name == "clause" else 5]))
-    number, title = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name in reversed(TYPES):
-        number = F.when(F.col("kind") == name, F.regexp_extract("line", HEADINGS[name], 1)).otherwise(number)
-        title = F.when(F.col("kind") == name, F.regexp_extract("line", HEADINGS[name], 2)).otherwise(title)
-    number = F.when(F.col("kind") == "point", F.lower(number)).otherwise(F.trim(number))
-    lines = lines.withColumn("number", number).withColumn("title", F.nullif(F.regexp_replace(title, r"(?U)^\s+|\s+$", ""), F.lit("")))
-    lines = _carry(lines, TYPES)
-
-    # unit ids from the top: an article's id hangs on the document alone
-    places = [F.col(f"at_{t}") for t in TYPES]
-    owner = F.coalesce(*reversed(places))
-    lines = lines.withColumn("owner", owner).where("owner is not null")
-    structural = F.first(F.when(F.col("line_no") == F.col("owner"), F.col("kind").isin(*TYPES[:3]) & F.col("title").isNull()), ignorenulls=True).over(Window.partitionBy("document_id", "owner").orderBy("line_no"))
-    plain = (F.col("line_no") != F.col("owner")) & ~F.col("quoted")
-    upper = plain & (F.upper("line") == F.col("line")) & (F.lower("line") != F.col("line"))
-    lines = lines.withColumn("adopts", structural & upper)
-    adopted = F.min(F.when(F.col("adopts"), F.col("line_no"))).over(Window.partitionBy("document_id", "owner"))
-    lines = lines.withColumn("role", F.when(F.col("line_no") == F.col("owner"), "head").when(F.col("line_no") == adopted, "title").otherwise("body"))
-
-    heads = lines.where("role = 'head'").select("document_id", "line_no", "kind", "number", "title", *(f"at_{t}" for t in TYPES))
-    texts = lines.groupBy("document_id", F.col("owner").alias("line_no")).agg(
+    lines = _classified(_quoted(lines, strict_quotes))
+
+    # the open unit of each type at each line: its last heading, unless a later one of a lower rank closed it
+    last = {t: F.max(F.when(F.col("kind") == t, F.struct("line_no", "number"))).over(doc) for t in TYPES}
+    lines = lines.withColumns({f"last_{t}": c for t, c in last.items()})
+    above = lambda i: F.greatest(*(F.coalesce(f"last_{t}.line_no", F.lit(-1)) for t in TYPES[:i])) if i > 1 else F.coalesce("last_part.line_no", F.lit(-1))
+    is_open = {t: F.col(f"last_{t}.line_no").isNotNull() & (F.col(f"last_{t}.line_no") > above(i) if i else F.lit(True)) for i, t in enumerate(TYPES)}
+    lines = lines.withColumns({f"open_{t}": F.when(c, F.col(f"last_{t}")) for t, c in is_open.items()})
+    lines = lines.withColumn("owner", F.coalesce(*(F.col(f"open_{t}.line_no") for t in reversed(TYPES)))).where("owner is not null")
+
+    head = F.col("line_no") == F.col("owner")
+    unit = Window.partitionBy("document_id", "owner")
+    untitled = F.max(head & F.col("kind").isin(*TYPES[:3]) & F.col("title").isNull()).over(unit)
+    upper = ~head & ~F.col("quoted") & (F.upper("line") == F.col("line")) & (F.lower("line") != F.col("line"))
+    adopted = F.min(F.when(upper, F.col("line_no"))).over(unit)
+    role = F.when(head, "head").when(untitled & (F.col("line_no") == adopted), "title").otherwise("body")
+    # an article's id hangs on the document; the other ids on the unit above
+    part = {t: F.when(F.col(f"open_{t}").isNotNull(), F.concat_ws("::", F.lit(t), f"open_{t}.number")) for t in TYPES}
+    ids = [F.when(part[t].isNotNull(), F.concat_ws("::", "document_id", *(part[x] for x in (TYPES[: i + 1] if i < 3 else TYPES[3 : i + 1])))) for i, t in enumerate(TYPES)]
+    lines = lines.select("document_id", "owner", "line_no", "line", role.alias("role"), F.when(head, F.struct("kind", "number", "title", F.array_compact(F.array(*ids)).alias("path"))).alias("own"))
+    units = lines.groupBy("document_id", "owner").agg(
+        F.max("own").alias("own"),
         F.max(F.when(F.col("role") == "title", F.col("line"))).alias("adopted"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "body", F.struct("line_no", "line")))), lambda x: x["line"]).alias("body"),
     )
-    ids = _unit_ids(heads)
-    merged = ids.join(texts, ["document_id", "line_no"]).withColumn("title", F.coalesce("title", "adopted"))
-    ordinal = F.row_number().over(doc)
-    return merged.select(
-        "document_id", ordinal.alias("ordinal"), "unit_id", F.col("kind").alias("unit_type"), "number", "title",
-        F.trim(F.array_join(F.concat(F.array_compact(F.array("title")), "body"), "\n")).alias("text"), "parent_id", "path",
+    titled = units.withColumn("title", F.coalesce("own.title", "adopted"))
+    return titled.select(
+        "document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("owner")).alias("ordinal"), F.element_at("own.path", -1).alias("unit_id"), F.col("own.kind").alias("unit_type"), "own.number", "title",
+        F.trim(F.array_join(F.concat(F.array_compact(F.array("title")), "body"), "\n")).alias("text"), F.try_element_at("own.path", F.lit(-2)).alias("parent_id"), "own.path",
     )
 
 
-def _carry(lines: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """at_<type>: line number of the open unit of each type at each line (its own heading included), null where none."""
-    w = Window.partitionBy("document_id").orderBy("line_no")
-    for i, name in enumerate(types):
-        last = F.max(F.when(F.col("kind") == name, F.col("line_no"))).over(w)
-        closed = F.max(F.when(F.col("kind").isin(*TYPES[:i]), F.col("line_no"))).over(w) if i else F.lit(None).cast("int")
-        lines = lines.withColumn(f"at_{name}", F.when(closed.isNull() | (last > closed), last))
-    return lines
-
+def _classified(lines: DataFrame) -> DataFrame:
+    """kind, number and title of heading lines (null kind for others).
 
-def _unit_ids(heads: DataFrame) -> DataFrame:
-    """unit_id, parent_id and path from the numbers of the open units at each heading."""
-    w = Window.partitionBy("document_id").orderBy("line_no")
-    number = {name: F.last(F.when(F.col("kind") == name, F.col("number")), ignorenulls=True).over(w) for name in TYPES}
-    heads = heads.select("*", *(F.when(F.col(f"at_{name}").isNotNull(), number[name]).alias(f"no_{name}") for name in TYPES))
-    # an article hangs on the document by id, and on its section, chapter or part as parent
-    part = {name: F.when(F.col(f"no_{name}").isNotNull(), F.concat_ws("::", F.lit(name), f"no_{name}")) for name in TYPES}
-    above = {name: TYPES[: i + 1] if i < 3 else TYPES[3 : i + 1] for i, name in enumerate(TYPES)}
-    heads = heads.select("*", *(F.when(part[name].isNotNull(), F.concat_ws("::", "document_id", *(part[t] for t in above[name]))).alias(f"id_{name}") for name in TYPES))
-    path = F.array_compact(F.array(*(f"id_{t}" for t in TYPES)))
-    return heads.withColumn("path", path).withColumn("unit_id", F.element_at("path", -1)).withColumn("parent_id", F.try_element_at("path", F.lit(-2))).drop(*(f"id_{t}" for t in TYPES), *(f"no_{t}" for t in TYPES), *(f"at_{t}" for t in TYPES))
+    Clauses need an open article and points an open clause or article, so these are settled after the ranks above them.
+    """
+    form, found = F.when(F.col("quoted"), None), F.when(F.lit(False), F.array(F.lit("")))
+    for t in TYPES:
+        form = form.when(F.col("line").rlike(HEADINGS[t]), t)
+        found = found.when(F.col("form") == t, F.array(F.regexp_extract("line", HEADINGS[t], 1), F.regexp_extract("line", HEADINGS[t], 2)))
+    lines = lines.withColumn("form", form).withColumn("found", found)
+    doc = Window.partitionBy("document_id").orderBy("line_no")
+    seen = lambda *types: F.coalesce(F.max(F.when(F.col("form").isin(*types), F.col("line_no"))).over(doc), F.lit(-1))
+    # an article is open from its heading to the next part, chapter or section
+    lines = lines.withColumn("in_article", seen("article") > seen(*TYPES[:3]))
+    kind = F.when(~F.col("form").isin("clause", "point") | F.col("in_article"), F.col("form"))
+    number = F.when(F.col("form") == "point", F.lower(F.col("found")[0])).otherwise(F.trim(F.col("found")[0]))
+    title = F.nullif(F.regexp_replace(F.col("found")[1], r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return lines.select("document_id", "line_no", "line", "quoted", kind.alias("kind"), number.alias("number"), title.alias("title"))
 
 
 def unit_violations(units: DataFrame) -> DataFrame:

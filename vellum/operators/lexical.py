@@ -6,9 +6,14 @@ ranking; ties rank by unit_id. All questions run in one plan.
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +21,8 @@ from pyspark.sql import types as T
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}_]+"
 MAX_QUERY = 1000
+#: Queries sent to the tasks at once.
+QUERY_BLOCK = 2048
 # How a text names an article, a clause and a point, without case and accents.
 ARTICLE, CLAUSE = r"\bdieu\s+(\d+[a-z]?)\b", r"\bkhoan\s+(\d+[a-z]?)\b"
 POINT = r"(?iu)(?<![\p{L}\p{N}_])(?:điểm|diem)\s+([a-zđ])(?![\p{L}\p{N}_])"
@@ -74,27 +81,93 @@ def index_stats(units: DataFrame, key: str, text: str) -> DataFrame:
 def bm25_topk(queries: DataFrame, units: DataFrame, key: str, text: str, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """The k best units for each query: query_id, unit_id, lexical_score, lexical_rank.
 
-    queries: query_id, query (see normalized_queries); units: one row a unit. Query terms prune the postings before they
-    are scored, and a query's terms count once. scope: query_id, unit_id limits the units of queries it names. k must be
-    1 to 50 (150 for the pool that is merged with exact hits).
+    queries: query_id, query (see normalized_queries); units: one row a unit. A query's terms count once. scope
+    (query_id, document_id) limits the queries it names to units of these documents. k must be 1 to 50 (150 for the pool
+    that is merged with exact hits). Null keys and texts and queries without words find nothing.
+
+    Queries go to all tasks in blocks of bounded size; a task scores its units and keeps the best k a query, so what is
+    shuffled are k rows a query and task and the document frequencies of the queries' terms, never the hits.
     """
     if not 1 <= k <= 150:
         raise ValueError("k must be between 1 and 150")
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    held = postings(units, key, text).join(asked.select("term").distinct(), "term", "left_semi")
-    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
+    spark = units.sparkSession
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))
     stats = index_stats(units, key, text).first()
     n, mean = stats["units"], stats["mean_size"] or 1.0
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(float(mean))))
-    weighted = held.join(frequency, "term").select("term", "unit_id", weight.alias("weight"))
-    hits = asked.join(weighted, "term")
-    if scope is not None:
-        named = scope.select("query_id").distinct().withColumn("scoped", F.lit(True))
-        hits = hits.join(named, "query_id", "left").join(scope.withColumn("inside", F.lit(True)), ["query_id", "unit_id"], "left").where("scoped is null or inside")
-    scored = hits.groupBy("query_id", "unit_id").agg(F.round(F.sum("weight"), 6).alias("lexical_score"))
+    key_type, id_type = units.schema[key].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    source = units.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), (F.col("document_id") if scope is not None else F.lit(None).cast("string")).alias("document_id"), tokens(F.col(text)).alias("terms"))
+    found: DataFrame | None = None
+    for b in range(blocks):
+        here = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = here.collect()
+        limits: dict = {}
+        if scope is not None:
+            for r in scope.join(here.select("query_id"), "query_id", "left_semi").distinct().collect():
+                limits.setdefault(r["query_id"], set()).add(r["document_id"])
+        # of a block's terms (bounded by its queries) only their frequencies come back
+        terms = {t for r in rows for t in r["terms"]}
+        wanted = F.broadcast(spark.createDataFrame([(t,) for t in sorted(terms)], "term string"))
+        frequency = source.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").count()
+        idf = {r["term"]: math.log(1 + (n - r["count"] + 0.5) / (r["count"] + 0.5)) for r in frequency.collect()}
+        block = spark.sparkContext.broadcast(QueryBlock([r["query_id"] for r in rows], [r["terms"] for r in rows], idf, limits, mean, k))
+
+        def steps(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, places, scores = block.value.best(batch.column("key").to_pylist(), batch.column("document_id").to_pylist(), batch.column("terms").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("key").take(pa.array(places, pa.int64())), pa.array(scores, pa.float64())], names=["query_id", "unit_id", "lexical_score"])
+
+        part = source.mapInArrow(steps, f"query_id {id_type}, unit_id {key_type}, lexical_score double")
+        found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), "unit_id"))
-    return scored.withColumn("lexical_rank", rank).where(F.col("lexical_rank") <= k)
+    return found.withColumn("lexical_rank", rank).where(F.col("lexical_rank") <= k)
+
+
+class QueryBlock:
+    """The terms of a block of queries with their weights; scores units against all of them."""
+
+    #: Units scored at once (times the block's queries, in doubles).
+    STEP = 1000
+
+    def __init__(self, ids: list, terms: list[list[str]], idf: dict[str, float], limits: dict, mean: float, k: int) -> None:
+        self.ids, self.idf, self.limits, self.mean, self.k = ids, idf, limits, mean, k
+        self.queries: dict[str, np.ndarray] = {}
+        listed: dict[str, list[int]] = {}
+        for q, own in enumerate(terms):
+            for t in own:
+                listed.setdefault(t, []).append(q)
+        self.queries = {t: np.array(q) for t, q in listed.items() if t in idf}
+
+    def best(self, keys: list, documents: list, terms: list[list[str]]) -> tuple[list, list[int], list[float]]:
+        """(query ids, unit numbers, scores) of the k best units of these for each query."""
+        ids, places, values = [], [], []
+        for at in range(0, len(keys), self.STEP):
+            part = range(at, min(at + self.STEP, len(keys)))
+            by_term: dict[str, tuple[list[int], list[float]]] = {}
+            for i in part:
+                norm = K1 * (1 - B + B * len(terms[i]) / self.mean)
+                for t, tf in Counter(terms[i]).items():
+                    if t in self.queries:
+                        units, weights = by_term.setdefault(t, ([], []))
+                        units.append(i - at)
+                        weights.append(self.idf[t] * tf * (K1 + 1) / (tf + norm))
+            scores = np.zeros((len(part), len(self.ids)))
+            for t in sorted(by_term):
+                units, weights = by_term[t]
+                scores[np.ix_(units, self.queries[t])] += np.array(weights)[:, None]
+            scores = np.round(scores, 6)
+            order = np.array(sorted(range(len(part)), key=lambda i: keys[at + i]), np.int64)
+            for q, query in enumerate(self.ids):
+                column = scores[order, q]
+                allowed = column > 0
+                if query in self.limits:
+                    allowed &= np.array([documents[at + i] in self.limits[query] for i in order])
+                hits = np.flatnonzero(allowed)
+                for i in hits[np.argsort(-column[hits], kind="stable")[: self.k]]:
+                    ids.append(query)
+                    places.append(at + int(order[i]))
+                    values.append(float(column[i]))
+        return ids, places, values
 
 
 def locators(queries: DataFrame) -> DataFrame:
@@ -146,8 +219,7 @@ def search(queries: DataFrame, units: DataFrame, documents: DataFrame, k: int =
     if not 1 <= k <= 50:
         raise ValueError("k must be between 1 and 50")
     exact = exact_units(queries, units, documents).select("query_id", "unit_id", "exact_rank")
-    named = mentioned_documents(queries, documents, "document_id").join(units.select("document_id", "unit_id"), "document_id").select("query_id", "unit_id")
-    pool = bm25_topk(queries, units, "unit_id", "text", 3 * k, named)
+    pool = bm25_topk(queries, units, "unit_id", "text", 3 * k, mentioned_documents(queries, documents, "document_id"))
     both = exact.join(pool, ["query_id", "unit_id"], "full_outer")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("exact_rank"), F.asc_nulls_last("lexical_rank")))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "unit_id", "rank", "exact_rank", "lexical_rank", "lexical_score")
