@@ -66,6 +66,13 @@ def _genuine(token: str) -> bool:
     return any(script(c) not in ("", "latin") and c not in LOOK_ALIKE and c not in LOOSE_LOOK_ALIKE for c in unicodedata.normalize("NFD", token))
 
 
+def _stand_ins(token: str) -> str:
+    """ð and the like as đ where đ can stand: at a word's beginning or in capitals (elsewhere it's a letter of its own)."""
+    if "þ" in token.lower() or any(c in "ðɖ" and token[i - 1].isalpha() for i, c in enumerate(token) if i):
+        return token
+    return "".join(LATIN_STAND_IN.get(c, c) for c in token)
+
+
 def _resolve(token: str, near: list[str]) -> str:
     """The token in the script all of its letters can be drawn in; Latin first.
 
@@ -76,13 +83,11 @@ def _resolve(token: str, near: list[str]) -> str:
     scripts = {s for c in parts if (s := script(c))}
     others = scripts - {"latin"}
     if not others:
-        if any(c in LATIN_STAND_IN for c in token) and not any(c in "þÞæÆ" for c in token):
-            return "".join(LATIN_STAND_IN.get(c, c) for c in token)
-        return token
+        return _stand_ins(token)
     foreign = [c for c in parts if script(c) not in ("", "latin")]
     latin = sum(script(c) == "latin" for c in parts)
     every = LOOK_ALIKE | LOOSE_LOOK_ALIKE
-    if latin and all(c in every for c in foreign):
+    if latin and (all(c in LOOK_ALIKE for c in foreign) or latin >= len(foreign) and all(c in every for c in foreign)):
         table = every
     elif not latin and all(c in LOOK_ALIKE for c in foreign):
         if any(_genuine(x) and others & {script(c) for c in x} for x in near):
@@ -91,10 +96,10 @@ def _resolve(token: str, near: list[str]) -> str:
     elif latin and all(c in _LATIN_ORIGINALS for c in parts if script(c) == "latin"):
         return unicodedata.normalize("NFC", "".join(_LATIN_ORIGINALS.get(c, c) if script(c) == "latin" else c for c in parts))
     elif latin > len(foreign):
-        table = LOOK_ALIKE
+        table = every
     else:
         return token
-    return unicodedata.normalize("NFC", "".join(LATIN_STAND_IN.get(c, c) for c in (table.get(c, c) for c in parts)))
+    return _stand_ins(unicodedata.normalize("NFC", "".join(table.get(c, c) for c in parts)))
 
 
 def _spell(text: str) -> tuple[str, bool]:

@@ -158,8 +158,10 @@ def consistent_table(records: DataFrame, key: str, feed: str, file_no: str, file
     a date comes as ISO text at any time of day, as milliseconds since 1970 or as [year, month, day]; text comes as
     text, number or a list of texts (joined by line ends). What can't be cast is null. Rows repeated as a whole come once.
     """
-    found = {path: name for name, (aliases, _) in columns.items() for path in aliases}
-    rank = {path: i for _, (aliases, _) in columns.items() for i, path in enumerate(aliases)}
+    wanted: dict[str, list[tuple[str, int]]] = {}
+    for name, (aliases, _) in columns.items():
+        for i, path in enumerate(aliases):
+            wanted.setdefault(path, []).append((name, i))
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,8 +172,9 @@ def consistent_table(records: DataFrame, key: str, feed: str, file_no: str, file
                     continue
                 best: dict[str, tuple[int, list]] = {}
                 for path, own in fields.items():
-                    if (name := found.get(path)) and (name not in best or rank[path] < best[name][0]):
-                        best[name] = (rank[path], own)
+                    for name, place in wanted.get(path, ()):
+                        if name not in best or place < best[name][0]:
+                            best[name] = (place, own)
                 rows.append((i, {name: _cast(best[name][1], kind) for name, (_, kind) in columns.items() if name in best}))
             take = pa.array([i for i, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
