@@ -204,5 +204,5 @@ def words_column(column: Column) -> Column:
 
 
 def key_form(column: Column) -> Column:
-    """Ids and hashes written differently: the one form, trimmed, in capitals."""
-    return F.upper(F.trim(canonical_column(column)))
+    """Ids and hashes written differently: the one form, trimmed, in capitals (before, so that ð is seen as a capital)."""
+    return F.upper(F.trim(canonical_column(F.upper(column))))

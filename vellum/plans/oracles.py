@@ -8,10 +8,21 @@ _FORM = LOOK_ALIKE | LATIN_STAND_IN | {chr(c): chr(c - 0xFEE0) for c in range(0x
 _PLAIN = "".join(_FORM.values()).replace("'", "''")
 
 
+_INVISIBLE = "".join(rf"\x{{{ord(c):x}}}" if c != "-" else "-" for c in ZERO_WIDTH)
+
+
+def form(column: str) -> str:
+    """Nothing invisible, look-alikes and full-width letters as plain ones, composed."""
+    return f"translate(regexp_replace(nfc_normalize({column}), '[{_INVISIBLE}]', '', 'g'), '{''.join(_FORM)}', '{_PLAIN}')"
+
+
+def folded_words(column: str) -> str:
+    """Words without case and accents, as a list."""
+    return f"regexp_extract_all(replace(strip_accents(lower({form(column)})), 'đ', 'd'), '[\\p{{L}}\\p{{N}}]+')"
+
+
 def _key(column: str) -> str:
-    """The one form of an id: nothing invisible, look-alikes and full-width letters as plain ones, trimmed, in capitals."""
-    invisible = "".join(rf"\x{{{ord(c):x}}}" if c != "-" else "-" for c in ZERO_WIDTH)
-    return f"upper(trim(translate(regexp_replace(nfc_normalize({column}), '[{invisible}]', '', 'g'), '{''.join(_FORM)}', '{_PLAIN}')))"
+    return f"upper(trim({form(column)}))"
 
 
 UNITS = "u as (select * exclude (n) from (select *, row_number() over (partition by unit_id order by loaded_at desc) n from legal_units where unit_id is not null) where n = 1)"
@@ -98,14 +109,16 @@ VALID = f"""v as (select distinct record_id, payload from portal_records), ok as
     and {' and '.join(f"json_type(payload, '$.data.{c}') not in ('NULL') and trim({_PAYLOAD.format(c)}) <> ''" for c in ("docGUId", "docIdentity", "docName", "docContent"))}
     )"""
 
-ORACLES: dict[str, str] = {
-    "p1_found": f"""with o as (select snapshot_id, row_number() over (order by taken_at, snapshot_id) n from snapshots),
+_P1 = f"""with o as (select snapshot_id, row_number() over (order by taken_at, snapshot_id) n from snapshots),
         m as (select n, {_key("document_id")} document_id, {_key("content_sha256")} h, parser_version p from manifest_entries join o using (snapshot_id) where document_id is not null
             qualify row_number() over (partition by n, {_key("document_id")} order by delivered_at desc nulls last, (content_sha256 is not null) desc, (parser_version is not null) desc, {_key("content_sha256")} desc, parser_version desc) = 1),
         j as (select coalesce(a.n, b.n + 1) n, coalesce(a.document_id, b.document_id) document_id,
             case when b.n is null then 'added' when a.n is null then 'removed' when a.h is distinct from b.h or a.p is distinct from b.p then 'changed' end change
-            from m a full join m b on a.document_id = b.document_id and a.n = b.n + 1)
-        select snapshot_id, document_id, change from j join o using (n) where change is not null and n > 1""",
+            from m a full join m b on a.document_id = b.document_id and a.n = b.n + 1)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": _P1 + " select snapshot_id, document_id, change from j join o using (n) where change is not null and n > 1",
+    "p1_counts": _P1 + " select snapshot_id, " + ", ".join(f"count(*) filter (change = '{c}') {c}" for c in ("added", "removed", "changed")) + " from j join o using (n) where change is not null and n > 1 group by 1",
     "raw_receipts": "select sha256(payload) content_sha256, strftime(min(delivered_at), '%Y-%m-%d %H:%M:%S') retrieved_at, count(*) deliveries from portal_records where payload is not null group by 1",
     "raw_new_contents": "select distinct sha256(payload) content_sha256, length(payload) chars from portal_records where file_no = 12 and payload not in (select payload from portal_records where file_no < 12 and payload is not null)",
     "manifest_upsert": f"""with a as {_manifest("traffic-r11", "content_sha256", "parser_version", "artifact_version")}, b as {_manifest("traffic-r12", "content_sha256", "parser_version", "artifact_version")},
