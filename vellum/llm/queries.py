@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.text import LOOK_ALIKE
 from vellum.llm import encoding, forms, leak, mix, overlap, spans, split
+from vellum.plans.oracles import folded_words
 from vellum.session import table
 
 
@@ -108,6 +110,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found, "p9_restored": p9_restored,
 }
 _SIZED = "(select 'unit' item_kind, unit_id item_key, length(text) n from legal_units union all select 'candidate', candidate_id, length(text) from candidates)"
+_ALIKE = "".join(LOOK_ALIKE)
+#: Text that holds an odd form: full width, invisible, another space, an accent that composes, or a letter of another script beside Latin ones or in a word of look-alikes only.
+_ODD = f"""(regexp_matches(t, '[\\x{{ff01}}-\\x{{ff5e}}\\x{{ffe0}}-\\x{{ffe6}}\\x{{ad}}\\x{{34f}}\\x{{61c}}\\x{{180e}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{206f}}\\x{{feff}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')
+    or regexp_matches(t, '\\p{{L}}\\p{{Mn}}') and nfc_normalize(t) <> t
+    or regexp_matches(t, '(^|[^\\p{{L}}\\p{{Mn}}])[ðɖ]|[ÐƉ]|\\p{{Latin}}\\p{{Mn}}*[\\p{{Cyrillic}}\\p{{Greek}}]|[\\p{{Cyrillic}}\\p{{Greek}}]\\p{{Mn}}*\\p{{Latin}}|(^|[^\\p{{L}}\\p{{Mn}}])([{_ALIKE}]\\p{{Mn}}*)+($|[^\\p{{L}}\\p{{Mn}}])'))"""
+_ODD_TEXTS = """(select 'legal_units' table_name, unit_id record_key, text t from legal_units union all select 'gold_questions', question_id, question from gold_questions
+    union all select 'portal_records', cast(record_id as varchar), json_extract_string(payload, '$.data.docName') from portal_records where json_valid(payload))"""
+_PAIRS = f"""with q as (select distinct question_id, lower(trim(split)) split, gold_unit_ids, {folded_words("question")} ws from gold_questions where question is not null),
+    n as (select question_id, split, unnest(gold_unit_ids) u, len(ws) n from q where len(ws) > 0),
+    w as (select question_id, word, count(*) c from (select question_id, unnest(ws) word from q) group by 1, 2),
+    p as (select distinct a.question_id t, b.question_id e, b.split, greatest(a.n, b.n) n from n a join n b using (u) where a.split = 'train' and b.split in ('dev', 'test')),
+    f as (select t, e, p.split, n, sum(least(a.c, b.c)) both_have from p join w a on a.question_id = t join w b on b.question_id = e and b.word = a.word group by all)"""
+_LEAKS = f"""with d as (select doc_id, {folded_words("text")} ws from documents where text is not null), i as (select item_id, {folded_words("passage")} ws from eval_items where passage is not null),
+    dg as (select doc_id, md5(array_to_string(ws[k:k + 24], ' ')) g from (select doc_id, ws, unnest(range(1, len(ws) - 23)) k from d where len(ws) >= 25)),
+    ig as (select item_id, md5(array_to_string(ws[k:k + 24], ' ')) g from (select item_id, ws, unnest(range(1, len(ws) - 23)) k from i where len(ws) >= 25)),
+    found as (select distinct doc_id, item_id from dg join ig using (g))"""
 ORACLES: dict[str, str] = {
     "p2_found": f"select distinct item_kind, item_key from {_SIZED} join piece_limits using (item_kind) where n > max_chars and item_key is not null",
     # every run of 150 characters, by hash
@@ -115,4 +133,10 @@ ORACLES: dict[str, str] = {
         g as (select distinct unit_id, md5(substring(text, i, 150)) h from (select unit_id, text, unnest(range(1, length(text) - 148)) i from u)),
         k as (select h from g group by 1 having count(*) > 1)
         select distinct a.unit_id unit_a, b.unit_id unit_b from g a join k using (h) join g b using (h) where a.unit_id < b.unit_id""",
+    "p3_found": _PAIRS + " select distinct least(t, e) question_a, greatest(t, e) question_b from f where 5 * both_have >= 4 * n",
+    "p3_report": _PAIRS + """, h as (select e question_id, split, count(distinct t) pairs from f where 5 * both_have >= 4 * n group by 1, 2), b as (select distinct question_id, lower(trim(split)) split, source from gold_questions)
+        select split, source, count(*) questions, count(pairs) overlapping, cast(coalesce(sum(pairs), 0) as bigint) pairs from b left join h using (question_id, split) where split in ('dev', 'test') group by 1, 2""",
+    "p6_found": f"select distinct table_name, record_key from {_ODD_TEXTS} where record_key is not null and {_ODD}",
+    "p7_found": _LEAKS + " select doc_id, item_id from found",
+    "p7_report": _LEAKS + ", h as (select item_id, count(*) hits from found group by 1) select split, source, count(*) items, count(hits) leaked_items, cast(coalesce(sum(hits), 0) as bigint) hits from eval_items left join h using (item_id) group by 1, 2",
 }
