@@ -37,8 +37,8 @@ def evaluation_cases(questions: DataFrame, ranking: DataFrame) -> DataFrame:
 
 def evaluation_metrics(cases: DataFrame) -> DataFrame:
     """One row: macro recalls, MRR at 10 and counts of full hits, partial hits and misses."""
-    means = [F.round(F.avg(f"{kind}_recall_{k}"), 6).alias(f"{kind}_recall_{k}") for kind in ("unit", "document") for k in DEPTHS]
-    return cases.agg(F.count("*").alias("questions"), *means, F.round(F.avg("reciprocal_rank"), 6).alias("mrr_10"), *(F.count_if(F.col("status") == s).alias(s) for s in ("full_hit", "partial_hit", "miss")))
+    means = [F.round(F.avg(f"{kind}_recall_{k}"), 9).alias(f"{kind}_recall_{k}") for kind in ("unit", "document") for k in DEPTHS]
+    return cases.agg(F.count("*").alias("questions"), *means, F.round(F.avg("reciprocal_rank"), 9).alias("mrr_10"), *(F.count_if(F.col("status") == s).alias(s) for s in ("full_hit", "partial_hit", "miss")))
 
 
 def ndcg(questions: DataFrame, ranking: DataFrame, depth: int = 10) -> DataFrame:

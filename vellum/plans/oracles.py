@@ -56,7 +56,7 @@ _RECALLS = ", ".join(
     for kind, gold, ranked in (("unit", "gold_unit_ids", "us"), ("document", "gold_document_ids", "ds"))
     for k in (1, 3, 5, 10)
 )
-_METRICS = "count(*) questions, " + ", ".join(f"round(avg({kind}_recall_{k}), 6) {kind}_recall_{k}" for kind in ("unit", "document") for k in (1, 3, 5, 10)) + ", round(avg(reciprocal_rank), 6) mrr_10, " + ", ".join(f"count(*) filter (status = '{s}') {s}" for s in ("full_hit", "partial_hit", "miss"))
+_METRICS = "count(*) questions, " + ", ".join(f"round(avg({kind}_recall_{k}), 9) {kind}_recall_{k}" for kind in ("unit", "document") for k in (1, 3, 5, 10)) + ", round(avg(reciprocal_rank), 9) mrr_10, " + ", ".join(f"count(*) filter (status = '{s}') {s}" for s in ("full_hit", "partial_hit", "miss"))
 _PKEY = "concat_ws('::', snapshot_id, {0})"
 NODES = f"""nodes as (
     select distinct 'Snapshot' label, snapshot_id "key" from (select snapshot_id from d union select snapshot_id from u) where snapshot_id is not null
