@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from vellum.functions.text import words
 from vellum.llm import encoding, forms, leak, mix, overlap, spans, split
 
@@ -125,8 +127,9 @@ def test_shared_runs_match_brute_force(spark, monkeypatch):
     rows += [("u01", rows[1][1]), ("nil", None), (None, shared[4]), ("rep", "ab" * 40), ("rep2", "ab" * 30), ("same", "c" * 35), ("same2", "c" * 31)]
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "unit string, text string, length int, uid int")
     want = _brute_pairs([r for r in rows if r[0]], 30)
-    for hot in (64, 3):
+    for hot, step in ((64, 400_000), (3, 400_000), (64, 47)):
         monkeypatch.setattr(spans, "HOT", hot)
+        monkeypatch.setattr(spans, "STEP", step)
         runs = spans.shared_runs(df, "unit", "text", 30).collect()
         assert {(r["id_a"], r["id_b"]) for r in runs} == want
         by = dict(rows)
@@ -239,3 +242,35 @@ def test_lost_bytes_and_empty_input(spark):
     lang = encoding.Language([VI.encode(), "người điều thời gian".encode()])
     assert encoding.Restorer([lang]).restore("NgÆ°á»�i Ä‘iá»�u")[0] == "Người điều"
     assert encoding.restore_encoding(spark.createDataFrame([], "id int, text string, lang string"), "id", "text", "lang").count() == 0
+
+
+# very long texts, and a key that holds a third of the rows
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(11)
+    long = [" ".join(rng.choice(["xe", "tải", "dừng", "đỗ", "đường"]) + str(rng.randrange(10**6)) for _ in range(40_000)) for _ in range(2)]
+    passage = " ".join(long[0].split()[20_000:20_040])
+    docs = spark.createDataFrame([(1, long[0], "vi"), (2, long[1] + " " + passage, "vi"), (3, "tại ".encode().decode("latin-1") * 9000, "vi")], "id bigint, text string, lang string")
+    items = spark.createDataFrame([(7, passage)], "item bigint, passage string")
+    assert {tuple(r) for r in leak.contained_items(docs, "id", "text", items, "item", "passage").collect()} == {(1, 7), (2, 7)}
+    runs = spans.shared_runs(docs, "id", "text").collect()
+    assert [(r["id_a"], r["id_b"]) for r in runs] == [(1, 2)] and runs[0]["length"] >= len(passage)
+    assert {r["doc_id"] for r in encoding.restore_encoding(docs, "id", "text", "lang").collect()} == {3}
+    assert {r["record_key"] for r in forms.odd_texts(docs.withColumn("text", F.concat("text", F.lit("​"))).where("id <> 2"), "id", "text").collect()} == {"1", "3"}
+    pieces = _pieces(spark, [("unit", "a", long[0])], [("unit", 1200, 120)])["unit", "a"]
+    assert "".join(p["text"][0 if p["piece_no"] == 1 else 120 :] for p in pieces) == long[0]
+    words_a = long[0].split()[:1500]
+    pairs = spark.createDataFrame([("a", " ".join(words_a), "train", ["u"]), ("b", " ".join(words_a[100:] + ["x"] * 90), "dev", ["u"])], "id string, text string, split string, units array<string>")
+    assert overlap.overlaps(pairs, "id", "text", "split", "units").count() == 1
+
+
+def test_hot_keys(spark):
+    # one unit, one text, one source and one document hold a third of the rows
+    rows = [(f"q{i:03}", f"câu hỏi số {i % 60} về xe tải dừng đỗ trên đường {i % 7}", "train" if i % 2 else "dev", ["hot"] if i % 3 == 0 else [f"u{i}"]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id string, text string, split string, units array<string>")
+    got = {(r["train_id"], r["eval_id"]) for r in overlap.overlaps(df, "id", "text", "split", "units").collect()}
+    hot = [(k, words(t), s) for k, t, s, u in rows if u == ["hot"]]
+    assert got == {(a, b) for a, wa, sa in hot for b, wb, sb in hot if sa == "train" and sb == "dev" and 5 * sum(min(wa.count(w), wb.count(w)) for w in set(wa)) >= 4 * max(len(wa), len(wb))}
+    copies = spark.createDataFrame([(f"c{i:03}", VI * 2 if i % 3 == 0 else VI[:100] + f"{i:03}" * 20) for i in range(240)], "unit string, text string")
+    assert spans.shared_runs(copies, "unit", "text").select("id_a", "id_b").distinct().count() == 80 * 79 // 2

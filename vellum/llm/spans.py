@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from vellum.llm.arrays import code_points, gram_hashes, groups, sliding
 from vellum.session import cut
 
-#: Characters per numpy step; bounds a task's memory, not the result.
+#: Characters per numpy step (longer texts take several); bounds a task's memory, not the result.
 STEP = 400_000
 #: A hash in more windows than this is compared by whole runs instead of by pairs of windows.
 HOT = 64
@@ -69,10 +69,13 @@ def _windows(source: DataFrame, run: int, gram: int) -> DataFrame:
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("uid").to_numpy(), batch.column("text").to_pylist()
-            for part in groups([len(x) for x in texts], STEP):
-                text, h, at, left, right = compact_windows(texts[part], run, gram)
+            # a long text is worked on in parts; every run lies whole in one of them
+            parts = [(i, begin) for i, x in enumerate(texts) for begin in range(0, max(1, len(x) - run + 1), STEP)]
+            for some in groups([min(STEP, len(texts[i])) for i, _ in parts], STEP):
+                owner, begins = (np.array(x) for x in zip(*parts[some], strict=True))
+                text, h, at, left, right = compact_windows([texts[i][b : b + STEP + run - 1] for i, b in parts[some]], run, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(ids[part][text]), *(pa.array(x.astype(np.int32)) for x in (at, left, right))],
+                    [pa.array(h), pa.array(ids[owner[text]]), *(pa.array(x.astype(np.int32)) for x in (at + begins[text], left, right))],
                     names=["h", "uid", "at", "free_left", "free_right"],
                 )
 
