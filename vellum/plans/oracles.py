@@ -103,11 +103,29 @@ def _code(code: str, table: str, key: str, test: str) -> str:
     return f"select {key}, '{code}' code from {table} where coalesce({test}, true)"
 
 
-_PAYLOAD = "json_extract_string(payload, '$.data.{0}')"
-VALID = f"""v as (select distinct record_id, payload from portal_records), ok as (select * from v where json_valid(payload) and json_extract_string(payload, '$.success') = 'true' and json_type(payload, '$.success') = 'BOOLEAN'
-    and json_type(payload, '$.tabName') is not null
-    and {' and '.join(f"json_type(payload, '$.data.{c}') not in ('NULL') and trim({_PAYLOAD.format(c)}) <> ''" for c in ("docGUId", "docIdentity", "docName", "docContent"))}
-    )"""
+def _json(path: str) -> str:
+    return f"json_extract_string(payload, '$.{path}')"
+
+
+def _kind(path: str) -> str:
+    return f"coalesce(json_type(payload, '$.{path}'), 'NULL')"
+
+
+def _names(path: str, name: str) -> str:
+    """Distinct names of a list of objects, in order."""
+    return f"(select coalesce(array_to_string(list(n order by i), '; '), '') from (select n, min(i) i from (select unnest(json_extract_string(payload, '$.data.{path}[*].{name}')) n, unnest(range(len(json_extract_string(payload, '$.data.{path}[*].{name}')))) i) where n is not null group by 1))"
+
+
+_DAY = "'^[0-9]{4}-[0-9]{2}-[0-9]{2}(T00:00(:00(\\.0+)?)?(Z|[+-]00:00)?)?$'"
+_VALID = " and ".join([
+    f"{_kind('success')} = 'BOOLEAN'", f"{_json('success')} = 'true'", f"{_kind('tabName')} = 'VARCHAR'",
+    *(f"{_kind('data.' + c)} = 'VARCHAR' and trim({_json('data.' + c)}) <> ''" for c in ("docGUId", "docIdentity", "docName", "docContent")),
+    *(f"({_kind('data.' + c)} = 'NULL' or {_kind('data.' + c)} = 'VARCHAR' and ({_json('data.' + c)} = '' or regexp_matches({_json('data.' + c)}, {_DAY}) and try_cast({_json('data.' + c)}[1:10] as date) is not null))" for c in ("issueDate", "effectDate", "expireDate")),
+    *(f"({_kind('data.' + c)} = 'NULL' or {_kind('data.' + c)} = 'OBJECT' and {_kind(f'data.{c}.{n}')} = 'VARCHAR')" for c, n in (("effectStatus", "effectStatusName"), ("docType", "docTypeName"))),
+    *(f"({_kind('data.' + c)} = 'NULL' or {_kind('data.' + c)} = 'ARRAY' and len(list_filter(json_extract(payload, '$.data.{c}[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0)" for c in ("fields", "majors", "organs", "signers")),
+])
+RESPONSES = f"""p as (select distinct record_id, payload from portal_records), j as (select * from p where payload is not null and json_valid(payload)),
+    ok as (select * from j where coalesce({_VALID}, false))"""
 
 _P1 = f"""with o as (select snapshot_id, row_number() over (order by taken_at, snapshot_id) n from snapshots),
         m as (select n, {_key("document_id")} document_id, {_key("content_sha256")} h, parser_version p from manifest_entries join o using (snapshot_id) where document_id is not null
@@ -119,6 +137,15 @@ _P1 = f"""with o as (select snapshot_id, row_number() over (order by taken_at, s
 ORACLES: dict[str, str] = {
     "p1_found": _P1 + " select snapshot_id, document_id, change from j join o using (n) where change is not null and n > 1",
     "p1_counts": _P1 + " select snapshot_id, " + ", ".join(f"count(*) filter (change = '{c}') {c}" for c in ("added", "removed", "changed")) + " from j join o using (n) where change is not null and n > 1 group by 1",
+    "canonical_documents": _with(RESPONSES) + f"""select record_id, {_json("data.docGUId")} portal_document_guid, {_json("data.docIdentity")} document_id, {_json("data.docName")} title,
+        case when contains({_json("data.docIdentity")}, '/QH') then 'law' when contains({_json("data.docIdentity")}, '/NĐ-CP') then 'decree' when contains({_json("data.docIdentity")}, '/TT-') then 'circular' when contains({_json("data.docIdentity")}, '/QĐ-') then 'decision' else 'other' end document_type,
+        {_json("data.docType.docTypeName")} portal_document_type, nullif(split_part({_names("organs", "organName")}, '; ', 1), '') issuer, {_names("fields", "fieldName")} fields, {_names("majors", "majorName")} majors, {_names("organs", "organName")} issuing_organs,
+        cast(coalesce(json_array_length(payload, '$.data.signers'), 0) as bigint) signers, try_cast({_json("data.issueDate")}[1:10] as date) issued_date, try_cast({_json("data.effectDate")}[1:10] as date) effective_from,
+        {_json("data.effectStatus.effectStatusName")} source_effect_status, case {_json("data.effectStatus.effectStatusName")} when 'Còn hiệu lực' then 'current' when 'Hết hiệu lực' then 'repealed' when 'Hết hiệu lực một phần' then 'amended' else 'unknown' end status, sha256(payload) content_sha256 from ok""",
+    "quarantine": _with(RESPONSES) + "select record_id, 'SCHEMA' code from p where record_id not in (select record_id from ok)",
+    "catalog_identity": _with(DOCS, RESPONSES, f"f as (select distinct {_json('data.docGUId')} g, {_json('data.docIdentity')} i, {_json('data.docName')} t from ok)", "x as (select d.portal_document_guid document_guid, document_id, title, i, t from d left join f on g = d.portal_document_guid)",
+        f"c as (select document_guid, case when i is null then 'MISSING' when i <> document_id then 'IDENTITY' when {BLANKS.format('t').replace('nfc_normalize(t)', 't')} <> {BLANKS.format('title').replace('nfc_normalize(title)', 'title')} then 'TITLE' end code from x)")
+    + "select distinct document_guid, code from c where code is not null",
     "raw_receipts": "select sha256(payload) content_sha256, strftime(min(delivered_at), '%Y-%m-%d %H:%M:%S') retrieved_at, count(*) deliveries from portal_records where payload is not null group by 1",
     "raw_new_contents": "select distinct sha256(payload) content_sha256, length(payload) chars from portal_records where file_no = 12 and payload not in (select payload from portal_records where file_no < 12 and payload is not null)",
     "manifest_upsert": f"""with a as {_manifest("traffic-r11", "content_sha256", "parser_version", "artifact_version")}, b as {_manifest("traffic-r12", "content_sha256", "parser_version", "artifact_version")},

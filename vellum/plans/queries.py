@@ -110,7 +110,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 def canonical_documents(spark: SparkSession, d: str) -> DataFrame:
     documents, _ = portal.canonical_documents(table(spark, d, "portal_records"), "record_id", "payload")
     flat = [F.array_join(c, "; ").alias(c) for c in ("fields", "majors", "issuing_organs")]
-    return documents.select("record_id", "portal_document_guid", "document_id", "title", "document_type", "portal_document_type", "issuer", *flat, F.size("signers").cast("long").alias("signers"), "issued_date", "effective_from", "source_effect_status", "status", "content_sha256")
+    return documents.select("record_id", "portal_document_guid", "document_id", "title", "document_type", "portal_document_type", "issuer", *flat, F.coalesce(F.size("signers"), F.lit(0)).cast("long").alias("signers"), "issued_date", "effective_from", "source_effect_status", "status", "content_sha256")
 
 
 @query

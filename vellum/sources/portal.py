@@ -63,6 +63,28 @@ def _names(array: str, name: str) -> Column:
     return F.coalesce(F.array_distinct(F.array_compact(F.transform(array, lambda x: x[name]))), F.array().cast("array<string>"))
 
 
+def _valid() -> Column:
+    """Whether the parsed payload v has the response schema: kinds of values, required texts, success, whole days.
+
+    Checked on the JSON itself, as reading it under a schema would turn other kinds of values into text or null.
+    """
+    part = lambda path: F.expr(f"try_variant_get(v, '$.{path}', 'variant')")
+    text = lambda path: F.expr(f"try_variant_get(v, '$.{path}', 'string')")
+    # VOID is a JSON null; a missing value has no kind
+    kind = lambda path: F.coalesce(F.schema_of_variant(part(path)), F.lit("VOID"))
+    valid = F.col("v").isNotNull() & (kind("success") == "BOOLEAN") & (text("success") == "true") & (kind("tabName") == "STRING")
+    for c in ("docGUId", "docIdentity", "docName", "docContent"):
+        valid = valid & (kind(f"data.{c}") == "STRING") & (F.trim(text(f"data.{c}")) != "")
+    for c in ("issueDate", "effectDate", "expireDate"):
+        day = (kind(f"data.{c}") == "STRING") & ((text(f"data.{c}") == "") | midnight_date(text(f"data.{c}")).isNotNull())
+        valid = valid & ((kind(f"data.{c}") == "VOID") | day)
+    for c, name in (("effectStatus", "effectStatusName"), ("docType", "docTypeName")):
+        valid = valid & ((kind(f"data.{c}") == "VOID") | F.startswith(kind(f"data.{c}"), F.lit("OBJECT")) & (kind(f"data.{c}.{name}") == "STRING"))
+    for c in ("fields", "majors", "organs", "signers"):
+        valid = valid & kind(f"data.{c}").rlike("^(VOID|ARRAY<(VOID|OBJECT).*)$")
+    return valid
+
+
 def canonical_documents(records: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame]:
     """(documents, quarantine) of raw responses.
 
@@ -71,15 +93,8 @@ def canonical_documents(records: DataFrame, key: str, payload: str) -> tuple[Dat
     content_sha256. quarantine: key, code (SCHEMA for invalid JSON, wrong or missing required fields, success not true,
     or a date that isn't a day). Unknown keys are ignored; rows repeated as a whole come once.
     """
-    parsed = records.select(F.col(key).alias("key"), F.col(payload).alias("payload")).distinct().withColumn("r", F.from_json("payload", ENVELOPE)).withColumn("d", F.col("r.data"))
-    text = lambda c: F.nullif(F.trim(c), F.lit(""))
-    dates = ("issueDate", "effectDate", "expireDate")
-    valid = F.expr("try_parse_json(payload) is not null") & F.coalesce(F.col("r.success"), F.lit(False)) & F.col("r.tabName").isNotNull()
-    for c in ("docGUId", "docIdentity", "docName", "docContent"):
-        valid = valid & text(F.col(f"d.{c}")).isNotNull()
-    for c in dates:
-        valid = valid & (text(F.col(f"d.{c}")).isNull() | midnight_date(F.col(f"d.{c}")).isNotNull())
-    checked = parsed.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    parsed = records.select(F.col(key).alias("key"), F.col(payload).alias("payload")).distinct().withColumn("v", F.try_parse_json("payload"))
+    checked = parsed.withColumn("valid", F.coalesce(_valid(), F.lit(False))).drop("v").withColumn("r", F.from_json("payload", ENVELOPE)).withColumn("d", F.col("r.data"))
     organs = _names("d.organs", "organName")
     documents = checked.where("valid").select(
         F.col("key").alias(key), F.col("d.docGUId").alias("portal_document_guid"), F.col("d.docIdentity").alias("document_id"), F.col("d.docName").alias("title"), F.col("d.docContent").alias("html"),
