@@ -73,53 +73,77 @@ def split_texts(items: DataFrame, limits: DataFrame, kind: str, key: str, text:
     # length is checked before anything moves: only oversized texts are shuffled
     large = source.join(rules, "item_kind").withColumn("chars", F.length("text")).where("chars > max_chars")
     large = large.withColumn("version", F.xxhash64("text")).dropDuplicates(["item_kind", "item_key", "version"])
-    cuts = _cuts(large)
+    ranges = _ranges(large)
+    cuts = _cuts(ranges)
 
-    by_item = Window.partitionBy("item_kind", "item_key", "version").orderBy("cut_at")
+    by_item = Window.partitionBy(*ITEM).orderBy("cut_at")
     whole = by_item.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pieces = cuts.select(
-        "item_kind", "item_key", "version", "cut", "overlap",
-        F.row_number().over(by_item).alias("piece_no"), F.count("*").over(whole).alias("pieces"),
+        *ITEM, "range", "cut", "overlap",
+        F.row_number().over(by_item).alias("piece_no"), F.count("*").over(whole).cast("int").alias("pieces"),
         F.coalesce(F.lag("cut_at").over(by_item), F.lit(0)).alias("from_at"), F.col("cut_at").alias("end"),
     ).withColumn("begin", F.greatest(F.lit(0), F.col("from_at") - F.col("overlap")))
-    texts = large.select("item_kind", "item_key", "version", "text")
-    return pieces.join(texts, ["item_kind", "item_key", "version"]).select(
-        "item_kind", "item_key", "piece_no", F.col("pieces").cast("int").alias("pieces"), "begin", "end", "cut", F.expr("substring(text, begin + 1, end - begin)").alias("text")
-    )
+    # a piece lies whole in the range that its end was found in
+    parts = ranges.select(*ITEM, "range", "offset", "part")
+    return pieces.drop("overlap", "from_at").join(parts, [*ITEM, "range"]).select("item_kind", "item_key", "piece_no", "pieces", "begin", "end", "cut", F.expr("substring(part, begin - offset + 1, end - begin)").alias("text"))
 
 
-def _cuts(large: DataFrame) -> DataFrame:
+ITEM = ("item_kind", "item_key", "version")
+
+
+def _ranges(large: DataFrame) -> DataFrame:
+    """Texts as ranges of ZONES_PER_RANGE zones, each with the characters its pieces and boundary rules need.
+
+    Zone k (from 1) is (k * pitch, k * pitch + slack]; a text has as many as keep its last piece under the limit.
+    """
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows, parts = [], [], []
+            for i, (pitch, slack, overlap, chars, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pitch", "slack", "overlap", "chars", "text")), strict=True)):
+                zones = max(1, -(-(chars - pitch - slack) // pitch))
+                for n, first in enumerate(range(1, zones + 1, ZONES_PER_RANGE)):
+                    last = min(zones, first + ZONES_PER_RANGE - 1)
+                    offset = max(0, (first - 1) * pitch - overlap - HALO)
+                    owner.append(i)
+                    rows.append((n, first, last, last == zones, offset))
+                    parts.append(text[offset:] if last == zones else text[offset : last * pitch + slack + HALO])
+            take = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(take) for c in (*ITEM, "pitch", "slack", "overlap", "chars")), *(pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()))), pa.array(parts, pa.string())],
+                names=[*ITEM, "pitch", "slack", "overlap", "chars", "range", "first", "last", "final", "offset", "part"],
+            )
+
+    source = large.select(*ITEM, "pitch", "slack", "overlap", "chars", "text")
+    return source.mapInArrow(steps, "item_kind string, item_key string, version long, pitch int, slack int, overlap int, chars int, range int, first int, last int, final boolean, offset int, part string")
+
+
+def _cuts(ranges: DataFrame) -> DataFrame:
     """The cut table: one row per zone of each text, found range by range, and one for the text's end."""
-    zones = F.expr("cast(greatest(1, ceil((chars - pitch - slack) / pitch)) as int)")
-    ranges = large.withColumn("zones", zones).select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(zones - 1) div {ZONES_PER_RANGE}"))).alias("range"))
-    # zone k (from 1) is (k * pitch, k * pitch + slack]; a range holds its zones and a halo on both sides
-    ranges = ranges.withColumn("first", F.expr(f"range * {ZONES_PER_RANGE} + 1")).withColumn("last", F.expr(f"least(zones, first + {ZONES_PER_RANGE} - 1)"))
-    ranges = ranges.withColumn("offset", F.expr(f"greatest(0, first * pitch - {HALO})")).withColumn("part", F.expr(f"substring(text, offset + 1, last * pitch + slack + {HALO} - offset)"))
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, at, kinds = [], [], []
-            for i, (first, last, pitch, slack, chars, offset, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "last", "pitch", "slack", "chars", "offset", "part")), strict=True)):
+            for i, (first, last, final, pitch, slack, chars, offset, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "last", "final", "pitch", "slack", "chars", "offset", "part")), strict=True)):
                 for k in range(first, last + 1):
                     begin = k * pitch - offset
                     end = min(begin + slack, chars - 1 - offset)
-                    if begin >= end:
-                        continue
                     inner, kind = best_cut(part[max(0, begin - HALO) : begin], part[begin:end], part[end : end + HALO])
                     owner.append(i)
                     at.append(offset + begin + inner)
                     kinds.append(kind)
+                if final:
+                    owner.append(i)
+                    at.append(chars)
+                    kinds.append("end")
             take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in ("item_kind", "item_key", "version", "overlap")), pa.array(at, pa.int32()), pa.array(kinds, pa.string())],
-                names=["item_kind", "item_key", "version", "overlap", "cut_at", "cut"],
+                [*(batch.column(c).take(take) for c in (*ITEM, "range", "overlap")), pa.array(at, pa.int32()), pa.array(kinds, pa.string())],
+                names=[*ITEM, "range", "overlap", "cut_at", "cut"],
             )
 
-    found = ranges.select("item_kind", "item_key", "version", "overlap", "first", "last", "pitch", "slack", "chars", "offset", "part").mapInArrow(
-        steps, "item_kind string, item_key string, version long, overlap int, cut_at int, cut string"
-    )
-    ends = large.select("item_kind", "item_key", "version", "overlap", F.col("chars").alias("cut_at"), F.lit("end").alias("cut"))
-    return found.unionByName(ends)
+    found = ranges.select(*ITEM, "range", "overlap", "first", "last", "final", "pitch", "slack", "chars", "offset", "part")
+    return found.mapInArrow(steps, "item_kind string, item_key string, version long, range int, overlap int, cut_at int, cut string")
 
 
 def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_chars: int, range_bytes: int = 32 << 20) -> DataFrame:
