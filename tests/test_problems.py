@@ -124,6 +124,25 @@ def test_flatten_and_casts(spark):
     assert {r["id"]: str(r["day"]) for r in table.collect()} == {0: "2020-02-03", 1: "2020-02-03", 2: "2020-02-03", 3: "None"}
 
 
+def test_table_follows_the_renames_and_loses_no_field(spark):
+    held = [
+        ("f", 1, '{"id": "d", "day": "2020-02-03", "body": "x", "n": 1}'), ("f", 2, '{"id": "d", "issued": "2020-02-03", "html": {"b": "x"}, "n": 1}'),
+        ("g", 1, '{"id": "e", "issued": "13/06/2023", "html": {"b": "y"}, "page": [7]}'), ("g", 2, '{"id": "e", "issuedOn": "13/06/2023", "html": {"b": "y"}, "sheet": [7]}'),
+        ("g", 3, '{"id": "e", "issuedOn": "soon", "day": " ", "html": {"b": "y"}, "sheet": [7], "body": "z"}'),
+    ]
+    df = spark.createDataFrame([(i, feed, no, f"{feed}{no}", p) for i, (feed, no, p) in enumerate(held)], "rid int, feed string, file_no int, name string, payload string")
+    columns = {"on": (["day"], "date"), "text": (["body"], "string")}
+    table = drift.consistent_table(df, "rid", "feed", "file_no", "name", "payload", columns, drift.schema_changes(df, "feed", "file_no", "name", "payload", "id"))
+    got = {r["rid"]: (str(r["on"]), r["text"], json.loads(r["other"]), r["uncast"]) for r in table.collect()}
+    assert got == {
+        0: ("2020-02-03", "x", {"id": "d", "n": 1}, None), 1: ("2020-02-03", "x", {"id": "d", "n": 1}, None),
+        2: ("2023-06-13", "y", {"id": "e", "page": [7]}, None), 3: ("2023-06-13", "y", {"id": "e", "page": [7]}, None),
+        4: ("None", "z", {"id": "e", "page": [7], "issuedOn": "soon", "html.b": "y"}, None),
+    }
+    late = drift.consistent_table(df.where("rid = 4"), "rid", "feed", "file_no", "name", "payload", {"on": (["issuedOn"], "date")}).collect()
+    assert late[0]["on"] is None and json.loads(late[0]["uncast"]) == {"on": "soon"}
+
+
 def test_drift_of_empty_table(spark):
     df = spark.createDataFrame([], "feed string, no int, name string, payload string")
     assert drift.schema_changes(df, "feed", "no", "name", "payload", "id").count() == 0

@@ -2,13 +2,14 @@
 
 A column lifespan catalogue: every payload is flattened to (path, type, value), the catalogue holds which paths and
 types each file has, and lag over a feed's files tells where a path's island of files begins or ends and where its types
-change. An alias table (paths that end and begin with equal values) turns an ending and a beginning into a rename, and
-the casts of the consistent table follow from it.
+change. An ending and a beginning with equal values are a rename; the renames of all feeds together are the alias table,
+and the columns of the consistent table follow from it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from vellum.session import cut
 
+#: Pairs of old and new names that the driver holds at most.
+MOST_RENAMES = 100_000
 #: Types of JSON values by their Python type.
 JSON_TYPES = {str: "string", int: "number", float: "number", bool: "boolean", list: "array"}
 
@@ -151,16 +154,47 @@ def schema_changes(records: DataFrame, feed: str, file_no: str, file_name: str,
     return every.join(files.select("feed", "file_no", "file_name"), ["feed", "file_no"]).select("feed", "file_no", "file_name", "change", "old_path", "new_path").distinct()
 
 
-def consistent_table(records: DataFrame, key: str, feed: str, file_no: str, file_name: str, payload: str, columns: dict[str, tuple[list[str], str]]) -> DataFrame:
-    """One table of all valid records: key, feed, file_no and a column for each entry of columns.
+def aliases(changes: DataFrame, columns: dict[str, tuple[list[str], str]]) -> dict[str, str]:
+    """The alias table: each renamed path and the path it counts as, from the renames that schema_changes found.
 
-    columns: name -> (aliases: the paths that hold it, first found wins; type: string, date, number or array). Casts:
-    a date comes as ISO text at any time of day, as milliseconds since 1970 or as [year, month, day]; text comes as
-    text, number or a list of texts (joined by line ends). What can't be cast is null. Rows repeated as a whole come once.
+    Paths linked by renames, in whatever feeds, are one field; it goes by the first name of the column it belongs to, else
+    by its first path in code point order. Renames seen in more files link first, and none links two columns. Names are
+    part of a schema, so they are few; over MOST_RENAMES of them is an error, none is left out.
     """
+    pairs = changes.where("change = 'renamed'").groupBy("old_path", "new_path").agg(F.count("*").alias("n")).limit(MOST_RENAMES + 1).collect()
+    if len(pairs) > MOST_RENAMES:
+        raise ValueError(f"more than {MOST_RENAMES} renames")
+    field = {path: name for name, (known, _) in columns.items() for path in known}
+    above: dict[str, str] = {path: known[0] for known, _ in columns.values() for path in known}
+
+    def top(path: str) -> str:
+        while above.setdefault(path, path) != path:
+            path = above[path]
+        return path
+
+    for old, new, _ in sorted(pairs, key=lambda r: (-r["n"], r["old_path"], r["new_path"])):
+        a, b = top(old), top(new)
+        if a != b and not (a in field and b in field):
+            first, second = sorted((a, b), key=lambda x: (x not in field, x))
+            above[second] = first
+    return {path: top(path) for path in above if top(path) != path}
+
+
+def consistent_table(records: DataFrame, key: str, feed: str, file_no: str, file_name: str, payload: str, columns: dict[str, tuple[list[str], str]], changes: DataFrame | None = None) -> DataFrame:
+    """One table of all valid records: key, feed, file_no, a column for each entry of columns, other, uncast.
+
+    columns: name -> (paths known to hold it, first found wins; type: string, date, number or array); changes (of
+    schema_changes) tells the further names of each, see aliases. Casts: a date comes as ISO text at any time of day, as
+    day/month/year text, as milliseconds since 1970 or as [year, month, day]; text comes as text, number or a list of
+    texts (joined by line ends). other is a JSON object of every path without a column, under the name it counts as, or
+    its own where several of a field hold values in a record. What can't be cast is null and stands in uncast, a JSON object of column and value;
+    blank text is no value. Both are null where there is nothing. Rows repeated as a whole come once.
+    """
+    same = aliases(changes, columns) if changes is not None else {}
     wanted: dict[str, list[tuple[str, int]]] = {}
-    for name, (aliases, _) in columns.items():
-        for i, path in enumerate(aliases):
+    for name, (known, _) in columns.items():
+        found = sorted(path for path, first in same.items() if first == known[0] and path not in known)
+        for i, path in enumerate([*known, *found]):
             wanted.setdefault(path, []).append((name, i))
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,26 +204,41 @@ def consistent_table(records: DataFrame, key: str, feed: str, file_no: str, file
                 fields = flatten(payload) if payload is not None else None
                 if fields is None:
                     continue
-                best: dict[str, tuple[int, list]] = {}
-                for path, own in fields.items():
+                best: dict[str, tuple[int, str]] = {}
+                for path in fields:
                     for name, place in wanted.get(path, ()):
                         if name not in best or place < best[name][0]:
-                            best[name] = (place, own)
-                rows.append((i, {name: _cast(best[name][1], kind) for name, (_, kind) in columns.items() if name in best}))
-            take = pa.array([i for i, _ in rows], pa.int64())
+                            best[name] = (place, path)
+                used = {path for _, path in best.values()}
+                other: dict[str, object] = {}
+                for path in sorted(fields.keys() - used, key=lambda x: (x in same, x)):
+                    name = same.get(path, path)
+                    other[path if name in other or path in wanted else name] = fields[path][0] if len(fields[path]) == 1 else fields[path]
+                cells = {name: _cast(fields[path], columns[name][1]) for name, (_, path) in best.items()}
+                failed = {name: fields[path][0] if len(fields[path]) == 1 else fields[path] for name, (_, path) in best.items() if cells[name] is None and not _blank(fields[path])}
+                rows.append((i, cells, *(json.dumps(x, ensure_ascii=False, sort_keys=True) if x else None for x in (other, failed))))
+            take = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in ("key", "feed", "file_no")), *(pa.array([r.get(name) for _, r in rows], ARROW[kind]) for name, (_, kind) in columns.items())], names=["key", "feed", "file_no", *columns]
+                [*(batch.column(c).take(take) for c in ("key", "feed", "file_no")), *(pa.array([r[1].get(name) for r in rows], ARROW[kind]) for name, (_, kind) in columns.items()), *(pa.array([r[n] for r in rows], pa.string()) for n in (2, 3))], names=["key", "feed", "file_no", *columns, "other", "uncast"]
             )
 
     source = records.select(F.col(key).alias("key"), F.col(feed).cast("string").alias("feed"), F.col(file_no).cast("int").alias("file_no"), F.col(payload).alias("payload")).distinct()
     types = {"string": "string", "date": "date", "number": "double", "array": "array<string>"}
-    schema = f"key {source.schema['key'].dataType.simpleString()}, feed string, file_no int, " + ", ".join(f"`{name}` {types[kind]}" for name, (_, kind) in columns.items())
+    schema = f"key {source.schema['key'].dataType.simpleString()}, feed string, file_no int, " + "".join(f"`{name}` {types[kind]}, " for name, (_, kind) in columns.items()) + "other string, uncast string"
     return source.mapInArrow(steps, schema).withColumnRenamed("key", key)
 
 
 ARROW = {"string": pa.string(), "date": pa.date32(), "number": pa.float64(), "array": pa.list_(pa.string())}
 
 
+#: A date as day, month and year.
+DAY_FIRST = re.compile(r"\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?!\d)")
+
+
+def _blank(values: list) -> bool:
+    return all(isinstance(x, str) and not x.strip() for v in values for x in (v if isinstance(v, list) else [v]))
+
+
 def _cast(values: list, kind: str) -> object:
     from datetime import UTC, date, datetime
 
@@ -208,6 +257,8 @@ def _cast(values: list, kind: str) -> object:
         if isinstance(first, int | float) and not isinstance(first, bool):
             seconds = first / 1000 if abs(first) > 10**10 else first
             return datetime.fromtimestamp(seconds, UTC).date()
-        return date.fromisoformat(str(first)[:10])
+        if found := DAY_FIRST.match(str(first)):
+            return date(*map(int, found.groups()[::-1]))
+        return date.fromisoformat(str(first).strip()[:10])
     except (TypeError, ValueError, OverflowError, OSError):
         return None

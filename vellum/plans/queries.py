@@ -13,7 +13,7 @@ from vellum.plans.oracles import ORACLES as ORACLES
 from vellum.session import cut, table
 from vellum.sources import artifacts, portal
 
-#: Fields of the portal payloads under all the names they have had.
+#: Fields of the portal payloads under the names known beforehand, the one they go by first; further names are found.
 PORTAL_COLUMNS = {
     "guid": (["data.docGUId"], "string"),
     "identity": (["data.docIdentity"], "string"),
@@ -99,8 +99,10 @@ def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    flat = drift.consistent_table(table(spark, d, "portal_records"), "record_id", "feed", "file_no", "file_name", "payload", PORTAL_COLUMNS)
-    return flat.select("record_id", "feed", "file_no", *(F.array_join(c, "; ").alias(c) if kind == "array" else F.col(c) for c, (_, kind) in PORTAL_COLUMNS.items()))
+    records = table(spark, d, "portal_records")
+    changes = drift.schema_changes(records, "feed", "file_no", "file_name", "payload")
+    flat = drift.consistent_table(records, "record_id", "feed", "file_no", "file_name", "payload", PORTAL_COLUMNS, changes)
+    return flat.select("record_id", "feed", "file_no", *(F.array_join(c, "; ").alias(c) if kind == "array" else F.col(c) for c, (_, kind) in PORTAL_COLUMNS.items()), "other", "uncast")
 
 
 # sources and sinks
