@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import words
 from vellum.llm import encoding, forms, leak, mix, overlap, spans, split
+from vellum.llm.arrays import TextScan
 
 VI = "Trạm kiểm tra lưu động có trách nhiệm mua bán sơ đồ tuyến quá hạn dọc theo kho hàng, mức 580.028.000 đồng. "
 
@@ -238,6 +239,29 @@ def test_wrong_encodings_are_undone(spark):
     assert got[100] == got[101] == got[102] == got[103] == bad and got[104] == bad + " tại bến"
 
 
+def test_every_letter_is_suspicious_after_every_chain():
+    scan = TextScan(encoding.SUSPECT, encoding.SUSPECT_PAIRS)
+    seen = 0
+    for chain in encoding.CHAINS:
+        for letter in encoding.CORRECT:
+            read = encoding.misread(chain, letter)
+            if read is None or read in encoding.CORRECT or read in encoding._CORRECT_PAIRS:
+                continue  # the encoding lacks it, or the reading is itself correct text
+            assert scan([read]) == [0] and encoding._SUSPECT.search(read), (chain, letter, read)
+            seen += 1
+        assert not chain.startswith("utf8") or all(encoding.misread(chain, x) not in encoding.CORRECT for x in encoding.CORRECT)
+    assert encoding.misread("utf8>cp1252", "ố") == "á»‘" and encoding.misread("cp1258>cp1252", "ế") == "êì" and encoding.misread("tcvn3>cp1252", "đ") == "®"
+    assert seen > 700 and scan(["Giò chả, quì gối, «đã» là… “Việt” ‘Nam’ – 20°"]) == []
+
+
+def test_one_damaged_word_is_enough(spark):
+    clean = [(i, f"{VI} Nguyễn Văn Hồ từ số {i} đến cuối đường có tốc độ hỗ trợ.", "vi") for i in range(60)]
+    words_ = ["số", "từ", "hồ", "Nguyễn", "hỗ", "cuối", "tốc"]
+    bad = [(100 + i, f"{VI} {_garble(w, 'utf-8', 'cp1252')} xe.", "vi") for i, w in enumerate(words_)]
+    got = {r["doc_id"]: r["restored"] for r in encoding.restore_encoding(spark.createDataFrame(clean + bad, "id int, text string, lang string"), "id", "text", "lang").collect()}
+    assert got == {100 + i: f"{VI} {w} xe." for i, w in enumerate(words_)}
+
+
 def test_lost_bytes_and_empty_input(spark):
     lang = encoding.Language([VI.encode(), "người điều thời gian".encode()])
     assert encoding.Restorer([lang]).restore("NgÆ°á»�i Ä‘iá»�u")[0] == "Người điều"

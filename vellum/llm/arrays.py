@@ -125,9 +125,9 @@ def groups(lengths: list[int], most: int) -> Iterator[slice]:
 
 def char_table(pattern: str) -> np.ndarray:
     """For every code point whether it matches a one-character pattern."""
-    test = re.compile(pattern)
+    every = "".join(chr(cp) for cp in range(0x20000) if not 0xD800 <= cp < 0xE000)
     table = np.zeros(0x110000, bool)
-    table[[cp for cp in range(0x20000) if not 0xD800 <= cp < 0xE000 and test.match(chr(cp))]] = True
+    table[[ord(c) for c in re.findall(pattern, every)]] = True
     return table
 
 
@@ -136,6 +136,7 @@ class TextScan:
 
     def __init__(self, single: str, pairs: list[tuple[str, str]] = ()) -> None:
         self.patterns = single, list(pairs)
+        assert len(self.patterns[1]) <= 32
         self._tables = None
 
     def __getstate__(self) -> dict:
@@ -145,15 +146,20 @@ class TextScan:
         """Which texts (numbers); nulls are none of them."""
         if self._tables is None:
             single, pairs = self.patterns
-            self._tables = char_table(single), [(char_table(a), char_table(b)) for a, b in pairs]
-        single, pairs = self._tables
+            # a bit for each pair, so that all are looked up at once
+            first, second = np.zeros(0x110000, np.uint32), np.zeros(0x110000, np.uint32)
+            for k, (a, b) in enumerate(pairs):
+                first |= char_table(a).astype(np.uint32) << np.uint32(k)
+                second |= char_table(b).astype(np.uint32) << np.uint32(k)
+            self._tables = char_table(single), first, second
+        single, first, second = self._tables
         out = []
         held = [i for i, x in enumerate(texts) if x and not x.isascii()]
         for part in groups([len(texts[i]) for i in held], 400_000):
             points, starts = code_points([texts[i] for i in held[part]])
             flag = single[points]
-            for a, b in pairs:
-                flag[:-1] |= a[points[:-1]] & b[points[1:]]
+            if self.patterns[1]:
+                flag[:-1] |= (first[points[:-1]] & second[points[1:]]) != 0
             many = np.add.reduceat(flag, starts[:-1], dtype=np.int64)
             out += [held[part.start + i] for i in np.flatnonzero(many)]
         return out
