@@ -52,6 +52,24 @@ def test_split_prefers_strong_boundaries():
     assert split.best_cut("", "abcde", "́x") == (4, "none")
 
 
+def test_words_are_cut_only_where_they_are_too_long(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [("unit", "one", "a " * 29 + "x" * 40 + " b" * 60)]
+    for i in range(150):
+        rows.append(("unit", f"t{i}", " ".join("x" * rng.choice([1, 3, 9, 20, 50, 69, 70, 90, 120, 200]) for _ in range(rng.randrange(2, 60)))))
+    for zones in (16, 1, 2):
+        monkeypatch.setattr(split, "ZONES_PER_RANGE", zones)
+        got = _pieces(spark, rows, [("unit", 80, 10)])
+        assert not any(p["cut"] == "none" for p in got["unit", "one"])
+        for (_, key), pieces in got.items():
+            text = dict((k, t) for _, k, t in rows)[key]
+            assert all(0 < len(p["text"]) <= 80 and p["text"] == text[p["begin"] : p["end"]] for p in pieces) and pieces[-1]["end"] == len(text)
+            assert all(a["end"] < b["end"] and b["begin"] == max(0, a["end"] - 10) for a, b in zip(pieces, pieces[1:], strict=False))
+            assert all(p["cut"] != "word" or text[p["end"] - 1] == " " for p in pieces)
+            blanks = [0, *(i + 1 for i, c in enumerate(text) if c == " "), len(text)]
+            assert sum(p["cut"] == "none" for p in pieces) == sum(max(0, -(-(b - a) // 70) - 1) for a, b in zip(blanks, blanks[1:], strict=False))
+
+
 def test_split_files(spark, tmp_path):
     path = tmp_path / "law.txt"
     text = (VI + "\n") * 400 + "ế" * 3000

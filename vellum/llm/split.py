@@ -2,9 +2,11 @@
 
 A text is worked on in ranges, never as a whole: each range carries a halo of its neighbours' characters, a task finds
 the boundaries in it, and the boundary tables of a text's ranges are stitched by offset. Cuts are placed in zones: zone k
-ends at k * pitch and is as long as the slack, where pitch + slack + overlap is the limit. The best boundary of each
-zone is a cut, so two cuts are never further apart than the limit allows and no cut depends on another: a text of any
-length is cut in one parallel pass. Lengths are then summed and pieces emitted by offset.
+begins at k * pitch and is as long as the slack, where pitch + slack + overlap is the limit. The best boundary of each
+zone is a cut, so two cuts are never further apart than the limit allows. Zones without a boundary are left out: cuts go
+from the last boundary before them, as far apart as allowed, to the next zone with one. Ranges end at a zone with a
+boundary, so that no range depends on another and a text is cut in one parallel pass. A stretch without a boundary is
+cut only if it is longer than pitch + slack, and as seldom as possible. Pieces are then emitted by offset.
 """
 
 from __future__ import annotations
@@ -51,6 +53,51 @@ def best_cut(before: str, zone: str, after: str) -> tuple[int, str]:
     return at - start, "none"
 
 
+def last_boundary(before: str, zone: str, after: str) -> tuple[int, str] | None:
+    """(characters of zone before it, kind) of the last boundary in a zone, of its kinds the strongest."""
+    window, start, end = before + zone + after, len(before), len(before) + len(zone)
+    best = None
+    for kind, rule in BOUNDARIES:
+        for m in rule.finditer(window):
+            at = m.end()
+            if start < at <= end and not (at < len(window) and window[at - 1 : at + 1] == "\r\n") and (best is None or at - start > best[0]):
+                best = at - start, kind
+    return best
+
+
+def _best(part: str, offset: int, begin: int, end: int, chars: int) -> tuple[int, str]:
+    """(place, kind) of the best cut after begin up to end in a text, of which part stands at offset."""
+    a, b = begin - offset, min(end, chars - 1) - offset
+    inner, kind = best_cut(part[max(0, a - HALO) : a], part[a:b], part[b : b + HALO])
+    return begin + inner, kind
+
+
+def zone_cuts(part: str, offset: int, first: int, last: int, final: bool, pitch: int, slack: int, chars: int) -> list[tuple[int, str]]:
+    """Cuts of the zones first to last of a text, of which part stands at offset: (place, kind), without the text's end.
+
+    Zones without a boundary are left out: from the cut before them to the one behind them each piece ends at the best
+    boundary of the last slack within its reach, else the last boundary within it, else at its reach. The zone before
+    first has a boundary, and last has one unless it is the text's final zone.
+    """
+    zones = [_best(part, offset, k * pitch, k * pitch + slack, chars) for k in range(first, last + 1)]
+    at = _best(part, offset, (first - 1) * pitch, (first - 1) * pitch + slack, chars)[0] if first > 1 else 0
+    cuts = []
+    for place, kind in [*zones, *([(chars, "end")] if final else [])]:
+        if kind == "none":
+            continue
+        while place - at > pitch + slack:
+            found = _best(part, offset, at + pitch, at + pitch + slack, chars)
+            a, b = at - offset, at + pitch - offset
+            if found[1] == "none" and (near := last_boundary(part[max(0, a - HALO) : a], part[a:b], part[b : b + HALO])):
+                found = at + near[0], near[1]
+            at = found[0]
+            cuts.append(found)
+        at = place
+        if kind != "end":
+            cuts.append((place, kind))
+    return cuts
+
+
 def split_texts(items: DataFrame, limits: DataFrame, kind: str, key: str, text: str) -> DataFrame:
     """Pieces of the texts longer than their kind's limit.
 
@@ -92,9 +139,10 @@ ITEM = ("item_kind", "item_key", "version")
 
 
 def _ranges(large: DataFrame) -> DataFrame:
-    """Texts as ranges of ZONES_PER_RANGE zones, each with the characters its pieces and boundary rules need.
+    """Texts as ranges of ZONES_PER_RANGE zones or more, each with the characters its pieces and boundary rules need.
 
-    Zone k (from 1) is (k * pitch, k * pitch + slack]; a text has as many as keep its last piece under the limit.
+    Zone k (from 1) is (k * pitch, k * pitch + slack]; a text has as many as keep its last piece under the limit. A
+    range goes on until its last zone has a boundary.
     """
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +150,16 @@ def _ranges(large: DataFrame) -> DataFrame:
             owner, rows, parts = [], [], []
             for i, (pitch, slack, overlap, chars, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pitch", "slack", "overlap", "chars", "text")), strict=True)):
                 zones = max(1, -(-(chars - pitch - slack) // pitch))
-                for n, first in enumerate(range(1, zones + 1, ZONES_PER_RANGE)):
-                    last = min(zones, first + ZONES_PER_RANGE - 1)
+                n, last = 0, 0
+                while last < zones:
+                    first, last = last + 1, min(zones, last + ZONES_PER_RANGE)
+                    while last < zones and _best(text, 0, last * pitch, last * pitch + slack, chars)[1] == "none":
+                        last += 1
                     offset = max(0, (first - 1) * pitch - overlap - HALO)
                     owner.append(i)
                     rows.append((n, first, last, last == zones, offset))
                     parts.append(text[offset:] if last == zones else text[offset : last * pitch + slack + HALO])
+                    n += 1
             take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(take) for c in (*ITEM, "pitch", "slack", "overlap", "chars")), *(pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()))), pa.array(parts, pa.string())],
@@ -119,18 +171,15 @@ def _ranges(large: DataFrame) -> DataFrame:
 
 
 def _cuts(ranges: DataFrame) -> DataFrame:
-    """The cut table: one row per zone of each text, found range by range, and one for the text's end."""
+    """The cut table: the cuts of each text's zones, found range by range, and one for the text's end."""
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, at, kinds = [], [], []
             for i, (first, last, final, pitch, slack, chars, offset, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "last", "final", "pitch", "slack", "chars", "offset", "part")), strict=True)):
-                for k in range(first, last + 1):
-                    begin = k * pitch - offset
-                    end = min(begin + slack, chars - 1 - offset)
-                    inner, kind = best_cut(part[max(0, begin - HALO) : begin], part[begin:end], part[end : end + HALO])
+                for place, kind in zone_cuts(part, offset, first, last, final, pitch, slack, chars):
                     owner.append(i)
-                    at.append(offset + begin + inner)
+                    at.append(place)
                     kinds.append(kind)
                 if final:
                     owner.append(i)
@@ -150,7 +199,7 @@ def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_c
     """Pieces of UTF-8 text files too large for one task: path, begin, end (bytes), cut, text.
 
     Tasks read byte ranges with a halo (from a folder all executors see), never a whole file. Zones, limits and overlap
-    are as for split_texts but counted in bytes, so a piece has at most max_chars bytes and so at most as many
+    are as for split_texts but counted in bytes (a zone without a boundary is cut at its end), so a piece has at most max_chars bytes and so at most as many
     characters; a cut never falls inside a character. An empty file gives no rows.
     """
     overlap = min(max(0, overlap_chars), (max_chars - 1) // 2)
