@@ -1,6 +1,7 @@
 """Cutting oversized texts into overlapping pieces at natural boundaries.
 
-A text is worked on in ranges, never as a whole: each range carries a halo of its neighbours' characters, a task finds
+A text is worked on in ranges (split_texts takes them from a text that stands whole in its row, split_files from a file
+that is never read as a whole): each range carries a halo of its neighbours' characters, a task finds
 the boundaries in it, and the boundary tables of a text's ranges are stitched by offset. Cuts are placed in zones: zone k
 begins at k * pitch and is as long as the slack, where pitch + slack + overlap is the limit. The best boundary of each
 zone is a cut, so two cuts are never further apart than the limit allows. Zones without a boundary are left out: cuts go
