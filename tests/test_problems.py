@@ -110,12 +110,14 @@ def test_drift_matches_plain_reading(spark):
     df = spark.createDataFrame([(*r, "c") for r in rows], "feed string, no int, name string, payload string, path string")
     got = {(r["file_name"], r["change"], r["old_path"], r["new_path"]) for r in drift.schema_changes(df, "feed", "no", "name", "payload", "id").collect()}
     assert got == _brute_drift(rows) and len({c for _, c, *_ in got}) == 4
-    spans = drift.lifespans(drift.catalogue(drift.flat_values(df, "feed", "no", "name", "payload", "id")), drift.files_of(df, "feed", "no", "name")).collect()
-    assert sum(r["files"] for r in spans) == drift.catalogue(drift.flat_values(df, "feed", "no", "name", "payload", "id")).count()
+    fields = drift.catalogue(df, "feed", "no", "payload").cache()
+    spans = drift.lifespans(fields, drift.files_of(df, "feed", "no", "name")).collect()
+    assert sum(r["files"] for r in spans) == fields.count() and len({r["type"] for r in spans}) == 4
 
 
 def test_flatten_and_casts(spark):
-    assert drift.flatten('{"a": {"b": [1, 2]}, "c": [{"d": "x"}, {"d": null}, {"d": "y"}], "e": null, "f": {}}') == {"a.b": [[1, 2]], "c.d": ["x", "y"]}
+    assert drift.flatten('{"a": {"b": [1, 2]}, "c": [{"d": "x"}, {"d": null}, {"d": "y"}], "e": null, "f": {}}') == {"a.b": [[1, 2]], "c": [[{"d": "x"}, {"d": None}, {"d": "y"}]], "c.d": ["x", "y"]}
+    assert drift.flatten('{"c": [{"d": "x"}, [{"d": 1}, 2], 3], "e": []}', lists=False) == {"c.d": ["x", 1], "e": [[]]}
     assert drift.flatten("{") is None and drift.flatten('{"a": NaN}') is None and drift.flatten("3") == {}
     assert drift.spelled(1.0) == drift.spelled(1) and drift.spelled("1") != drift.spelled(1)
     payloads = ['{"a": "2020-02-03T00:00:00"}', '{"b": [2020, 2, 3]}', '{"a": 1580688000000}', '{"a": "never"}', "{", None]

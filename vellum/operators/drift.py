@@ -1,9 +1,10 @@
 """Schemas that drift between the files of a feed.
 
-A column lifespan catalogue: every payload is flattened to (path, type, value), the catalogue holds which paths and
-types each file has, and lag over a feed's files tells where a path's island of files begins or ends and where its types
-change. An ending and a beginning with equal values are a rename; the renames of all feeds together are the alias table,
-and the columns of the consistent table follow from it.
+A column lifespan catalogue: a first scan of the payloads lists which paths and JSON types each file has; lag over a
+feed's files gives the islands of files in which a path has a type, and the log of their beginnings and endings tells
+where a path comes, goes or changes type. Only the values of paths that come or go are read, in a second scan; an ending
+and a beginning with equal values are a rename. The renames of all feeds together are the alias table, and the columns
+and casts of the consistent table follow from it.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,29 +23,37 @@ from vellum.session import cut
 
 #: Pairs of old and new names that the driver holds at most.
 MOST_RENAMES = 100_000
-#: Types of JSON values by their Python type.
+#: Fields a task counts before it hands them on.
+FLUSH = 200_000
+#: Types of JSON values by their Python type, in the order of their bits.
 JSON_TYPES = {str: "string", int: "number", float: "number", bool: "boolean", list: "array"}
+NAMES = ("array", "boolean", "number", "string")
+BITS = {kind: 1 << NAMES.index(name) for kind, name in JSON_TYPES.items()}
 
 
-def flatten(payload: str) -> dict[str, list] | None:
+def flatten(payload: str, lists: bool = True) -> dict[str, list] | None:
     """Values by key path; None for what isn't valid JSON.
 
-    Keys are joined by dots. A list of plain values is one value; through a list that holds objects or lists the paths
-    go on as if it weren't there, and its values are listed in order. Nulls and objects are no values.
+    Keys are joined by dots. A list is a value at its path; through one that holds objects the paths of these go on as if
+    it weren't there, and their values are listed in order. Nulls and objects are no values. Without lists, a list that
+    holds objects is passed through only.
     """
     try:
         root = json.loads(payload, parse_constant=_no_constant)
     except (ValueError, TypeError, RecursionError):
         return None
     out: dict[str, list] = {}
-    todo = [("", root)]
+    todo = [("", root, True)]
     while todo:
-        path, value = todo.pop()
+        path, value, own = todo.pop()
         if isinstance(value, dict):
-            todo += [(f"{path}.{k}" if path else k, v) for k, v in reversed(list(value.items()))]
-        elif isinstance(value, list) and any(isinstance(x, dict | list) for x in value):
-            todo += [(path, v) for v in reversed(value)]
-        elif value is not None and path:
+            todo += [(f"{path}.{k}" if path else k, v, True) for k, v in reversed(list(value.items()))]
+        elif isinstance(value, list):
+            inner = [x for x in value if isinstance(x, dict | list)]
+            if path and own and (lists or not inner):
+                out.setdefault(path, []).append(value)
+            todo += [(path, x, False) for x in reversed(inner)]
+        elif value is not None and path and own:
             out.setdefault(path, []).append(value)
     return out
 
@@ -59,68 +68,106 @@ def spelled(value: object) -> str:
         value = int(value)
     if isinstance(value, list):
         return "[" + ",".join(map(spelled, value)) + "]"
-    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{spelled(v)}" for k, v in sorted(value.items())) + "}"
+    return json.dumps(value, ensure_ascii=False)
 
 
-def flat_values(records: DataFrame, feed: str, file_no: str, file_name: str, payload: str, doc_path: str, keep_values: bool = False) -> DataFrame:
-    """feed, file_no, file_name, doc, path, type, value of every field of every payload that is valid JSON.
+def _deliveries(records: DataFrame, feed: str, file_no: str, payload: str) -> DataFrame:
+    return records.select(F.col(feed).cast("string").alias("feed"), F.col(file_no).cast("int").alias("file_no"), F.col(payload).alias("payload")).where("feed is not null and file_no is not null and payload is not null")
 
-    doc is the value at doc_path (null where there is none); value is a 16-byte hash of the field's values in a document,
-    or with keep_values their JSON spelling (a single value, else a list).
+
+def files_of(records: DataFrame, feed: str, file_no: str, file_name: str) -> DataFrame:
+    """The files of each feed in order: feed, file_no, file_name, n (from 1), files (of the feed)."""
+    names = records.where(F.col(feed).isNotNull() & F.col(file_no).isNotNull()).groupBy(F.col(feed).cast("string").alias("feed"), F.col(file_no).cast("int").alias("file_no")).agg(F.max(F.col(file_name).cast("string")).alias("file_name"))
+    return names.select("*", F.row_number().over(Window.partitionBy("feed").orderBy("file_no")).alias("n"), F.count("*").over(Window.partitionBy("feed")).alias("files"))
+
+
+def catalogue(records: DataFrame, feed: str, file_no: str, payload: str) -> DataFrame:
+    """Which fields each file has: feed, file_no, path, type (a row for each JSON type seen).
+
+    A task hands on each field of a file once, so what is shuffled is as large as the schemas, not as the payloads.
     """
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = list(seen)
+            columns = [*(pa.array([k[c] for k in keys], t) for c, t in enumerate((pa.string(), pa.int32(), pa.string()))), pa.array(list(seen.values()), pa.int32())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["feed", "file_no", "path", "types"])
+
         for batch in batches:
-            owner, docs, paths, types, values = [], [], [], [], []
-            for i, payload in enumerate(batch.column("payload").to_pylist()):
-                fields = flatten(payload) if payload is not None else None
-                for path, own in (fields or {}).items():
-                    doc = fields.get(doc_path)
-                    text = spelled(own[0]) if len(own) == 1 else spelled(own)
-                    owner.append(i)
-                    docs.append(spelled(doc[0]).strip('"') if doc else None)
-                    paths.append(path)
-                    types.append(sorted({JSON_TYPES[type(x)] for x in own}))
-                    values.append(text if keep_values else blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
-            take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in ("record", "feed", "file_no", "file_name")), *(pa.array(x, t) for x, t in ((docs, pa.string()), (paths, pa.string()), (types, pa.list_(pa.string())), (values, pa.string())))],
-                names=["record", "feed", "file_no", "file_name", "doc", "path", "types", "value"],
-            )
+            for feed, no, payload in zip(*(batch.column(c).to_pylist() for c in ("feed", "file_no", "payload")), strict=True):
+                for path, values in (flatten(payload) or {}).items():
+                    key = feed, no, path
+                    bits = seen.get(key, 0)
+                    for x in values:
+                        bits |= BITS[type(x)]
+                    seen[key] = bits
+            if len(seen) >= FLUSH:
+                yield out()
+        yield out()
+
+    found = _deliveries(records, feed, file_no, payload).mapInArrow(steps, "feed string, file_no int, path string, types int")
+    types = found.groupBy("feed", "file_no", "path").agg(F.bit_or("types").alias("types"))
+    each = F.filter(F.array(*(F.when(F.col("types").bitwiseAND(1 << i) != 0, name) for i, name in enumerate(NAMES))), lambda x: x.isNotNull())
+    return types.select("feed", "file_no", "path", F.explode(each).alias("type"))
 
-    source = records.select(F.xxhash64(payload).alias("record"), F.col(feed).cast("string").alias("feed"), F.col(file_no).cast("int").alias("file_no"), F.col(file_name).cast("string").alias("file_name"), F.col(payload).alias("payload")).where("feed is not null and file_no is not null")
-    return source.mapInArrow(steps, "record long, feed string, file_no int, file_name string, doc string, path string, types array<string>, value string")
 
+def lifespans(fields: DataFrame, files: DataFrame) -> DataFrame:
+    """Islands of consecutive files in which a field has a type: feed, path, type, first_file, last_file, files, open_end.
 
-def files_of(records: DataFrame, feed: str, file_no: str, file_name: str) -> DataFrame:
-    """The files of each feed in order: feed, file_no, file_name, before (the file_no of the one before, null for the first)."""
-    names = records.where(F.col(feed).isNotNull() & F.col(file_no).isNotNull()).groupBy(F.col(feed).cast("string").alias("feed"), F.col(file_no).cast("int").alias("file_no")).agg(F.max(F.col(file_name).cast("string")).alias("file_name"))
-    return names.withColumn("before", F.lag("file_no").over(Window.partitionBy("feed").orderBy("file_no")))
+    first_n and last_n are the places of these files in the feed, all is how many files it has.
+    """
+    order = files.select("feed", "file_no", "n", F.col("files").alias("all"))
+    w = Window.partitionBy("feed", "path", "type").orderBy("n")
+    numbered = fields.join(order, ["feed", "file_no"]).withColumn("begins", F.when(F.lag("n").over(w) == F.col("n") - 1, 0).otherwise(1)).withColumn("island", F.sum("begins").over(w))
+    spans = numbered.groupBy("feed", "path", "type", "island").agg(F.min("file_no").alias("first_file"), F.max("file_no").alias("last_file"), F.count("*").alias("files"), F.min("n").alias("first_n"), F.max("n").alias("last_n"), F.max("all").alias("all"))
+    return spans.withColumn("open_end", F.col("last_n") == F.col("all")).drop("island")
 
 
-def catalogue(flat: DataFrame) -> DataFrame:
-    """Which fields each file has: feed, file_no, path, types (the set of JSON types seen, as text)."""
-    each = flat.select("feed", "file_no", "path", F.explode("types").alias("type")).groupBy("feed", "file_no", "path")
-    return each.agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))  # of four types
+def _edges(fields: DataFrame, files: DataFrame) -> DataFrame:
+    """Where a field ends, begins or changes type, from the islands' log: feed, n (of the later file), path, edge."""
+    spans = lifespans(fields, files)
+    log = spans.where("first_n > 1").select("feed", F.col("first_n").alias("n"), "path").unionByName(spans.where("not open_end").select("feed", (F.col("last_n") + 1).alias("n"), "path")).distinct()
+    held = fields.join(files.select("feed", "file_no", "n"), ["feed", "file_no"]).select("feed", "n", "path").distinct()
+    now, before = held.withColumn("now", F.lit(True)), held.select("feed", (F.col("n") + 1).alias("n"), "path", F.lit(True).alias("before"))
+    both = log.join(now, ["feed", "n", "path"], "left").join(before, ["feed", "n", "path"], "left")
+    return both.select("feed", "n", "path", F.when(F.col("before").isNull(), "begin").when(F.col("now").isNull(), "end").otherwise("retype").alias("edge"))
 
 
-def lifespans(fields: DataFrame, files: DataFrame) -> DataFrame:
-    """Islands of consecutive files in which a field is there: feed, path, first_file, last_file, files, open_end."""
-    order = files.select("feed", "file_no", F.row_number().over(Window.partitionBy("feed").orderBy("file_no")).alias("n"), F.count("*").over(Window.partitionBy("feed")).alias("all"))
-    numbered = fields.join(order, ["feed", "file_no"]).withColumn("island", F.col("n") - F.row_number().over(Window.partitionBy("feed", "path").orderBy("n")))
-    return numbered.groupBy("feed", "path", "island").agg(F.min("file_no").alias("first_file"), F.max("file_no").alias("last_file"), F.count("*").alias("files"), (F.max("n") == F.max("all")).alias("open_end")).drop("island")
+def _moving_values(records: DataFrame, edges: DataFrame, files: DataFrame, feed: str, file_no: str, payload: str, doc_path: str) -> DataFrame:
+    """Values of ending paths in the earlier file and of beginning ones in the later: feed, n, doc, role, path, a, b.
 
+    a and b are two hashes of the field's values in one document of the file.
+    """
+    moving = edges.where("edge <> 'retype'").select("feed", "n", (F.col("n") - F.when(F.col("edge") == "end", 1).otherwise(0)).alias("at"), "path", F.when(F.col("edge") == "end", "old").otherwise("new").alias("role"))
+    places = files.select("feed", "file_no", F.col("n").alias("at"))
+    wanted = moving.join(places, ["feed", "at"]).groupBy("feed", "file_no").agg(F.collect_set(F.struct("path", "role", "n")).alias("wanted"))
 
-def _edges(fields: DataFrame, files: DataFrame) -> DataFrame:
-    """Where a field ends, begins or changes type: feed, file_no (the later), edge, path."""
-    w = Window.partitionBy("feed", "path").orderBy("file_no")
-    seen = fields.join(files.select("feed", "file_no", "before"), ["feed", "file_no"]).withColumn("seen_before", F.lag("file_no").over(w)).withColumn("types_before", F.lag("types").over(w))
-    kept = F.col("before") == F.col("seen_before")
-    begins = seen.where("before is not null").where(~F.coalesce(kept, F.lit(False))).select("feed", "file_no", F.lit("begin").alias("edge"), "path")
-    retyped = seen.where(kept & (F.col("types") != F.col("types_before"))).select("feed", "file_no", F.lit("retype").alias("edge"), "path")
-    after = files.where("before is not null").select("feed", F.col("before").alias("file_no"), F.col("file_no").alias("next"))
-    last = fields.withColumn("seen_after", F.lead("file_no").over(w)).join(after, ["feed", "file_no"]).where("seen_after is null or seen_after <> next")
-    return begins.unionByName(retyped).unionByName(last.select("feed", F.col("next").alias("file_no"), F.lit("end").alias("edge"), "path"))
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows, hashes = [], [], []
+            for i, (text, asked) in enumerate(zip(batch.column("payload").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+                fields = flatten(text)
+                doc = fields.get(doc_path) if fields else None
+                if not doc:
+                    continue
+                name = doc[0] if isinstance(doc[0], str) else spelled(doc[0])
+                for x in asked:
+                    if (values := fields.get(x["path"])) is not None:
+                        owner.append(i)
+                        rows.append((x["n"], name, x["role"], x["path"]))
+                        hashes.append(blake2b((spelled(values[0]) if len(values) == 1 else spelled(values)).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            pairs = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("feed").take(pa.array(owner, pa.int64())), *(pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.string()))), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
+                names=["feed", "n", "doc", "role", "path", "a", "b"],
+            )
+
+    return _deliveries(records, feed, file_no, payload).join(wanted, ["feed", "file_no"]).select("feed", "payload", "wanted").mapInArrow(steps, "feed string, n int, doc string, role string, path string, a long, b long")
 
 
 def schema_changes(records: DataFrame, feed: str, file_no: str, file_name: str, payload: str, doc_path: str = "data.docGUId") -> DataFrame:
@@ -132,26 +179,30 @@ def schema_changes(records: DataFrame, feed: str, file_no: str, file_name: str,
     of whose payloads is valid has no fields. A document that comes with several payloads has all of their values.
     """
     files = files_of(records, feed, file_no, file_name)
-    flat = flat_values(records, feed, file_no, file_name, payload, doc_path).drop("record", "file_name").persist(StorageLevel.DISK_ONLY)
-    edges = cut(_edges(catalogue(flat), files))
-    # values of ending paths in the earlier file and of beginning paths in the later, by document
-    ends = edges.where("edge = 'end'").join(files.select("feed", "file_no", "before"), ["feed", "file_no"]).select("feed", F.col("file_no").alias("later"), F.col("before").alias("file_no"), "path")
-    begins = edges.where("edge = 'begin'").select("feed", F.col("file_no").alias("later"), "file_no", "path")
-
-    def values(which: DataFrame, name: str) -> DataFrame:
-        held = flat.where("doc is not null").join(which, ["feed", "file_no", "path"]).groupBy("feed", "later", "doc", "path").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("value"))
-        return held.select("feed", "later", "doc", F.col("path").alias(f"{name}_path"), F.col("value").alias(f"{name}_value"))
-
-    old, new = values(ends, "old"), values(begins, "new")
-    # pairs of paths are few (changed fields of one file); a pair that differs once is no rename
-    both = old.join(new, ["feed", "later", "doc"]).groupBy("feed", "later", "old_path", "new_path").agg(F.bool_and(F.col("old_value") == F.col("new_value")).alias("same"))
-    renamed = cut(both.where("same").select("feed", F.col("later").alias("file_no"), "old_path", "new_path"))
-    flat.unpersist()
-    plain = edges.where("edge = 'end'").join(renamed.select("feed", "file_no", F.col("old_path").alias("path")).distinct(), ["feed", "file_no", "path"], "left_anti").select("feed", "file_no", F.lit("removed").alias("change"), F.col("path").alias("old_path"), F.lit("").alias("new_path"))
-    fresh = edges.where("edge = 'begin'").join(renamed.select("feed", "file_no", F.col("new_path").alias("path")).distinct(), ["feed", "file_no", "path"], "left_anti").select("feed", "file_no", F.lit("added").alias("change"), F.lit("").alias("old_path"), F.col("path").alias("new_path"))
-    retyped = edges.where("edge = 'retype'").select("feed", "file_no", F.lit("retyped").alias("change"), F.col("path").alias("old_path"), F.col("path").alias("new_path"))
-    every = renamed.select("feed", "file_no", F.lit("renamed").alias("change"), "old_path", "new_path").unionByName(plain).unionByName(fresh).unionByName(retyped)
-    return every.join(files.select("feed", "file_no", "file_name"), ["feed", "file_no"]).select("feed", "file_no", "file_name", "change", "old_path", "new_path").distinct()
+    edges = cut(_edges(cut(catalogue(records, feed, file_no, payload)), files))
+    each = _moving_values(records, edges, files, feed, file_no, payload, doc_path).distinct()
+    # a document's values of a path as one value of fixed size, in whatever order they come
+    held = each.groupBy("feed", "n", "doc", "role", "path").agg(F.struct(F.bit_xor("a"), F.bit_xor("b"), F.count("*")).alias("value"))
+    # the paths that move between two files are few; a pair that differs once is no rename
+    moves = held.groupBy("feed", "n", "doc").agg(F.collect_list(F.struct("role", "path", "value")).alias("moves"))
+    side = lambda role: F.filter("moves", lambda x: x["role"] == role)
+    pair = lambda o, w: F.struct(o["path"].alias("old_path"), w["path"].alias("new_path"), (o["value"] == w["value"]).alias("same"))
+    pairs = moves.select("feed", "n", F.explode(F.flatten(F.transform(side("old"), lambda o: F.transform(side("new"), lambda w: pair(o, w))))).alias("x")).select("feed", "n", "x.*")
+    renamed = cut(pairs.groupBy("feed", "n", "old_path", "new_path").agg(F.bool_and("same").alias("same")).where("same").select("feed", "n", "old_path", "new_path"))
+
+    def alone(edge: str, side: str) -> DataFrame:
+        known = renamed.select("feed", "n", F.col(side).alias("path")).distinct()
+        return edges.where(F.col("edge") == edge).join(known, ["feed", "n", "path"], "left_anti")
+
+    none = F.lit("")
+    every = [
+        renamed.select("feed", "n", F.lit("renamed").alias("change"), "old_path", "new_path"),
+        alone("end", "old_path").select("feed", "n", F.lit("removed").alias("change"), F.col("path").alias("old_path"), none.alias("new_path")),
+        alone("begin", "new_path").select("feed", "n", F.lit("added").alias("change"), none.alias("old_path"), F.col("path").alias("new_path")),
+        edges.where("edge = 'retype'").select("feed", "n", F.lit("retyped").alias("change"), F.col("path").alias("old_path"), F.col("path").alias("new_path")),
+    ]
+    changes = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    return changes.join(files.select("feed", "n", "file_no", "file_name"), ["feed", "n"]).select("feed", "file_no", "file_name", "change", "old_path", "new_path")
 
 
 def aliases(changes: DataFrame, columns: dict[str, tuple[list[str], str]]) -> dict[str, str]:
@@ -201,7 +252,7 @@ def consistent_table(records: DataFrame, key: str, feed: str, file_no: str, file
         for batch in batches:
             rows = []
             for i, payload in enumerate(batch.column("payload").to_pylist()):
-                fields = flatten(payload) if payload is not None else None
+                fields = flatten(payload, lists=False) if payload is not None else None
                 if fields is None:
                     continue
                 best: dict[str, tuple[int, str]] = {}

@@ -127,13 +127,14 @@ _VALID = " and ".join([
 RESPONSES = f"""p as (select distinct record_id, payload from portal_records), j as (select * from p where payload is not null and json_valid(payload)),
     ok as (select * from j where coalesce({_VALID}, false))"""
 
-#: Fields of valid payloads: a list of objects is passed through, a list of plain values is one value.
+#: Fields of valid payloads, read from the statement: every path whose value is neither null nor an object, lists of
+#: objects included; elements of a list are no fields themselves, but the keys of objects in it are.
 FLAT = """p as (select distinct feed, file_no, file_name, payload from portal_records where payload is not null and json_valid(payload) and feed is not null and file_no is not null),
     fl as (select feed, file_no, md5(payload) pid, json_extract_string(payload, '$.data.docGUId') doc, regexp_replace(fullkey[3:], '\\[[0-9]+\\]', '', 'g') path, id,
         case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' else 'number' end kind,
-        case type when 'VARCHAR' then json_extract_string(payload, fullkey) when 'ARRAY' then cast(json_extract_string(payload, fullkey) as varchar) else cast(value as varchar) end val
-        from p, json_tree(payload) where type not in ('NULL', 'OBJECT') and fullkey not like '%]' and not (type = 'ARRAY' and json_type(payload, fullkey || '[0]') = 'OBJECT')),
-    fields as (select feed, file_no, path, string_agg(distinct kind, ',' order by kind) kinds from fl group by 1, 2, 3),
+        case type when 'VARCHAR' then json_extract_string(payload, fullkey) when 'ARRAY' then cast(json_extract(payload, fullkey) as varchar) else cast(value as varchar) end val
+        from p, json_tree(payload) where type not in ('NULL', 'OBJECT') and fullkey not like '%]'),
+    fields as (select distinct feed, file_no, path, kind from fl),
     files as (select feed, file_no, max(file_name) file_name, row_number() over (partition by feed order by file_no) n, lag(file_no) over (partition by feed order by file_no) before, count(*) over (partition by feed) last
         from portal_records where feed is not null and file_no is not null group by feed, file_no)"""
 
@@ -147,11 +148,12 @@ _P1 = f"""with o as (select snapshot_id, row_number() over (order by taken_at, s
 ORACLES: dict[str, str] = {
     "p1_found": _P1 + " select snapshot_id, document_id, change from j join o using (n) where change is not null and n > 1",
     "p1_counts": _P1 + " select snapshot_id, " + ", ".join(f"count(*) filter (change = '{c}') {c}" for c in ("added", "removed", "changed")) + " from j join o using (n) where change is not null and n > 1 group by 1",
-    "p5_lifespans": _with(FLAT, "x as (select feed, path, file_no, n, last, n - row_number() over (partition by feed, path order by n) island from fields join files using (feed, file_no))")
-    + "select feed, path, min(file_no) first_file, max(file_no) last_file, count(*) files, max(n) = max(last) open_end from x group by feed, path, island",
+    "p5_lifespans": _with(FLAT, "x as (select feed, path, kind, file_no, n, last, n - row_number() over (partition by feed, path, kind order by n) island from fields join files using (feed, file_no))")
+    + "select feed, path, kind \"type\", min(file_no) first_file, max(file_no) last_file, count(*) files, max(n) = max(last) open_end from x group by feed, path, kind, island",
     "p5_found": _with(FLAT,
-        "a as (select f.feed, f.file_no later, f.before, f.file_name, x.path, x.kinds from files f join fields x on x.feed = f.feed and x.file_no = f.before)",
-        "b as (select f.feed, f.file_no later, f.before, f.file_name, x.path, x.kinds from files f join fields x using (feed, file_no) where f.before is not null)",
+        "sets as (select feed, file_no, path, string_agg(kind, ',' order by kind) kinds from fields group by 1, 2, 3)",
+        "a as (select f.feed, f.file_no later, f.before, f.file_name, x.path, x.kinds from files f join sets x on x.feed = f.feed and x.file_no = f.before)",
+        "b as (select f.feed, f.file_no later, f.before, f.file_name, x.path, x.kinds from files f join sets x using (feed, file_no) where f.before is not null)",
         "gone as (select * from a where not exists (select 1 from b where b.feed = a.feed and b.later = a.later and b.path = a.path))",
         "born as (select * from b where not exists (select 1 from a where b.feed = a.feed and b.later = a.later and b.path = a.path))",
         "vals as (select feed, file_no, doc, path, string_agg(distinct v, chr(1) order by v) v from (select feed, file_no, doc, path, pid, string_agg(val, chr(2) order by id) v from fl where doc is not null group by all) group by 1, 2, 3, 4)",

@@ -93,8 +93,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "portal_records")
-    flat = drift.flat_values(records, "feed", "file_no", "file_name", "payload", "data.docGUId")
-    return drift.lifespans(drift.catalogue(flat), drift.files_of(records, "feed", "file_no", "file_name"))
+    spans = drift.lifespans(drift.catalogue(records, "feed", "file_no", "payload"), drift.files_of(records, "feed", "file_no", "file_name"))
+    return spans.select("feed", "path", "type", "first_file", "last_file", "files", "open_end")
 
 
 @query
