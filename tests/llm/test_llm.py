@@ -4,9 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from vellum.functions.text import words
 from vellum.llm import encoding, forms, leak, mix, overlap, spans, split
 from vellum.llm.arrays import TextScan
+from vellum.llm.text import words
 
 VI = "Trạm kiểm tra lưu động có trách nhiệm mua bán sơ đồ tuyến quá hạn dọc theo kho hàng, mức 580.028.000 đồng. "
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from vellum.functions.text import fold_char
+from vellum.llm.text import fold_char
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)

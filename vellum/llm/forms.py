@@ -3,7 +3,7 @@
 The script sets of a word's letters (a letter's own script and those of its look-alikes) are intersected; the word is
 spelled in a script all its letters have, Latin first, which finds words of mixed scripts and words wholly made of
 another script's look-alikes. What remains (full width, accents apart from their letter, characters of no width, other
-spaces) is normalized. The rules for one string are in vellum.functions.text.
+spaces) is normalized. The rules for one string are in vellum.llm.text.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import SUSPECT_CLASS, canonical_column, canonical_form, odd_forms
 from vellum.llm.arrays import TextScan
+from vellum.llm.text import SUSPECT_CLASS, canonical_column, canonical_form, odd_forms
 
 
 def odd_texts(records: DataFrame, key: str | Column, text: str | Column) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import words, words_column
+from vellum.llm.text import words, words_column
 
 #: A word in at least this part of all records is common; there are at most (mean words a record) / COMMON of them.
 COMMON = 0.005
