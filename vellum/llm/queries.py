@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import LOOK_ALIKE
 from vellum.llm import encoding, forms, leak, mix, overlap, spans, split
-from vellum.plans.oracles import folded_words
+from vellum.plans.oracles import form
 from vellum.session import table
 
 
+def folded_words(column: str) -> str:
+    """SQL for words without case and accents, as a list."""
+    return f"regexp_extract_all(replace(strip_accents(lower({form(column)})), 'đ', 'd'), '[\\p{{L}}\\p{{N}}]+')"
+
+
 #: Vocabulary file of a public tokenizer.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
