@@ -1,13 +1,8 @@
-"""Unicode forms: one written form for text that looks the same, and folded words for loose comparison.
-
-Plain Python on one string at a time; the Spark wrappers at the end batch it through Arrow.
-"""
+"""Characters that look the same, and the one form in which ids and hashes are compared."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,182 +22,40 @@ LOOK_ALIKE = {
     # Armenian
     "օ": "o", "ս": "u", "հ": "h", "Օ": "O", "Ս": "U",
 }
-# Drawn like a Latin letter only loosely, or used as symbols on their own; they count inside Latin words.
-LOOSE_LOOK_ALIKE = {"α": "a", "ν": "v", "ι": "i", "ρ": "p", "υ": "u", "γ": "y", "κ": "k", "к": "k", "т": "t", "м": "m", "н": "h", "в": "b", "ԍ": "g"}
 # Latin letters that stand in for a Vietnamese or plain Latin one.
 LATIN_STAND_IN = {"ð": "đ", "Ð": "Đ", "ɖ": "đ", "Ɖ": "Đ", "ı": "i", "ɑ": "a", "ɡ": "g"}
 
 ZERO_WIDTH = "\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff"
 ODD_SPACE = "\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
-MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff"
 FULL_WIDTH = "\uff01-\uff5e\uffe0-\uffe6"
-MATH_LETTERS = "\U0001d400-\U0001d7ff"
-OTHER_SCRIPTS = "\u0370-\u03ff\u0400-\u052f\u0530-\u058f"
-
-#: Text without any of these characters is already in the one form; valid in Java and in Python.
-SUSPECT_CLASS = f"[{ZERO_WIDTH}{ODD_SPACE}{MARKS}{FULL_WIDTH}{MATH_LETTERS}{OTHER_SCRIPTS}{''.join(LATIN_STAND_IN)}]"
-
-_SUSPECT = re.compile(SUSPECT_CLASS)
-_ZERO = re.compile(f"[{ZERO_WIDTH}]")
-_SPACE = re.compile(f"[{ODD_SPACE}]")
-_WIDE = re.compile(f"[{FULL_WIDTH}{MATH_LETTERS}]")
-_CLUSTER = re.compile(f"[^\\W\\d_][{MARKS}]+")
-_TOKEN = re.compile(f"[^\\W_][\\w{MARKS}]*")
-_NOT_LATIN = re.compile(f"[{OTHER_SCRIPTS}{''.join(LATIN_STAND_IN)}]")
-_LATIN_ORIGINALS = {v: k for k, v in (LOOSE_LOOK_ALIKE | LOOK_ALIKE).items() if "Ѐ" <= k <= "ԯ"}
-
-
-@lru_cache(4096)
-def script(ch: str) -> str:
-    """latin, cyrillic, greek, armenian or '' (digits, marks, anything else)."""
-    if not ch.isalpha():
-        return ""
-    name = unicodedata.name(ch, "").split(" ", 1)[0].lower()
-    return name if name in ("latin", "cyrillic", "greek", "armenian") else ""
-
-
-def _genuine(token: str) -> bool:
-    """It has a letter of another script that no Latin letter looks like."""
-    return any(script(c) not in ("", "latin") and c not in LOOK_ALIKE and c not in LOOSE_LOOK_ALIKE for c in unicodedata.normalize("NFD", token))
-
-
-def _stand_ins(token: str) -> str:
-    """ð and the like as đ where đ can stand: at a word's beginning or in capitals (elsewhere it's a letter of its own)."""
-    if "þ" in token.lower() or any(c in "ðɖ" and token[i - 1].isalpha() for i, c in enumerate(token) if i):
-        return token
-    return "".join(LATIN_STAND_IN.get(c, c) for c in token)
-
-
-def _resolve(token: str, near: list[str]) -> str:
-    """The token in the script all of its letters can be drawn in; Latin first.
-
-    A letter's script set is its own script and that of its look-alike; the sets are intersected over the token. A token
-    wholly of another script's look-alikes is Latin, but not beside a genuine word of that script.
-    """
-    parts = unicodedata.normalize("NFD", token)
-    scripts = {s for c in parts if (s := script(c))}
-    others = scripts - {"latin"}
-    if not others:
-        return _stand_ins(token)
-    foreign = [c for c in parts if script(c) not in ("", "latin")]
-    latin = sum(script(c) == "latin" for c in parts)
-    every = LOOK_ALIKE | LOOSE_LOOK_ALIKE
-    if latin and (all(c in LOOK_ALIKE for c in foreign) or latin >= len(foreign) and all(c in every for c in foreign)):
-        table = every
-    elif not latin and all(c in LOOK_ALIKE for c in foreign):
-        if any(_genuine(x) and others & {script(c) for c in x} for x in near):
-            return token
-        table = LOOK_ALIKE
-    elif latin and all(c in _LATIN_ORIGINALS for c in parts if script(c) == "latin"):
-        return unicodedata.normalize("NFC", "".join(_LATIN_ORIGINALS.get(c, c) if script(c) == "latin" else c for c in parts))
-    elif latin > len(foreign):
-        table = every
-    else:
-        return token
-    return _stand_ins(unicodedata.normalize("NFC", "".join(table.get(c, c) for c in parts)))
-
-
-def _spell(text: str) -> tuple[str, bool]:
-    """text with each token in one script, and whether a letter stood in for a Latin or Vietnamese one."""
-    if not _NOT_LATIN.search(text):
-        return text, False
-    tokens = list(_TOKEN.finditer(text))
-    out, at, changed = [], 0, False
-    for i, m in enumerate(tokens):
-        token = m.group()
-        if _NOT_LATIN.search(token):
-            near = [tokens[j].group() for j in (i - 1, i + 1) if 0 <= j < len(tokens)]
-            spelled = _resolve(token, near)
-            if spelled != token:
-                changed |= any(script(c) == "latin" for c in spelled)
-                out += [text[at : m.start()], spelled]
-                at = m.end()
-    return "".join([*out, text[at:]]), changed
-
-
-def canonical_form(text: str | None) -> str | None:
-    """One form for text that looks the same: composed, plain width, plain spaces, nothing invisible, one script a word.
 
-    Tabs, line ends, genuine foreign words, symbols, superscripts and typographic quotes stay. None gives None.
-    """
-    if text is None or not _SUSPECT.search(text):
-        return text if text is None or text.isascii() else unicodedata.normalize("NFC", text)
-    text = _SPACE.sub(" ", _ZERO.sub("", text))
-    text = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
-    return unicodedata.normalize("NFC", _spell(unicodedata.normalize("NFC", text))[0])
 
+def _members(ranges: str) -> list[str]:
+    """Characters of a class written as single characters and ranges."""
+    out, i = [], 0
+    while i < len(ranges):
+        wide = ranges[i + 1 : i + 2] == "-"
+        out += map(chr, range(ord(ranges[i]), ord(ranges[i + 2 if wide else i]) + 1))
+        i += 3 if wide else 1
+    return out
 
-def odd_forms(text: str | None) -> list[str]:
-    """Which of full_width, apart_accent, no_width, odd_space, look_alike the text holds."""
-    if text is None or not _SUSPECT.search(text):
-        return []
-    found = []
-    if re.search(f"[{FULL_WIDTH}]", text):
-        found.append("full_width")
-    if any(_composes(m.group()) for m in _CLUSTER.finditer(_ZERO.sub("", text))):
-        found.append("apart_accent")
-    if _ZERO.search(text):
-        found.append("no_width")
-    if _SPACE.search(text):
-        found.append("odd_space")
-    plain = unicodedata.normalize("NFC", _SPACE.sub(" ", _ZERO.sub("", text)))
-    if _spell(plain)[1] or re.search(f"[{MATH_LETTERS}]", text):
-        found.append("look_alike")
-    return found
 
+#: Every character that an id may hold in place of a plain one.
+PLAIN = str.maketrans(
+    LOOK_ALIKE | LATIN_STAND_IN | dict.fromkeys(_members(ZERO_WIDTH), "") | dict.fromkeys(_members(ODD_SPACE), " ") | {c: unicodedata.normalize("NFKC", c) for c in _members(FULL_WIDTH)}
+)
 
-def _composes(cluster: str) -> bool:
-    base = LOOK_ALIKE.get(cluster[0], cluster[0])
-    return any(len(unicodedata.normalize("NFC", x + cluster[1:])) < len(cluster) for x in {base, cluster[0]})
 
+def plain_id(text: str) -> str:
+    """An id in plain letters: ids are of one script, so every look-alike is its Latin or Vietnamese letter."""
+    return unicodedata.normalize("NFC", text.translate(PLAIN)).upper().strip()
 
-@lru_cache(65536)
-def fold_char(ch: str) -> str:
-    """A character without case, accents and odd form: letters and digits, or '' (vanishes), or ' ' (parts words)."""
-    if _ZERO.match(ch):
-        return ""
-    out = []
-    for c in unicodedata.normalize("NFKD", ch):
-        c = LATIN_STAND_IN.get(c, LOOK_ALIKE.get(c, LOOSE_LOOK_ALIKE.get(c, c)))
-        for x in unicodedata.normalize("NFKD", c.casefold()):
-            x = "d" if x == "đ" else LOOK_ALIKE.get(x, x)
-            if unicodedata.category(x) == "Mn":
-                continue
-            out.append(x if x.isalnum() else " ")
-    folded = "".join(out)
-    return folded if len(folded) < 2 or ch.isalpha() else " "
 
-
-def fold(text: str) -> str:
-    """text without case, accents (đ = d) and odd forms; runs of anything but letters and digits become one space."""
-    return " ".join("".join(map(fold_char, text)).split())
-
-
-def words(text: str | None) -> list[str]:
-    """Folded words in order; none for None."""
-    return [] if text is None else fold(text).split()
-
-
-def canonical_column(column: Column) -> Column:
-    """canonical_form over a string column."""
+def key_form(column: Column) -> Column:
+    """Ids and hashes written differently in one form: plain letters, composed, trimmed, in capitals; null stays null."""
 
     @F.pandas_udf(T.StringType())
     def run(values: pd.Series) -> pd.Series:
-        return values.map(canonical_form, na_action="ignore")
+        return values.map(plain_id, na_action="ignore")
 
     return run(column)
-
-
-def words_column(column: Column) -> Column:
-    """words over a string column; null gives an empty array."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: words(x) if isinstance(x, str) else [])
-
-    return run(column)
-
-
-def key_form(column: Column) -> Column:
-    """Ids and hashes written differently: the one form, trimmed, in capitals (before, so that ð is seen as a capital)."""
-    return F.upper(F.trim(canonical_column(F.upper(column))))

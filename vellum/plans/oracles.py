@@ -16,11 +16,6 @@ def form(column: str) -> str:
     return f"translate(regexp_replace(nfc_normalize({column}), '[{_INVISIBLE}]', '', 'g'), '{''.join(_FORM)}', '{_PLAIN}')"
 
 
-def folded_words(column: str) -> str:
-    """Words without case and accents, as a list."""
-    return f"regexp_extract_all(replace(strip_accents(lower({form(column)})), 'đ', 'd'), '[\\p{{L}}\\p{{N}}]+')"
-
-
 def _key(column: str) -> str:
     return f"upper(trim({form(column)}))"
 
@@ -93,10 +88,12 @@ def _with(*parts: str) -> str:
     return "with " + ", ".join(parts) + " "
 
 
-def _manifest(snapshot: str, *columns: str) -> str:
-    order = ", ".join(f"({c} is not null) desc, {c} desc" for c in columns)
+def _manifest(back: int, *columns: str) -> str:
+    """The last delivery of each document in the last snapshot or one before; of several at one time the fullest, then the largest."""
     order = "delivered_at desc nulls last, " + ", ".join(f"({c} is not null) desc" for c in columns) + ", " + ", ".join(f"{c} desc" for c in columns)
-    return f"(select upper(trim(document_id)) document_id, {', '.join(columns)} from manifest_entries where snapshot_id = '{snapshot}' qualify row_number() over (partition by upper(trim(document_id)) order by {order}) = 1)"
+    named = f"(select snapshot_id from snapshots order by taken_at desc, snapshot_id desc limit 1 offset {back})"
+    formed = f"(select * replace ({_key('document_id')} as document_id, {_key('content_sha256')} as content_sha256) from manifest_entries where snapshot_id = {named} and document_id is not null)"
+    return f"(select snapshot_id, document_id, {', '.join(columns)} from {formed} qualify row_number() over (partition by document_id order by {order}) = 1)"
 
 
 def _code(code: str, table: str, key: str, test: str) -> str:
@@ -168,14 +165,18 @@ ORACLES: dict[str, str] = {
         cast(coalesce(json_array_length(payload, '$.data.signers'), 0) as bigint) signers, try_cast({_json("data.issueDate")}[1:10] as date) issued_date, try_cast({_json("data.effectDate")}[1:10] as date) effective_from,
         {_json("data.effectStatus.effectStatusName")} source_effect_status, case {_json("data.effectStatus.effectStatusName")} when 'Còn hiệu lực' then 'current' when 'Hết hiệu lực' then 'repealed' when 'Hết hiệu lực một phần' then 'amended' else 'unknown' end status, sha256(payload) content_sha256 from ok""",
     "quarantine": _with(RESPONSES) + "select record_id, 'SCHEMA' code from p where record_id not in (select record_id from ok)",
+    "html_texts": _with(RESPONSES, f"h as (select {_json('data.docIdentity')} || '#' || record_id document_id, nfc_normalize(regexp_replace(regexp_replace(regexp_replace({_json('data.docContent')}, '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'gs'), '(</?(article|br|div|h1|h2|h3|li|p|section|tr)([\\s/][^>]*)?>)+', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g')) t from ok)",
+        "e as (select document_id, replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') t from h)")
+    + r"select document_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[^\S\n]+|\x{a0}+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') as text from e",
     "catalog_identity": _with(DOCS, RESPONSES, f"f as (select distinct {_json('data.docGUId')} g, {_json('data.docIdentity')} i, {_json('data.docName')} t from ok)", "x as (select d.portal_document_guid document_guid, document_id, title, i, t from d left join f on g = d.portal_document_guid)",
         f"c as (select document_guid, case when i is null then 'MISSING' when i <> document_id then 'IDENTITY' when {BLANKS.format('t').replace('nfc_normalize(t)', 't')} <> {BLANKS.format('title').replace('nfc_normalize(title)', 'title')} then 'TITLE' end code from x)")
     + "select distinct document_guid, code from c where code is not null",
     "raw_receipts": "select sha256(payload) content_sha256, strftime(min(delivered_at), '%Y-%m-%d %H:%M:%S') retrieved_at, count(*) deliveries from portal_records where payload is not null group by 1",
-    "raw_new_contents": "select distinct sha256(payload) content_sha256, length(payload) chars from portal_records where file_no = 12 and payload not in (select payload from portal_records where file_no < 12 and payload is not null)",
-    "manifest_upsert": f"""with a as {_manifest("traffic-r11", "content_sha256", "parser_version", "artifact_version")}, b as {_manifest("traffic-r12", "content_sha256", "parser_version", "artifact_version")},
+    "raw_new_contents": """with l as (select feed, max(file_no) last from portal_records group by 1), p as (select payload, file_no = last is_last from portal_records join l using (feed) where payload is not null)
+        select distinct sha256(payload) content_sha256, length(payload) chars from p where is_last and payload not in (select payload from p where not is_last)""",
+    "manifest_upsert": f"""with a as {_manifest(1, "content_sha256", "parser_version", "artifact_version")}, b as {_manifest(0, "content_sha256", "parser_version", "artifact_version")},
         x as (select * from b union all select * from a where document_id not in (select document_id from b))
-        select document_id, content_sha256, parser_version, coalesce(artifact_version, '1') artifact_version, url_encode(document_id || '__traffic-r12') file from x""",
+        select document_id, content_sha256, parser_version, coalesce(artifact_version, '1') artifact_version, url_encode(document_id || '__' || (select max(snapshot_id) from b)) file from x""",
     "content_hashes": "select sha256(text) content_sha256, count(*) documents, min(doc_id) first_doc_id from documents where text is not null group by 1 having count(*) > 1",
     "status_and_type": _with(DOCS) + """select case source_effect_status when 'Còn hiệu lực' then 'current' when 'Hết hiệu lực' then 'repealed' when 'Hết hiệu lực một phần' then 'amended' else 'unknown' end status,
         case when contains(document_id, '/QH') then 'law' when contains(document_id, '/NĐ-CP') then 'decree' when contains(document_id, '/TT-') then 'circular' when contains(document_id, '/QĐ-') then 'decision' else 'other' end document_type, count(*) documents from d group by 1, 2""",
@@ -221,10 +222,10 @@ ORACLES: dict[str, str] = {
         _code("URL", "d", "document_id", "not (starts_with(source_url, 'https://') and starts_with(content_url, 'https://'))"), _code("STATUS", "d", "document_id", "status not in ('current', 'repealed', 'amended', 'unknown')"),
         _code("SNAPSHOT", "d", "document_id", "trim(snapshot_id) = ''"), "select document_id, 'DATES' code from d where effective_to < effective_from", "select document_id, 'DUPLICATE' code from d group by 1 having count(*) > 1",
     ]),
-    "manifest_violations": _with(DOCS, f"m as {_manifest('traffic-r12', 'content_sha256', 'portal_document_guid', 'normalizer_version', 'parser_version', 'artifact_version')}",
+    "manifest_violations": _with(f"d as (select * replace ({_key('document_id')} as document_id, {_key('content_sha256')} as content_sha256) from (select distinct * from legal_documents))", f"m as {_manifest(0, 'content_sha256', 'portal_document_guid', 'normalizer_version', 'parser_version', 'artifact_version')}",
         "j as (select coalesce(m.document_id, d.document_id) document_id, m.document_id md, d.document_id dd, " + ", ".join(f"m.{c} is distinct from d.{c} {k}" for k, c in (("HASH", "content_sha256"), ("GUID", "portal_document_guid"), ("NORMALIZER", "normalizer_version"), ("PARSER", "parser_version"), ("ARTIFACT", "artifact_version"))) + " from m full join d on m.document_id = d.document_id)")
     + "select distinct document_id, 'MISSING' code from j where dd is null union select document_id, 'EXTRA' from j where md is null" + "".join(f" union select document_id, '{k}' from j where md is not null and dd is not null and {k}" for k in ("HASH", "GUID", "NORMALIZER", "PARSER", "ARTIFACT")),
-    "key_sets": "with a as (select distinct document_id from legal_units), b as (select distinct document_id from manifest_entries where snapshot_id = 'traffic-r12') select document_id, 'left' side from a where document_id not in (select document_id from b) union all select document_id, 'right' from b where document_id not in (select document_id from a)",
+    "key_sets": f"with a as (select distinct {_key('document_id')} document_id from legal_units), b as {_manifest(0, 'content_sha256')} select document_id, 'left' side from a where document_id not in (select document_id from b) union all select document_id, 'right' from b where document_id not in (select document_id from a)",
     "snapshot_report": _with(DOCS, UNITS, "n as (select document_id, count(*) unit_count, " + ", ".join(f"count(*) filter (unit_type = '{t}') {t}_count" for t in _TYPES) + " from u group by 1)",
         "x as (select document_id, status, effective_from, content_sha256, coalesce(unit_count, 0) unit_count, " + ", ".join(f"coalesce({t}_count, 0) {t}_count" for t in _TYPES) + " from d left join n using (document_id))")
     + "select * from x union all select null, null, null, null, cast(sum(unit_count) as bigint), " + ", ".join(f"cast(sum({t}_count) as bigint)" for t in _TYPES) + " from x",

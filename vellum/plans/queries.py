@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import key_form
@@ -138,17 +138,28 @@ def raw_receipts(spark: SparkSession, d: str) -> DataFrame:
 def raw_new_contents(spark: SparkSession, d: str) -> DataFrame:
     """What the last file of each feed would add to the raw store of the files before."""
     raw = table(spark, d, "portal_records")
-    stored = artifacts.first_receipts(raw.where("file_no < 12"), "payload", "delivered_at")
-    return artifacts.new_contents(raw.where("file_no = 12"), stored, "payload").select("content_sha256", F.length("payload").cast("long").alias("chars"))
+    last = raw.groupBy("feed").agg(F.max("file_no").alias("last"))
+    placed = raw.join(last, "feed").select("payload", "delivered_at", (F.col("file_no") == F.col("last")).alias("is_last"))
+    stored = artifacts.first_receipts(placed.where("not is_last"), "payload", "delivered_at")
+    return artifacts.new_contents(placed.where("is_last"), stored, "payload").select("content_sha256", F.length("payload").cast("long").alias("chars"))
+
+
+def _manifest(spark: SparkSession, d: str, back: int, columns: list[str]) -> DataFrame:
+    """One row a document of the last snapshot (back 0) or one before: ids and hashes in the one form, the last delivery."""
+    newest = F.row_number().over(Window.orderBy(F.desc("taken_at"), F.desc("snapshot_id")))  # one row a snapshot
+    chosen = table(spark, d, "snapshots").select("snapshot_id", newest.alias("n")).where(F.col("n") == back + 1).select("snapshot_id")
+    rows = table(spark, d, "manifest_entries").join(F.broadcast(chosen), "snapshot_id").withColumns({c: key_form(F.col(c)) for c in ("document_id", "content_sha256")})
+    return snapshots.latest_rows(rows.where("document_id is not null"), ["snapshot_id", "document_id"], "delivered_at", columns)
 
 
 @query
 def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest of the last snapshot but one, brought up to the last: one row a document."""
-    columns = ["document_id", "content_sha256", "parser_version", "artifact_version"]
-    rows = table(spark, d, "manifest_entries").withColumn("document_id", F.upper(F.trim("document_id")))
-    last = {n: snapshots.latest_rows(rows.where(F.col("snapshot_id") == f"traffic-r{n}"), ["document_id"], "delivered_at", columns[1:]) for n in (11, 12)}
-    return artifacts.upsert(last[11], last[12], "document_id").withColumn("artifact_version", F.coalesce("artifact_version", F.lit("1"))).withColumn("file", artifacts.file_component(F.concat_ws("__", "document_id", F.lit("traffic-r12"))))
+    """The manifest of the last snapshot but one, brought up to the last: one row a document, under the last's name."""
+    columns = ["content_sha256", "parser_version", "artifact_version"]
+    before, last = _manifest(spark, d, 1, columns), _manifest(spark, d, 0, columns)
+    both = artifacts.upsert(before.drop("snapshot_id"), last.drop("snapshot_id"), "document_id")
+    name = last.select(F.max("snapshot_id")).scalar()
+    return both.withColumn("artifact_version", F.coalesce("artifact_version", F.lit("1"))).withColumn("file", artifacts.file_component(F.concat_ws("__", "document_id", name)))
 
 
 @query
@@ -295,15 +306,16 @@ def document_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "manifest_entries").where("snapshot_id = 'traffic-r12'").withColumn("document_id", F.upper(F.trim("document_id")))
-    last = snapshots.latest_rows(rows, ["document_id"], "delivered_at", ["content_sha256", "portal_document_guid", "normalizer_version", "parser_version", "artifact_version"])
-    return integrity.manifest_violations(last, _documents(spark, d))
+    last = _manifest(spark, d, 0, ["content_sha256", "portal_document_guid", "normalizer_version", "parser_version", "artifact_version"])
+    parsed = _documents(spark, d).withColumns({c: key_form(F.col(c)) for c in ("document_id", "content_sha256")})
+    return integrity.manifest_violations(last, parsed)
 
 
 @query
 def key_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Laws that only the unit table or only the manifest names."""
-    return integrity.key_set_difference(_units(spark, d), table(spark, d, "manifest_entries").where("snapshot_id = 'traffic-r12'"), "document_id")
+    """Laws that only the unit table or only the last manifest names, by the one form of their ids."""
+    named = _units(spark, d).select("document_id").distinct().select(key_form(F.col("document_id")).alias("document_id"))
+    return integrity.key_set_difference(named, _manifest(spark, d, 0, ["content_sha256"]), "document_id")
 
 
 @query

@@ -13,13 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where it is unset (tests) make a local one."""
+    """Use the folder the session names in spark.checkpoint.dir.
+
+    Only a session in one process may be without: it gets a folder of its own. On a cluster that is an error, as each
+    executor would write to its own disk.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellum-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, written to the shared folder and read from there: it survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system Spark reads; a failing file system is an error."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

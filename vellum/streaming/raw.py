@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vellum.session import folder_exists
 from vellum.sources.artifacts import new_contents
 
 RAW = "record_id BIGINT, feed STRING, file_no INT, file_name STRING, delivered_at TIMESTAMP, payload STRING"
+STORE = "content_sha256 STRING, payload STRING, part STRING"
 
 
 def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
@@ -19,16 +21,22 @@ def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
 def store_new(deliveries: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Appends contents that the store doesn't hold yet (content_sha256, payload), once each, in whatever batch they come.
 
-    A batch that is run again after a failure finds what it had written and adds nothing.
+    The store lies in 256 folders by the hash's first two digits (part), and a batch reads the hashes of its own folders
+    only. A batch that is run again after a failure finds what it had written and adds nothing; a store that can't be
+    read is an error, never an empty store.
     """
+    part = F.substring("content_sha256", 1, 2)
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(store).select("content_sha256")
-        except Exception:  # noqa: BLE001  no store yet
+        batch = batch.persist()
+        if folder_exists(spark, store):
+            parts = [r[0] for r in batch.where("payload is not null").select(F.substring(F.sha2("payload", 256), 1, 2)).distinct().collect()]  # at most 256
+            stored = spark.read.schema(STORE).parquet(store).where(F.col("part").isin(parts)).select("content_sha256")
+        else:
             stored = spark.createDataFrame([], "content_sha256 string")
-        new_contents(batch, stored, "payload").write.mode("append").parquet(store)
+        new_contents(batch, stored, "payload").withColumn("part", part).write.mode("append").partitionBy("part").parquet(store)
+        batch.unpersist()
 
     return deliveries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
