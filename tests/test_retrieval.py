@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from datetime import date, datetime
 
 import pytest
@@ -59,7 +60,8 @@ def test_queries_are_bounded(spark):
 
 
 def test_bm25_by_hand(spark, units, documents):
-    got = {r["unit_id"]: r["lexical_score"] for r in lexical.bm25_topk(_asked(spark, q="xe xe Dừng"), units, "unit_id", "text", 10).collect()}
+    index = lexical.postings(units, "unit_id", "text")
+    got = {r["unit_id"]: r["lexical_score"] for r in lexical.bm25_topk(_asked(spark, q="xe xe Dừng"), index, 10).collect()}
     sizes = {u[1]: len(u[6].split()) for u in UNITS}
     mean = sum(sizes.values()) / 5
     idf = lambda df: math.log(1 + (5 - df + 0.5) / (df + 0.5))
@@ -70,10 +72,66 @@ def test_bm25_by_hand(spark, units, documents):
         if s:
             want[u[1]] = round(s, 6)
     assert got == pytest.approx(want, abs=2e-6)
-    assert lexical.bm25_topk(_asked(spark, q="không có"), units, "unit_id", "text").count() == 0
-    assert lexical.bm25_topk(_asked(spark, q="xe"), units.where("false"), "unit_id", "text").count() == 0
+    assert tuple(lexical.index_stats(index).first()) == (5, sum(sizes.values()), mean)
+    assert lexical.bm25_topk(_asked(spark, q="không có"), index).count() == 0
+    assert lexical.bm25_topk(_asked(spark, q="xe"), lexical.postings(units.where("false"), "unit_id", "text")).count() == 0
     with pytest.raises(ValueError, match="between"):
-        lexical.bm25_topk(_asked(spark, q="xe"), units, "unit_id", "text", 0)
+        lexical.bm25_topk(_asked(spark, q="xe"), index, 0)
+
+
+def _shuffled_rows(df):
+    """Rows written by each exchange of a plan that has run."""
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    df.collect()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "Exchange":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for part in ("executedPlan", "plan"):
+            if hasattr(node, part) and ("QueryStage" in name or name == "AdaptiveSparkPlan") and part == ("executedPlan" if name == "AdaptiveSparkPlan" else "plan"):
+                todo.append(getattr(node, part)())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_topk_is_taken_in_the_tasks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"u{i:04}", f"d{i % 7}", " ".join(rng.choice("abcdefghij") for _ in range(12))) for i in range(600)]
+    held = spark.createDataFrame(rows, "unit_id string, document_id string, text string").repartition(5)
+    asked = _asked(spark, q1="a b c", q2="d e", q3="f g h")
+    index = lexical.postings(held, "unit_id", "text")
+    found = lexical.bm25_topk(asked, index, 4)
+    assert min(_shuffled_rows(found)) <= 4 * 3 * 5  # k rows a query and task, of 600 units that hold a term
+    whole = sorted(map(tuple, found.collect()))
+    assert len(whole) == 12
+    scope = spark.createDataFrame([("q1", "d1"), ("q1", "d2"), ("q2", "none")], "query_id string, document_id string")
+    scoped = {(r["query_id"], r["unit_id"]) for r in lexical.bm25_topk(asked, index, 150, scope).collect()}
+    owner = {u: d for u, d, _ in rows}
+    assert {q for q, _ in scoped} == {"q1", "q3"} and {owner[u] for q, u in scoped if q == "q1"} == {"d1", "d2"} and sum(q == "q3" for q, _ in scoped) == 150
+    vectors = spark.createDataFrame([(i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in [*range(300), *range(40)]], "vec_id int, v array<double>").repartition(5)
+    near = dense.cosine_topk(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "v", 4)
+    best = sorted(map(tuple, near.collect()))
+    by: dict = {}
+    for i, v in map(tuple, vectors.collect()):
+        by.setdefault(i, []).append(v)
+    unit = {i: [[x / math.hypot(*v) for x in v] for v in vs if any(v)] for i, vs in by.items()}
+    first = {tuple(r)[0]: tuple(r)[1] for r in vectors.where("vec_id % 20 = 0").dropDuplicates(["vec_id"]).collect()}
+    want = []
+    for q, v in first.items():
+        if not any(v) or len(by[q]) > 1:
+            continue
+        own = [x / math.hypot(*v) for x in v]
+        scores = sorted((-max(round(sum(a * b for a, b in zip(own, w, strict=True)), 6) for w in ws), i) for i, ws in unit.items() if ws and i != q)
+        want += [(q, i, -s, n) for n, (s, i) in enumerate(scores[:4], 1)]
+    assert [r for r in best if len(by[r[0]]) == 1] == sorted(want)
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 2)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, lexical.bm25_topk(asked, index, 4).collect())) == whole
+    once = vectors.where("vec_id >= 40")
+    assert sorted(map(tuple, dense.cosine_topk(once.where("vec_id % 20 = 0"), vectors, "vec_id", "v", 4).collect())) == [r for r in best if r[0] >= 40]
 
 
 def test_exact_hits_come_first(spark, units, documents):

@@ -130,7 +130,7 @@ def validate_gold_set(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 @command("build-lexical-index")
 def build_lexical_index(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     lexical.postings(_units(spark, a), "unit_id", "text").write.mode("overwrite").parquet(f"{a.root}/postings.parquet")
-    return lexical.index_stats(_units(spark, a), "unit_id", "text")
+    return lexical.index_stats(table(spark, a.root, "postings"))
 
 
 def _query(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

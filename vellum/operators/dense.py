@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,59 +35,66 @@ def normalized(vector: Column) -> Column:
 def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
     """The k nearest other vectors of each query by exact cosine: query_id, key, dense_score (6 digits), dense_rank.
 
-    queries and vectors have key and vector. Queries go to all tasks in blocks of bounded size; a task keeps the best k
-    of its rows for each query, so only k rows a query and task are shuffled. Null and zero vectors and those of another
-    length than the query's have no score; a query never finds its own key. Ties rank by key.
+    queries and vectors have key and vector. Queries go to all tasks in blocks of at most QUERY_BLOCK; a task keeps the
+    best k of all its rows for each query and hands on only these, at its end. Null and zero vectors and those of another
+    length than the query's have no score; a query never finds its own key; a key with several vectors counts by its
+    best. Ties rank by key.
     """
     spark = vectors.sparkSession
-    asked = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("vector")).dropDuplicates(["query_id"])
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    asked = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("vector")).dropDuplicates(["query_id"])
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     key_type = vectors.schema[key].dataType.simpleString()
     source = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    found: DataFrame | None = None
+    parts = []
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
-        block = spark.sparkContext.broadcast(_unit_rows(rows.column("query_id").to_pylist(), rows.column("vector").to_pylist()))
-        id_type = rows.schema.field("query_id").type
+        block = spark.sparkContext.broadcast(_unit_rows(rows.column("query_id").combine_chunks(), rows.column("vector").combine_chunks()))
 
-        def steps(batches: Iterator[pa.RecordBatch], block=block, id_type=id_type) -> Iterator[pa.RecordBatch]:
+        def steps(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            best: dict[int, pd.DataFrame] = {}
             for batch in batches:
-                keys = batch.column("key").to_pylist()
-                out: list[tuple] = []
-                for size, (ids, unit) in block.value.items():
-                    own, other = _unit_rows(keys, batch.column("vector").to_pylist()).get(size, ([], None))
-                    if not own:
-                        continue
-                    scores = np.round(unit @ other.T, 6)
-                    order = sorted(range(len(own)), key=lambda i: own[i])
-                    place = np.empty(len(own), np.int64)
-                    place[order] = np.arange(len(own))
-                    for q, row in zip(ids, scores, strict=True):
-                        best = np.lexsort((place, -row))[: k + 1]
-                        out += [(q, own[i], float(row[i])) for i in best if own[i] != q][:k]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], id_type), pa.array([r[1] for r in out], batch.column("key").type), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "key", "dense_score"])
-
-        part = source.mapInArrow(steps, f"query_id {key_type}, key {key_type}, dense_score double")
-        found = part if found is None else found.unionByName(part)
+                for size, (keys, unit) in _unit_rows(batch.column("key"), batch.column("vector")).items():
+                    if size in block.value:
+                        best[size] = _better(best.get(size), *block.value[size], keys, unit, k)
+            for found in best.values():
+                yield pa.RecordBatch.from_pandas(found[["query_id", "key", "dense_score"]], preserve_index=False)
+
+        parts.append(source.mapInArrow(steps, f"query_id {key_type}, key {key_type}, dense_score double"))
+    every = reduce(DataFrame.unionByName, parts).groupBy("query_id", "key").agg(F.max("dense_score").alias("dense_score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "key"))
-    return found.dropDuplicates(["query_id", "key"]).withColumn("dense_rank", rank).where(F.col("dense_rank") <= k).withColumnRenamed("key", key)
-
-
-def _unit_rows(keys: list, vectors: list) -> dict[int, tuple[list, np.ndarray]]:
+    return every.withColumn("dense_rank", rank).where(F.col("dense_rank") <= k).withColumnRenamed("key", key)
+
+
+def _better(best: pd.DataFrame | None, ids: np.ndarray, queries: np.ndarray, keys: np.ndarray, unit: np.ndarray, k: int) -> pd.DataFrame:
+    """The best k keys of each query among those so far and some new vectors: query, query_id, key, dense_score."""
+    # what can be among the best: no worse than the k-th of these vectors (one more for the query's own key, and the repeats)
+    scores = np.round(queries @ unit.T, 6)
+    most = k + 1 + len(keys) - len(pd.unique(keys))
+    least = np.partition(scores, len(keys) - most, axis=1)[:, len(keys) - most] if most < len(keys) else np.full(len(ids), -2.0)
+    if best is not None:  # nor worse than the k-th so far
+        full = best.groupby("query")["dense_score"].agg(["size", "min"])
+        full = full[full["size"] == k]
+        least[full.index] = np.maximum(least[full.index], full["min"])
+    q, at = np.nonzero(scores >= least[:, None])
+    new = pd.DataFrame({"query": q, "query_id": ids[q], "key": keys[at], "dense_score": scores[q, at]})
+    every = pd.concat([best, new[new["query_id"] != new["key"]]]) if best is not None else new[new["query_id"] != new["key"]]
+    ranked = every.sort_values(["query", "dense_score", "key"], ascending=[True, False, True], kind="stable").drop_duplicates(["query", "key"])
+    return ranked.groupby("query").head(k)
+
+
+def _unit_rows(keys: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Keys and unit vectors by dimension, without zero and non-finite ones."""
-    by_size: dict[int, tuple[list, list]] = {}
-    for key, v in zip(keys, vectors, strict=True):
-        if v and all(x is not None for x in v):
-            ids, rows = by_size.setdefault(len(v), ([], []))
-            ids.append(key)
-            rows.append(v)
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     out = {}
-    for size, (ids, rows) in by_size.items():
-        m = np.asarray(rows, np.float64)
+    for size in np.unique(sizes[sizes > 0]).astype(int):
+        chosen = np.flatnonzero(sizes == size)
+        rows = vectors.take(pa.array(chosen))
+        m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
         length = np.sqrt((m * m).sum(axis=1))
         good = np.isfinite(length) & (length > 0)
-        out[size] = ([k for k, g in zip(ids, good, strict=True) if g], m[good] / length[good, None])
+        if good.any():
+            own = keys.take(pa.array(chosen[good]))
+            out[int(size)] = (own.to_numpy(zero_copy_only=False), m[good] / length[good, None])
     return out
 
 

@@ -6,23 +6,21 @@ ranking; ties rank by unit_id. All questions run in one plan.
 
 from __future__ import annotations
 
-import math
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.session import cut
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}_]+"
 MAX_QUERY = 1000
-#: Queries sent to the tasks at once.
-QUERY_BLOCK = 2048
+#: Terms of queries sent to the tasks at once (a row each); more queries are searched block by block.
+QUERY_TERMS = 100_000
 # How a text names an article, a clause and a point, without case and accents.
 ARTICLE, CLAUSE = r"\bdieu\s+(\d+[a-z]?)\b", r"\bkhoan\s+(\d+[a-z]?)\b"
 POINT = r"(?iu)(?<![\p{L}\p{N}_])(?:điểm|diem)\s+([a-zđ])(?![\p{L}\p{N}_])"
@@ -66,108 +64,73 @@ def normalized_queries(queries: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def postings(units: DataFrame, key: str, text: str) -> DataFrame:
-    """unit_id, term, tf, size (tokens of the unit)."""
-    listed = units.select(F.col(key).alias("unit_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    each = listed.select("unit_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    return each.groupBy("unit_id", "size", "term").agg(F.count("*").alias("tf"))
+    """The index: unit_id, document_id, size (tokens of the unit), term, tf, head; a unit without tokens has one row of null term.
+
+    head marks one row of each unit, so that units can be counted without bringing their rows together. Rows of a unit
+    lie in one partition. Null keys are left out, a null text is empty; document_id is null where units have none.
+    """
+    document = F.col("document_id") if "document_id" in units.columns else F.lit(None).cast("string").alias("document_id")
+    listed = units.where(F.col(key).isNotNull()).select(F.col(key).alias("unit_id"), document, tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms")).repartition("unit_id")
+    each = listed.select("unit_id", "document_id", F.size("terms").alias("size"), F.posexplode_outer("terms").alias("pos", "term"))
+    return each.groupBy("unit_id", "document_id", "size", "term").agg(F.count("term").alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("head"))
 
 
-def index_stats(units: DataFrame, key: str, text: str) -> DataFrame:
+def index_stats(index: DataFrame) -> DataFrame:
     """One row: units, tokens, mean_size; of all units, empty ones too."""
-    sized = units.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("size"))
-    return sized.agg(F.count("*").alias("units"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("tokens"), F.round(F.coalesce(F.avg("size"), F.lit(0.0)), 6).alias("mean_size"))
+    sums = index.agg(F.count_if("head").alias("units"), F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("tokens"))
+    return sums.select("units", "tokens", F.round(F.when(F.col("units") > 0, F.col("tokens") / F.col("units")).otherwise(0.0), 6).alias("mean_size"))
 
 
-def bm25_topk(queries: DataFrame, units: DataFrame, key: str, text: str, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
+def _weights(queries: DataFrame, index: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """query, query_id, term, idf, mean, document_id (null where a query isn't limited) of terms that stand in some unit.
+
+    query is a number that stands for the id in the join; mean is the mean size of all units.
+    """
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    frequency = index.where("term is not null").join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    stats = index_stats(index)
+    n, mean = stats.select("units").scalar(), stats.select("mean_size").scalar()
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.select("query_id", F.explode("terms").alias("term")).join(frequency, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("terms"))
+    if scope is None:
+        limited = weighed.withColumn("document_id", F.lit(None).cast("string"))
+    else:
+        limited = weighed.join(scope.select("query_id", "document_id").distinct(), "query_id", "left")
+    numbered = cut(limited.select(F.monotonically_increasing_id().alias("query"), "query_id", "terms", "document_id", mean.alias("mean")))
+    return numbered.select("query", "query_id", "document_id", "mean", F.inline("terms"))
+
+
+def bm25_topk(queries: DataFrame, index: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """The k best units for each query: query_id, unit_id, lexical_score, lexical_rank.
 
-    queries: query_id, query (see normalized_queries); units: one row a unit. A query's terms count once. scope
-    (query_id, document_id) limits the queries it names to units of these documents. k must be 1 to 50 (150 for the pool
-    that is merged with exact hits). Null keys and texts and queries without words find nothing.
+    queries: query_id, query (see normalized_queries); index: see postings. A query's terms count once. scope (query_id,
+    document_id) limits the queries it names to units of these documents. k must be 1 to 50 (150 for the pool that is
+    merged with exact hits). Null keys and queries without words find nothing.
 
-    Queries go to all tasks in blocks of bounded size; a task scores its units and keeps the best k a query, so what is
-    shuffled are k rows a query and task and the document frequencies of the queries' terms, never the hits.
+    Terms of queries are joined with the postings in blocks of at most QUERY_TERMS rows, which are broadcast. The rows of
+    a unit lie together, so its scores are summed where they are, and the ranking keeps the best k a query and task
+    before anything is shuffled.
     """
     if not 1 <= k <= 150:
         raise ValueError("k must be between 1 and 150")
-    spark = units.sparkSession
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))
-    stats = index_stats(units, key, text).first()
-    n, mean = stats["units"], stats["mean_size"] or 1.0
-    key_type, id_type = units.schema[key].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    source = units.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), (F.col("document_id") if scope is not None else F.lit(None).cast("string")).alias("document_id"), tokens(F.col(text)).alias("terms"))
-    found: DataFrame | None = None
+    weights = _weights(queries, index, scope)
+    blocks = max(1, -(-weights.count() // QUERY_TERMS))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    held = index.where("term is not null").select("unit_id", "document_id", "term", "tf", "size")
+    parts = []
     for b in range(blocks):
-        here = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = here.collect()
-        limits: dict = {}
-        if scope is not None:
-            for r in scope.join(here.select("query_id"), "query_id", "left_semi").distinct().collect():
-                limits.setdefault(r["query_id"], set()).add(r["document_id"])
-        # of a block's terms (bounded by its queries) only their frequencies come back
-        terms = {t for r in rows for t in r["terms"]}
-        wanted = F.broadcast(spark.createDataFrame([(t,) for t in sorted(terms)], "term string"))
-        frequency = source.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").count()
-        idf = {r["term"]: math.log(1 + (n - r["count"] + 0.5) / (r["count"] + 0.5)) for r in frequency.collect()}
-        block = spark.sparkContext.broadcast(QueryBlock([r["query_id"] for r in rows], [r["terms"] for r in rows], idf, limits, mean, k))
-
-        def steps(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, places, scores = block.value.best(batch.column("key").to_pylist(), batch.column("document_id").to_pylist(), batch.column("terms").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("key").take(pa.array(places, pa.int64())), pa.array(scores, pa.float64())], names=["query_id", "unit_id", "lexical_score"])
-
-        part = source.mapInArrow(steps, f"query_id {id_type}, unit_id {key_type}, lexical_score double")
-        found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), "unit_id"))
-    return found.withColumn("lexical_rank", rank).where(F.col("lexical_rank") <= k)
-
-
-class QueryBlock:
-    """The terms of a block of queries with their weights; scores units against all of them."""
-
-    #: Units scored at once (times the block's queries, in doubles).
-    STEP = 1000
-
-    def __init__(self, ids: list, terms: list[list[str]], idf: dict[str, float], limits: dict, mean: float, k: int) -> None:
-        self.ids, self.idf, self.limits, self.mean, self.k = ids, idf, limits, mean, k
-        self.queries: dict[str, np.ndarray] = {}
-        listed: dict[str, list[int]] = {}
-        for q, own in enumerate(terms):
-            for t in own:
-                listed.setdefault(t, []).append(q)
-        self.queries = {t: np.array(q) for t, q in listed.items() if t in idf}
-
-    def best(self, keys: list, documents: list, terms: list[list[str]]) -> tuple[list, list[int], list[float]]:
-        """(query ids, unit numbers, scores) of the k best units of these for each query."""
-        ids, places, values = [], [], []
-        for at in range(0, len(keys), self.STEP):
-            part = range(at, min(at + self.STEP, len(keys)))
-            by_term: dict[str, tuple[list[int], list[float]]] = {}
-            for i in part:
-                norm = K1 * (1 - B + B * len(terms[i]) / self.mean)
-                for t, tf in Counter(terms[i]).items():
-                    if t in self.queries:
-                        units, weights = by_term.setdefault(t, ([], []))
-                        units.append(i - at)
-                        weights.append(self.idf[t] * tf * (K1 + 1) / (tf + norm))
-            scores = np.zeros((len(part), len(self.ids)))
-            for t in sorted(by_term):
-                units, weights = by_term[t]
-                scores[np.ix_(units, self.queries[t])] += np.array(weights)[:, None]
-            scores = np.round(scores, 6)
-            order = np.array(sorted(range(len(part)), key=lambda i: keys[at + i]), np.int64)
-            for q, query in enumerate(self.ids):
-                column = scores[order, q]
-                allowed = column > 0
-                if query in self.limits:
-                    allowed &= np.array([documents[at + i] in self.limits[query] for i in order])
-                hits = np.flatnonzero(allowed)
-                for i in hits[np.argsort(-column[hits], kind="stable")[: self.k]]:
-                    ids.append(query)
-                    places.append(at + int(order[i]))
-                    values.append(float(column[i]))
-        return ids, places, values
+        block = weights.drop("query_id").where(F.pmod("query", F.lit(blocks)) == b)
+        free = block.where("document_id is null").drop("document_id")
+        sides = [(free, ["term"])] if scope is None else [(free, ["term"]), (block.where("document_id is not null"), ["document_id", "term"])]
+        for side, keys in sides:
+            hits = held.join(F.broadcast(side), keys).select("query", "unit_id", weight.alias("weight"))
+            parts.append(hits.groupBy("query", "unit_id").agg(F.round(F.sum("weight"), 6).alias("lexical_score")))
+    order = [F.desc("lexical_score"), "unit_id"]
+    best = reduce(DataFrame.unionByName, parts).withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("n") <= k)
+    # a query limited to several documents has a number for each
+    named = best.join(weights.select("query", "query_id").distinct(), "query").select("query_id", "unit_id", "lexical_score")
+    return named.withColumn("lexical_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("lexical_rank") <= k)
 
 
 def locators(queries: DataFrame) -> DataFrame:
@@ -211,15 +174,30 @@ def exact_units(queries: DataFrame, units: DataFrame, documents: DataFrame) -> D
     return hits.withColumn("exact_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("unit_id")))
 
 
-def search(queries: DataFrame, units: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
+def search(queries: DataFrame, units: DataFrame, documents: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
     """Exact hits first, then lexical ones, k a query: query_id, unit_id, rank, exact_rank, lexical_rank, lexical_score.
 
-    The lexical pool is 3 k deep and limited to the documents a query names, if any.
+    The lexical pool is 3 k deep and limited to the documents a query names, if any. index: stored postings of units.
     """
     if not 1 <= k <= 50:
         raise ValueError("k must be between 1 and 50")
     exact = exact_units(queries, units, documents).select("query_id", "unit_id", "exact_rank")
-    pool = bm25_topk(queries, units, "unit_id", "text", 3 * k, mentioned_documents(queries, documents, "document_id"))
+    index = postings(units, "unit_id", "text") if index is None else index
+    pool = bm25_topk(queries, index, 3 * k, mentioned_documents(queries, documents, "document_id"))
     both = exact.join(pool, ["query_id", "unit_id"], "full_outer")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("exact_rank"), F.asc_nulls_last("lexical_rank")))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "unit_id", "rank", "exact_rank", "lexical_rank", "lexical_score")
+
+
+def described(ranking: DataFrame, units: DataFrame, documents: DataFrame) -> DataFrame:
+    """A ranking with what a reader of it needs of each unit: snapshot_id, document_id, unit_type, title, text, source_url, validity.
+
+    Columns of the ranking come first; ranks and scores it lacks are null. Hits whose unit or document isn't there, or
+    without snapshot, text or source, are left out (they can't be cited). validity is 'unknown': no ranking decides it.
+    """
+    missing = {c: t for c, t in (("exact_rank", "int"), ("lexical_rank", "int"), ("dense_rank", "int"), ("lexical_score", "double"), ("dense_score", "double")) if c not in ranking.columns}
+    full = ranking.withColumns({c: F.lit(None).cast(t) for c, t in missing.items()}) if missing else ranking
+    unit = units.select("unit_id", "snapshot_id", F.col("document_id").alias("document_id"), "unit_type", "title", "text")
+    document = documents.select("document_id", "source_url")
+    kept = full.drop("document_id", "snapshot_id").join(unit, "unit_id").join(document, "document_id").where("snapshot_id is not null and text is not null and source_url is not null")
+    return kept.withColumn("validity", F.lit("unknown"))

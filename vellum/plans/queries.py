@@ -341,19 +341,19 @@ def effective_gold(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexical_postings(spark: SparkSession, d: str) -> DataFrame:
-    held = lexical.postings(_units(spark, d), "unit_id", "text")
+    held = lexical.postings(_units(spark, d), "unit_id", "text").where("term is not null")
     return held.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"))
 
 
 @query
 def lexical_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.index_stats(_units(spark, d), "unit_id", "text")
+    return lexical.index_stats(lexical.postings(_units(spark, d), "unit_id", "text"))
 
 
 @query
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     asked = lexical.normalized_queries(_asked(spark, d), "question_id", "question")
-    return lexical.bm25_topk(asked, _units(spark, d), "unit_id", "text", 10)
+    return lexical.bm25_topk(asked, lexical.postings(_units(spark, d), "unit_id", "text"), 10)
 
 
 def _locator_texts(spark: SparkSession, d: str) -> DataFrame:
