@@ -146,21 +146,23 @@ def test_shared_runs_match_brute_force(spark, monkeypatch):
     rows += [("u01", rows[1][1]), ("nil", None), (None, shared[4]), ("rep", "ab" * 40), ("rep2", "ab" * 30), ("same", "c" * 35), ("same2", "c" * 31)]
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "unit string, text string, length int, uid int")
     want = _brute_pairs([r for r in rows if r[0]], 30)
-    for hot, step in ((64, 400_000), (3, 400_000), (64, 47)):
-        monkeypatch.setattr(spans, "HOT", hot)
+    held = {}
+    for key, text in {(k, t) for k, t in rows if k and t}:
+        for i in range(len(text) - 29):
+            held.setdefault(text[i : i + 30], set()).add(key)
+    covered = {}
+    for key, text in {(k, t) for k, t in rows if k and t}:
+        covered[key] = len({j for i in range(len(text) - 29) if len(held[text[i : i + 30]]) > 1 for j in range(i, i + 30)})
+    for step in (400_000, 47):
         monkeypatch.setattr(spans, "STEP", step)
-        runs = spans.shared_runs(df, "unit", "text", 30).collect()
-        assert {(r["id_a"], r["id_b"]) for r in runs} == want
-        by = dict(rows)
-        assert all(by[r["id_a"]][r["start_a"] : r["start_a"] + r["length"]] == by[r["id_b"]][r["start_b"] : r["start_b"] + r["length"]] for r in runs)
-        share = {r["id"]: r for r in spans.shared_share(df, "unit", "text", spans.shared_runs(df, "unit", "text", 30)).collect()}
-        for key, text in {k: t for k, t in rows if k}.items():
-            covered = {i for r in runs for side, start in (("id_a", "start_a"), ("id_b", "start_b")) if r[side] == key for i in range(r[start], r[start] + r["length"])}
-            assert share[key]["shared_chars"] == len(covered) and share[key]["chars"] == len(text or "")
+        assert {tuple(r) for r in spans.shared_pairs(df, "unit", "text", 30).collect()} == want
+        share = {r["id"]: (r["chars"], r["shared_chars"]) for r in spans.shared_share(df, "unit", "text", 30).collect()}
+        assert share == {k: (len(t or ""), covered.get(k, 0)) for k, t in rows if k}
 
 
 def test_shared_runs_of_empty_table(spark):
-    assert spans.shared_runs(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
+    empty = spark.createDataFrame([], "a string, b string")
+    assert spans.shared_pairs(empty, "a", "b").count() == 0 and spans.shared_share(empty, "a", "b").count() == 0
 
 
 # p6
@@ -296,8 +298,8 @@ def test_very_long_texts(spark):
     docs = spark.createDataFrame([(1, long[0], "vi"), (2, long[1] + " " + passage, "vi"), (3, "tại ".encode().decode("latin-1") * 9000, "vi")], "id bigint, text string, lang string")
     items = spark.createDataFrame([(7, passage)], "item bigint, passage string")
     assert {tuple(r) for r in leak.contained_items(docs, "id", "text", items, "item", "passage").collect()} == {(1, 7), (2, 7)}
-    runs = spans.shared_runs(docs, "id", "text").collect()
-    assert [(r["id_a"], r["id_b"]) for r in runs] == [(1, 2)] and runs[0]["length"] >= len(passage)
+    assert [tuple(r) for r in spans.shared_pairs(docs, "id", "text").collect()] == [(1, 2)]
+    assert {r["id"] for r in spans.shared_share(docs, "id", "text").where(F.col("shared_chars") >= len(passage)).collect()} == {1, 2}
     assert {r["doc_id"] for r in encoding.restore_encoding(docs, "id", "text", "lang").collect()} == {3}
     assert {r["record_key"] for r in forms.odd_texts(docs.withColumn("text", F.concat("text", F.lit("​"))).where("id <> 2"), "id", "text").collect()} == {"1", "3"}
     pieces = _pieces(spark, [("unit", "a", long[0])], [("unit", 1200, 120)])["unit", "a"]
@@ -315,4 +317,7 @@ def test_hot_keys(spark):
     hot = [(k, words(t), s) for k, t, s, u in rows if u == ["hot"]]
     assert got == {(a, b) for a, wa, sa in hot for b, wb, sb in hot if sa == "train" and sb == "dev" and 5 * sum(min(wa.count(w), wb.count(w)) for w in set(wa)) >= 4 * max(len(wa), len(wb))}
     copies = spark.createDataFrame([(f"c{i:03}", VI * 2 if i % 3 == 0 else VI[:100] + f"{i:03}" * 20) for i in range(240)], "unit string, text string")
-    assert spans.shared_runs(copies, "unit", "text").select("id_a", "id_b").distinct().count() == 80 * 79 // 2
+    assert spans.shared_pairs(copies, "unit", "text").count() == 80 * 79 // 2
+    # a passage in every one of many texts: no pairs are made for the share
+    many = spark.range(20_000).select(F.col("id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(VI * 2), F.sha2((F.col("id") + 1).cast("string"), 256)).alias("text"))
+    assert {r["shared_chars"] >= len(VI * 2) for r in spans.shared_share(many, "id", "text").select("shared_chars").distinct().collect()} == {True}

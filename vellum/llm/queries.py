@@ -78,15 +78,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = spans.shared_runs(table(spark, d, "legal_units"), "unit_id", "text", 150)
-    return runs.select(F.col("id_a").alias("unit_a"), F.col("id_b").alias("unit_b")).distinct()
+    pairs = spans.shared_pairs(table(spark, d, "legal_units"), "unit_id", "text", 150)
+    return pairs.select(F.col("id_a").alias("unit_a"), F.col("id_b").alias("unit_b"))
 
 
 def p4_share(spark: SparkSession, d: str) -> DataFrame:
-    units = table(spark, d, "legal_units")
-    share = spans.shared_share(units, "unit_id", "text", spans.shared_runs(units, "unit_id", "text", 150))
+    share = spans.shared_share(table(spark, d, "legal_units"), "unit_id", "text", 150)
     evidence = table(spark, d, "relations").select(F.col("evidence_unit_id").alias("id")).distinct().withColumn("is_evidence", F.lit(True))
-    return share.join(evidence, "id", "left").select(F.col("id").alias("unit_id"), "chars", "shared_chars", "share", "partners", F.coalesce("is_evidence", F.lit(False)).alias("is_evidence"))
+    return share.join(evidence, "id", "left").select(F.col("id").alias("unit_id"), "chars", "shared_chars", "share", F.coalesce("is_evidence", F.lit(False)).alias("is_evidence"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -143,10 +142,9 @@ ORACLES: dict[str, str] = {
         g as (select unit_id, i, md5(substring(text, i, 150)) h from (select unit_id, text, unnest(range(1, length(text) - 148)) i from u)),
         s as (select unit_id, i, h from g where h in (select h from g group by 1 having count(distinct unit_id) > 1)),
         c as (select unit_id, sum(least(150, coalesce(next - i, 150))) shared from (select unit_id, i, lead(i) over (partition by unit_id order by i) next from s) group by 1),
-        d as (select distinct unit_id, h from s), p as (select a.unit_id, count(distinct b.unit_id) partners from d a join d b using (h) where a.unit_id <> b.unit_id group by 1),
         n as (select unit_id, max(coalesce(length(text), 0)) chars from legal_units where unit_id is not null group by 1)
-        select unit_id, chars, cast(coalesce(shared, 0) as bigint) shared_chars, case when chars > 0 then round(coalesce(shared, 0) / chars, 6) else 0.0::double end share, coalesce(partners, 0) partners,
-            unit_id in (select evidence_unit_id from relations where evidence_unit_id is not null) is_evidence from n left join c using (unit_id) left join p using (unit_id)""",
+        select unit_id, chars, cast(coalesce(shared, 0) as bigint) shared_chars, case when chars > 0 then round(coalesce(shared, 0) / chars, 6) else 0.0::double end share,
+            unit_id in (select evidence_unit_id from relations where evidence_unit_id is not null) is_evidence from n left join c using (unit_id)""",
     "p3_found": _PAIRS + " select distinct least(t, e) question_a, greatest(t, e) question_b from f where 5 * both_have >= 4 * n",
     "p3_report": _PAIRS + """, h as (select e question_id, split, count(distinct t) pairs from f where 5 * both_have >= 4 * n group by 1, 2), b as (select distinct question_id, lower(trim(split)) split, source from gold_questions)
         select split, source, count(*) questions, count(pairs) overlapping, cast(coalesce(sum(pairs), 0) as bigint) pairs from b left join h using (question_id, split) where split in ('dev', 'test') group by 1, 2""",

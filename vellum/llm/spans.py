@@ -3,8 +3,10 @@
 Compact windows over the min-hashes of character grams: a run of `run` characters holds run - gram + 1 grams, and the
 least gram hash among them is least in the same place in every text that holds the run. For each text only the grams
 that are least in some stretch of that many grams are kept (about 2 in run - gram + 2 characters), each with how far to
-both sides no smaller gram stands: the widest window of a Cartesian tree node. Windows of equal hash are joined on
-their overlap, then the texts themselves are compared.
+both sides no smaller gram stands: the widest window of a Cartesian tree node. Only windows whose hash stands in more than
+one text are looked into; each of their runs goes to its class by the hash of all its characters. Coverage follows from
+the places of shared runs; pairs follow from the first run of each stretch with the same holders, and the characters of
+these are compared.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.arrays import code_points, gram_hashes, groups, sliding
@@ -22,10 +24,6 @@ from vellum.session import cut
 
 #: Characters per numpy step (longer texts take several); bounds a task's memory, not the result.
 STEP = 400_000
-#: A hash in more windows than this is compared by whole runs instead of by pairs of windows.
-HOT = 64
-#: Up to so many ids (8 bytes each) are broadcast to pick the texts that are compared; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def _room(levels: list[np.ndarray], at: np.ndarray, own: np.ndarray, step: int) -> np.ndarray:
@@ -68,7 +66,7 @@ def compact_windows(texts: list[str], run: int, gram: int) -> tuple[np.ndarray,
 def _windows(source: DataFrame, run: int, gram: int) -> DataFrame:
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("uid").to_numpy(), batch.column("text").to_pylist()
+            ids, texts = batch.column("tid").to_numpy(), batch.column("text").to_pylist()
             # a long text is worked on in parts; every run lies whole in one of them
             parts = [(i, begin) for i, x in enumerate(texts) for begin in range(0, max(1, len(x) - run + 1), STEP)]
             for some in groups([min(STEP, len(texts[i])) for i, _ in parts], STEP):
@@ -76,140 +74,99 @@ def _windows(source: DataFrame, run: int, gram: int) -> DataFrame:
                 text, h, at, left, right = compact_windows([texts[i][b : b + STEP + run - 1] for i, b in parts[some]], run, gram)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(ids[owner[text]]), *(pa.array(x.astype(np.int32)) for x in (at + begins[text], left, right))],
-                    names=["h", "uid", "at", "free_left", "free_right"],
+                    names=["h", "tid", "at", "free_left", "free_right"],
                 )
 
-    return source.mapInArrow(steps, "h long, uid long, at int, free_left int, free_right int")
+    return source.mapInArrow(steps, "h long, tid long, at int, free_left int, free_right int")
 
 
-def _run_hashes(hot: DataFrame, texts: DataFrame, run: int, gram: int) -> DataFrame:
-    """Of windows whose hash is hot: every whole run that holds the gram, by the hash of all its characters."""
+def _run_hashes(held: DataFrame, run: int, gram: int) -> DataFrame:
+    """Every run of the given windows by the hash of all its characters: h, tid, at (where it begins); each once."""
+    width = run - gram
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, begins = batch.column("uid").to_numpy(), batch.column("begin").to_numpy()
-            slices = batch.column("slice").to_pylist()
-            for part in groups([len(x) for x in slices], STEP):
-                points, starts = code_points(slices[part])
-                h = gram_hashes(points, run)
-                owner = np.searchsorted(starts, np.arange(len(h)), "right") - 1
-                keep = np.arange(len(h)) + run <= starts[owner + 1]
-                owner, at = owner[keep], np.flatnonzero(keep)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[keep].view(np.int64)), pa.array(ids[part][owner]), pa.array((begins[part][owner] + at - starts[owner]).astype(np.int32))],
-                    names=["h", "uid", "at"],
-                )
-
-    begin = F.greatest(F.col("at") - (run - gram), F.lit(0))
-    sliced = hot.join(texts.select("uid", "text"), "uid").select("uid", begin.alias("begin"), F.expr(f"substring(text, greatest(at - {run - gram}, 0) + 1, at - greatest(at - {run - gram}, 0) + {run})").alias("slice"))
-    return sliced.mapInArrow(steps, "h long, uid long, at int").distinct()
-
+            for tid, text, windows in zip(*(batch.column(c).to_pylist() for c in ("tid", "text", "windows")), strict=True):
+                # a window's least gram is least in the runs that begin from here to there
+                edge = np.zeros(len(text) + 2, np.int32)
+                for w in windows:
+                    first, last = w["at"] - min(w["free_left"], width), w["at"] + min(w["free_right"], width) - width
+                    if first <= last:
+                        edge[first] += 1
+                        edge[last + 1] -= 1
+                wanted = np.cumsum(edge) > 0
+                for begin in range(0, len(text) - run + 1, STEP):
+                    points, _ = code_points([text[begin : begin + STEP + run - 1]])
+                    h = gram_hashes(points, run)
+                    at = np.flatnonzero(wanted[begin : begin + len(h)])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), tid, np.int64)), pa.array((at + begin).astype(np.int32))], names=["h", "tid", "at"])
+
+    return held.mapInArrow(steps, "h long, tid long, at int")
+
+
+def _texts(records: DataFrame, key: str, text: str, run: int) -> DataFrame:
+    source = records.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= run))
+    return source.withColumn("tid", F.xxhash64("text"))
 
-def _verify(pairs: DataFrame, run: int, id_type: str) -> DataFrame:
-    """The runs of at least run equal characters through the given places of two texts."""
 
-    def equal(a: str, b: str, i: int, j: int) -> int:
-        n, size = 0, min(len(a) - i, len(b) - j)
-        step = 64
-        while n < size:
-            m = min(step, size - n)
-            if a[i + n : i + n + m] == b[j + n : j + n + m]:
-                n, step = n + m, step * 2
-            elif m == 1:
-                break
-            else:
-                step = max(1, m // 2)
-        return n
+def _shared(source: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
+    """(runs that stand in more than one text, the texts that may hold such runs: tid, text).
 
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, (a, b, shift, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text_a", "text_b", "shift", "places")), strict=True)):
-                done, turned_a, turned_b = -1, a[::-1], b[::-1]
-                for i in sorted(set(places)):
-                    if i < done:
-                        continue
-                    j = i - shift
-                    back = equal(turned_a, turned_b, len(a) - i, len(b) - j)
-                    on = equal(a, b, i, j)
-                    done = i + on
-                    if back + on >= run:
-                        rows.append((k, i - back, j - back, back + on))
-            take = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id_a").take(take), batch.column("id_b").take(take), *(pa.array([r[c] for r in rows], pa.int32()) for c in (1, 2, 3))],
-                names=["id_a", "id_b", "start_a", "start_b", "length"],
-            )
-
-    return pairs.mapInArrow(steps, f"id_a {id_type}, id_b {id_type}, start_a int, start_b int, length int")
-
-
-def shared_runs(records: DataFrame, key: str, text: str, run: int = 150) -> DataFrame:
-    """Every maximal run of at least `run` characters, as stored, that two records with different keys share.
-
-    Columns id_a, id_b (id_a first by order), start_a, start_b (0-based), length; one row per run, so a pair may have
-    several. Null keys and texts and texts shorter than run take no part; rows repeated as a whole count once; a key
-    with several texts stands for all of them. Empty input gives no rows.
+    Runs: h (class of the run), tid, at, holders (what texts hold the run, as a fingerprint). Copies of a text are one.
     """
     gram = max(1, run // 2)
-    width = run - gram + 1
-    id_type = records.schema[key].dataType.simpleString()
-    source = records.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= run))
-    source = source.withColumn("uid", F.xxhash64("id", "text"))
-    windows = _windows(source.select("uid", "text"), run, gram).persist(StorageLevel.DISK_ONLY)
-    shared = windows.groupBy("h").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.count("*").alias("n")).where("low < high")
-    kept = cut(windows.join(shared.select("h", "n"), "h"))
+    windows = _windows(source.select("tid", "text"), run, gram).persist(StorageLevel.DISK_ONLY)
+    meeting = windows.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low < high").select("h")
+    places = windows.join(meeting, "h").groupBy("tid").agg(F.collect_set(F.struct("at", "free_left", "free_right")).alias("windows"))  # bounded by the text
+    held = cut(source.select("tid", "text").join(places, "tid").groupBy("tid").agg(F.first("text").alias("text"), F.first("windows").alias("windows")))
     windows.unpersist()
+    runs = _run_hashes(held, run, gram)
+    # two sums over hashes of the holders stand for the set of them
+    mixed = F.xxhash64("tid")
+    half = lambda bits: F.sum(F.shiftrightunsigned(mixed, bits).bitwiseAND(0x7FFFFFFF))
+    classes = runs.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.struct(F.count("*"), half(0), half(32)).alias("holders")).where("low < high")
+    return runs.join(classes.select("h", "holders"), "h"), held.select("tid", "text")
 
-    ids = kept.select("uid").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = cut(source.join(F.broadcast(ids) if few else ids, "uid", "left_semi").dropDuplicates(["uid"]))
-
-    cold = kept.where(F.col("n") <= HOT)
-    a, b = _side(cold, "a"), _side(cold, "b")
-    room = F.least("free_left_a", "free_left_b") + F.least("free_right_a", "free_right_b") + 1
-    pairs = a.join(b, "h").where((F.col("uid_a") < F.col("uid_b")) & (room >= width)).select("uid_a", "at_a", "uid_b", "at_b")
-    hot = kept.where(F.col("n") > HOT)
-    if not hot.isEmpty():
-        whole = _run_hashes(hot, texts, run, gram)
-        pairs = pairs.unionByName(whole.select("h", F.col("uid").alias("uid_a"), F.col("at").alias("at_a")).join(whole.select("h", F.col("uid").alias("uid_b"), F.col("at").alias("at_b")), "h").where("uid_a < uid_b").select("uid_a", "at_a", "uid_b", "at_b"))
-    # one row for each pair and shift: its windows lie on the same runs
-    pairs = pairs.groupBy("uid_a", "uid_b", (F.col("at_a") - F.col("at_b")).alias("shift")).agg(F.collect_set("at_a").alias("places"))
-    full = pairs.join(_text(texts, "a"), "uid_a").join(_text(texts, "b"), "uid_b").where("id_a <> id_b")
-    runs = _verify(full.select("id_a", "id_b", "shift", "places", "text_a", "text_b"), run, id_type)
-    swap = F.col("id_a") > F.col("id_b")
-    return runs.select(
-        F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"),
-        F.when(swap, F.col("start_b")).otherwise(F.col("start_a")).alias("start_a"),
-        F.when(swap, F.col("start_a")).otherwise(F.col("start_b")).alias("start_b"), "length",
-    ).distinct()
-
-
-def _side(df: DataFrame, name: str) -> DataFrame:
-    return df.select("h", *(F.col(c).alias(f"{c}_{name}") for c in ("uid", "at", "free_left", "free_right")))
 
+def shared_pairs(records: DataFrame, key: str, text: str, run: int = 150) -> DataFrame:
+    """Pairs of records that share a run of at least `run` characters, as stored: id_a, id_b (id_a first by order).
 
-def _text(texts: DataFrame, name: str) -> DataFrame:
-    return texts.select(*(F.col(c).alias(f"{c}_{name}") for c in ("uid", "id", "text")))
-
-
-def shared_share(records: DataFrame, key: str, text: str, runs: DataFrame) -> DataFrame:
-    """For each key how much of its text stands elsewhere too: id, chars, shared_chars, share, partners.
-
-    chars is the length of its longest text. Keys without shared runs have shared_chars 0; an empty or null text has
-    share 0.
+    Null keys and texts and texts shorter than run take no part; rows repeated as a whole count once; a key with several
+    texts stands for all of them; empty input gives no rows. Copies of a text are compared as one text. Of the runs that
+    the same texts share one after the other only the first makes pairs, and its characters are compared.
+    """
+    source = _texts(records, key, text, run)
+    shared, texts = _shared(source, run)
+    order = Window.partitionBy("tid").orderBy("at")
+    same = (F.lag("at").over(order) == F.col("at") - 1) & (F.lag("holders").over(order) == F.col("holders"))
+    firsts = shared.withColumn("goes_on", F.coalesce(same, F.lit(False))).where("not goes_on").select("h", "tid", "at")
+    slices = cut(firsts.join(texts, "tid").select("h", "tid", F.expr(f"substring(text, at + 1, {run})").alias("slice")).distinct())
+    side = lambda name: slices.select("h", F.col("tid").alias(f"tid_{name}"), F.col("slice").alias(f"slice_{name}"))
+    pairs = side("a").join(side("b"), "h").where("tid_a < tid_b and slice_a = slice_b").select("tid_a", "tid_b").distinct()
+    members = source.select("tid", "id").distinct()
+    member = lambda name: members.select(F.col("tid").alias(f"tid_{name}"), F.col("id").alias(f"id_{name}"))
+    other = pairs.join(member("a"), "tid_a").join(member("b"), "tid_b").select("id_a", "id_b")
+    copies = members.join(members.groupBy("tid").count().where("count > 1").select("tid"), "tid", "left_semi")
+    alike = copies.select("tid", F.col("id").alias("id_a")).join(copies.select("tid", F.col("id").alias("id_b")), "tid").select("id_a", "id_b")
+    return other.where("id_a <> id_b").unionByName(alike.where("id_a < id_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+
+
+def shared_share(records: DataFrame, key: str, text: str, run: int = 150) -> DataFrame:
+    """For each key how much of its text stands elsewhere too: id, chars, shared_chars, share.
+
+    A character is shared if it lies in a run of at least `run` characters that a record of another key holds. It is
+    read from the places of shared runs, without pairs, so that a passage in every record costs no more than its places.
+    chars is the length of the key's longest text; of several texts the one with most shared characters counts. Keys
+    without shared runs have shared_chars 0; an empty or null text has share 0.
     """
-    sides = runs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), F.col("start_a").alias("begin"), (F.col("start_a") + F.col("length")).alias("end")).unionByName(
-        runs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), F.col("start_b").alias("begin"), (F.col("start_b") + F.col("length")).alias("end"))
-    )
-    partners = sides.groupBy("id").agg(F.count_distinct("other").alias("partners"))
-    before = Window.partitionBy("id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
-    spans = sides.select("id", "begin", "end").distinct().withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
-    covered = spans.groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("begin", "reached"))).cast("long").alias("shared_chars"))
+    source = _texts(records, key, text, run)
+    shared, _ = _shared(source, run)
+    after = F.lead("at").over(Window.partitionBy("tid").orderBy("at"))
+    covered = shared.select("tid", "at").distinct().withColumn("after", after).groupBy("tid").agg(F.sum(F.least(F.lit(run), F.coalesce(F.col("after") - F.col("at"), F.lit(run)))).alias("covered"))
+    held = source.select("tid", "id", F.length("text").alias("length")).distinct()
+    sizes = held.groupBy("tid").agg(F.count("*").alias("ids"), F.max("length").alias("length"))
+    own = sizes.join(covered, "tid", "left").select("tid", F.when(F.col("ids") > 1, F.col("length")).otherwise(F.coalesce("covered", F.lit(0))).cast("long").alias("shared_chars"))
+    per_key = held.select("tid", "id").join(own.where("shared_chars > 0"), "tid").groupBy("id").agg(F.max("shared_chars").alias("shared_chars"))
     chars = records.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).cast("long").alias("chars"))
-    shared: Column = F.coalesce("shared_chars", F.lit(0).cast("long"))
-    return chars.join(covered, "id", "left").join(partners, "id", "left").select(
-        "id", "chars", shared.alias("shared_chars"),
-        F.when(F.col("chars") > 0, F.round(shared / F.col("chars"), 6)).otherwise(F.lit(0.0)).alias("share"),
-        F.coalesce("partners", F.lit(0).cast("long")).alias("partners"),
-    )
+    part = F.coalesce("shared_chars", F.lit(0).cast("long"))
+    return chars.join(per_key, "id", "left").select("id", "chars", part.alias("shared_chars"), F.when(F.col("chars") > 0, F.round(part / F.col("chars"), 6)).otherwise(F.lit(0.0)).alias("share"))
