@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import encoding, forms, leak, mix, overlap, spans, split
@@ -85,7 +86,9 @@ def test_split_files(spark, tmp_path):
 # p3
 
 
-def test_overlap_matches_brute_force(spark):
+@pytest.mark.parametrize("hot", [5000, 3])
+def test_overlap_matches_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(overlap, "HOT", hot)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(30)]
     rows = []
@@ -116,6 +119,17 @@ def test_banded_program_and_segments():
 
     left, right = [[1, 2, 3, 4], [1, 1, 2], [5]], [[1, 3, 4, 9], [1, 2, 2], [6]]
     assert overlap.shared_words(left, right, np.array([4, 4, 2])).tolist() == [3, 2, 0]
+    rng = random.Random(9)
+    for _ in range(60):
+        x, y = (sorted(rng.choices(range(40), k=rng.randrange(0, 300))) for _ in range(2))
+        both = sum(min(x.count(w), y.count(w)) for w in set(x))
+        assert overlap.shared_words([x], [y], np.array([len(x) + len(y)])).tolist() == [both]
+        assert overlap.shared_words([x], [y], np.array([3]))[0] <= both
+    for n in (*range(1, 90), 200, 333):
+        for m in range(max(1, -(-4 * n // 5)), 5 * n // 4 + 1, 1 if n < 90 else 7):
+            for rare in (0, 1, m // 3, m):
+                parts = overlap.segment_starts(m, rare, overlap.most_edits(m))
+                assert all(min(length, overlap.SEGMENT) in overlap.segment_lengths(n) for at, length in parts if at >= rare)
     for m in range(1, 60):
         k = overlap.most_edits(m)
         for rare in (0, m // 3, m):

@@ -9,23 +9,27 @@ verified by a banded dynamic program.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.arrays import gram_hashes, mix
 from vellum.llm.text import words, words_column
+from vellum.session import cut
 
 #: A word in at least this part of all records is common; there are at most (mean words a record) / COMMON of them.
 COMMON = 0.005
-#: Words of a segment that are compared in the join (a prefix of a longer segment).
+#: Words of a segment that are compared in the join (the first ones of a longer segment; what meets is verified whole).
 SEGMENT = 3
-#: Strings of more words than this are verified by counting words instead of by the dynamic program.
-LONG = 200
+#: Training classes of one key (unit and words) that one task joins; a key of more is spread over several.
+HOT = 5000
+#: Words of strings times strings that the dynamic program takes at once; bounds a task's memory, not the result.
+STEP = 60_000
 
 
 def least_common(m: int, n: int) -> int:
@@ -57,23 +61,58 @@ def segment_starts(m: int, rare: int, k: int) -> list[tuple[int, int]]:
     return [(i, 1) for i in range(single)] + [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _key(unit: str, hashes: list[int]) -> int:
-    return xxhash.xxh64_intdigest(unit + "|" + ",".join(map(str, hashes))) - (1 << 63)
+def segment_lengths(n: int) -> range:
+    """Words of the join keys that segments outside the rare part of a string near one of n words may have.
 
+    Segments are shortest where nothing is rare; over 60 words they have two words or more.
+    """
+    near = range(max(1, -(-4 * n // 5)), 5 * n // 4 + 1) if n <= 60 else range(0)
+    return range(min((min(m // min(m, most_edits(m) + 1), SEGMENT) for m in near), default=2), SEGMENT + 1)
+
+
+class Cells:
+    """Join keys of strings as arrays: a hash of the words at a place and of the unit."""
 
-def segments(unit: str, hashes: list[int], rare: int) -> Iterator[tuple[int, int]]:
-    """(key, place) of an evaluation string's segments."""
-    m = len(hashes)
-    for start, length in segment_starts(m, rare, most_edits(m)):
-        yield _key(unit, hashes[start : start + (1 if start < rare else min(length, SEGMENT))]), start
+    def __init__(self) -> None:
+        self._lengths: dict[int, range] = {}
 
+    def _keys(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        words = batch.column("words")
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        return starts, batch.column("rare").to_numpy(), [np.zeros(0, np.uint64), *(gram_hashes(flat, n) for n in range(1, SEGMENT + 1))], batch.column("unit").to_numpy().view(np.uint64)
 
-def substrings(unit: str, hashes: list[int], rare: int) -> Iterator[tuple[int, int]]:
-    """(key, place) of a training string's substrings that a segment may be."""
-    n = len(hashes)
-    for p in range(n):
-        for length in range(1, (1 if p < rare else min(SEGMENT, n - p)) + 1):
-            yield _key(unit, hashes[p : p + length]), p
+    def _out(self, batch: pa.RecordBatch, owner: np.ndarray, place: np.ndarray, grams: np.ndarray, units: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        key = mix(grams ^ mix(units[owner])).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key), batch.column("class").take(pa.array(owner)), pa.array(place.astype(np.int32)), pa.array(sizes[owner].astype(np.int32))], names=["k", "class", "place", "size"])
+
+    def segments(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of an evaluation string its k + 1 segments, by their first words."""
+        for batch in batches:
+            starts, rare, grams, units = self._keys(batch)
+            sizes, rows = np.diff(starts), []
+            for i, m in enumerate(sizes.tolist()):
+                rows += [(i, at, 1 if at < rare[i] else min(length, SEGMENT)) for at, length in segment_starts(m, int(rare[i]), most_edits(m))]
+            owner, place, length = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+            own = np.zeros(len(rows), np.uint64)
+            for n in range(1, SEGMENT + 1):
+                own[length == n] = grams[n][(starts[owner] + place)[length == n]]
+            yield self._out(batch, owner, place, own, units, sizes)
+
+    def substrings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a training string its substrings that a segment's first words may be."""
+        for batch in batches:
+            starts, rare, grams, units = self._keys(batch)
+            sizes = np.diff(starts)
+            every = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(every)) - starts[every]
+            for n in set(sizes.tolist()) - self._lengths.keys():
+                self._lengths[n] = segment_lengths(n)
+            for n in range(1, SEGMENT + 1):
+                used = np.array([n in self._lengths[x] for x in sizes.tolist()], bool)[every]
+                wanted = (at + n <= sizes[every]) & ((at >= rare[every]) & used | (n == 1) & (at < rare[every]))
+                where = np.flatnonzero(wanted)
+                yield self._out(batch, every[where], at[where], grams[n][where], units, sizes)
 
 
 def shared_words(left: list[list[int]], right: list[list[int]], most: np.ndarray) -> np.ndarray:
@@ -89,25 +128,19 @@ def shared_words(left: list[list[int]], right: list[list[int]], most: np.ndarray
     for i, (x, y) in enumerate(zip(left, right, strict=True)):
         a[i, : len(x)] = x
         b[i, band : band + len(y)] = y
-    far = 1 << 20
+    far = 1 << 30
+    place = np.arange(2 * band + 1)
     # edits[:, d] is the distance of the first i words of left and the first i + d - band of right
-    edits = np.full((rows, 2 * band + 1), far, np.int64)
-    for d in range(band, 2 * band + 1):
-        edits[:, d] = d - band
+    edits = np.broadcast_to(np.where(place >= band, place - band, far), (rows, 2 * band + 1))
     answer = np.where(m == 0, n, far)
     for i in range(1, a.shape[1]):
-        new = np.full_like(edits, far)
-        for d in range(2 * band + 1):
-            j = i + d - band
-            if j < 0:
-                continue
-            best = edits[:, d + 1] + 1 if d < 2 * band else np.full(rows, far)
-            if d > 0:
-                best = np.minimum(best, new[:, d - 1] + 1)
-            if j > 0:
-                best = np.where(a[:, i - 1] == b[:, band + j - 1], np.minimum(best, edits[:, d]), best)
-            new[:, d] = best
-        edits = new
+        step = np.full_like(edits, far)
+        step[:, :-1] = edits[:, 1:] + 1
+        step = np.where(a[:, i - 1, None] == b[:, i - 1 : i + 2 * band], np.minimum(step, edits), step)
+        step[:, : max(0, band - i)] = far
+        # words put in: from the left along the row
+        edits = np.minimum.accumulate(step - place, axis=1) + place
+        edits[:, : max(0, band - i)] = far
         at = np.clip(n - i + band, 0, 2 * band)
         done = (m == i) & (np.abs(n - m) <= band)
         answer[done] = edits[np.flatnonzero(done), at[done]]
@@ -115,13 +148,16 @@ def shared_words(left: list[list[int]], right: list[list[int]], most: np.ndarray
 
 
 def _verified(left: list[list[int]], right: list[list[int]]) -> list[bool]:
+    """Whether each two strings share enough words, by the banded program, strings of like length together."""
     out = [False] * len(left)
-    small = [i for i in range(len(left)) if max(len(left[i]), len(right[i])) <= LONG]
-    for i in set(range(len(left))) - set(small):
-        out[i] = sum((Counter(left[i]) & Counter(right[i])).values()) >= least_common(len(left[i]), len(right[i]))
-    small.sort(key=lambda i: max(len(left[i]), len(right[i])))
-    for at in range(0, len(small), 2000):
-        part = small[at : at + 2000]
+    order = sorted(range(len(left)), key=lambda i: max(len(left[i]), len(right[i])))
+    at = 0
+    while at < len(order):
+        # as many rows at once as keep a step of the program small
+        end = at + 1
+        while end < len(order) and (end - at) * max(len(left[order[end]]), len(right[order[end]])) < STEP:
+            end += 1
+        part, at = order[at:end], end
         x, y = [left[i] for i in part], [right[i] for i in part]
         need = np.array([least_common(len(p), len(q)) for p, q in zip(x, y, strict=True)])
         edits = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - 2 * need
@@ -136,6 +172,9 @@ def overlaps(records: DataFrame, key: str, text: str, split: str, units: str) ->
     Columns train_id, eval_id, eval_split; words are folded and counted with repeats, measured against the longer
     record. Splits are compared trimmed and without case. Null keys, texts, splits and units, records without words and
     other splits are in no pair; repeated rows count once; a key with several texts or splits stands for each.
+
+    Strings of the same words are one class; classes are joined and verified, and records only come in at the end. A
+    key (unit and words) that more than HOT training classes have is spread over several tasks.
     """
     source = records.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lower(F.trim(F.col(split))).alias("split"), F.expr(f"filter(array_distinct(`{units}`), x -> x is not null)").alias("units"))
     source = source.where("id is not null and text is not null and split in ('train', 'dev', 'test') and size(units) > 0").distinct()
@@ -154,32 +193,31 @@ def overlaps(records: DataFrame, key: str, text: str, split: str, units: str) ->
             )
 
     listed = source.select("id", "text", "split", "units").mapInArrow(order, f"id {id_type}, split string, units array<string>, words array<long>, rare int").where("size(words) > 0")
-    listed = listed.withColumn("version", F.xxhash64("id", "split", "words", "units"))
-
-    def emit(rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for version, own, hashes, rare in zip(*(batch.column(c).to_pylist() for c in ("version", "units", "words", "rare")), strict=True):
-                for unit in own:
-                    rows += [(k, version, place, len(hashes)) for k, place in rule(unit, hashes, rare)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["k", "version", "place", "size"])
-
-    schema = "k long, version long, place int, size int"
-    cells = listed.select("version", "units", "words", "rare", "split")
-    probe = cells.where("split <> 'train'").drop("split").mapInArrow(lambda b: emit(segments, b), schema)
-    build = cells.where("split = 'train'").drop("split").mapInArrow(lambda b: emit(substrings, b), schema).dropDuplicates(["k", "version", "place"])
-    e, t = probe.alias("e"), build.alias("t")
+    listed = cut(listed.select("id", "split", F.explode("units").alias("unit"), "words", "rare", F.xxhash64("words").alias("class"), (F.col("split") == "train").alias("train")))
+    texts = listed.select("class", "words").dropDuplicates(["class"])
+    held = listed.select("class", F.xxhash64("unit").alias("unit"), "words", "rare", "train").dropDuplicates(["class", "unit", "train"])
+
+    schema = "k long, class long, place int, size int"
+    probe = held.where("not train").drop("train").mapInArrow(lambda b: Cells().segments(b), schema)
+    build = held.where("train").drop("train").mapInArrow(lambda b: Cells().substrings(b), schema)
+    hot = build.groupBy("k").count().where(F.col("count") > HOT).select("k", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    e = probe.join(hot, "k", "left").select("k", F.col("class").alias("eval_class"), "place", "size", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).alias("e")
+    t = build.join(hot, "k", "left").select("k", F.col("class").alias("train_class"), "place", "size", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part")).alias("t")
     near = (F.abs(F.col("e.place") - F.col("t.place")) <= F.ceil(F.col("e.size") * 0.4) + 1) & (5 * F.col("t.size") >= 4 * F.col("e.size")) & (4 * F.col("t.size") <= 5 * F.col("e.size"))
-    candidates = e.join(t, F.col("e.k") == F.col("t.k")).where(near).select(F.col("e.version").alias("eval_version"), F.col("t.version").alias("train_version")).distinct()
-    side = lambda name: listed.select(F.col("version").alias(f"{name}_version"), F.col("id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"), F.col("split").alias(f"{name}_split"))
-    full = candidates.join(side("eval"), "eval_version").join(side("train"), "train_version").where("eval_id <> train_id").select("train_id", "eval_id", "eval_split", "train_words", "eval_words")
+    candidates = e.join(t, (F.col("e.k") == F.col("t.k")) & (F.col("e.part") == F.col("t.part"))).where(near).select("eval_class", "train_class").distinct()
+    side = lambda name: texts.select(F.col("class").alias(f"{name}_class"), F.col("words").alias(f"{name}_words"))
+    full = candidates.join(side("eval"), "eval_class").join(side("train"), "train_class").select("eval_class", "train_class", "eval_words", "train_words")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = pa.array(_verified(batch.column("train_words").to_pylist(), batch.column("eval_words").to_pylist()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("train_id", "eval_id", "eval_split")], names=["train_id", "eval_id", "eval_split"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("eval_class", "train_class")], names=["eval_class", "train_class"])
 
-    return full.mapInArrow(check, f"train_id {id_type}, eval_id {id_type}, eval_split string").distinct()
+    alike = full.mapInArrow(check, "eval_class long, train_class long")
+    evals = listed.where("not train").select(F.col("class").alias("eval_class"), "unit", F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
+    trains = listed.where("train").select(F.col("class").alias("train_class"), "unit", F.col("id").alias("train_id"))
+    return alike.join(evals, "eval_class").join(trains, ["train_class", "unit"]).where("eval_id <> train_id").select("train_id", "eval_id", "eval_split").distinct()
 
 
 def overlap_report(pairs: DataFrame, records: DataFrame, key: str, split: str, source: str) -> DataFrame:
