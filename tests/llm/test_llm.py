@@ -210,8 +210,8 @@ def test_leaks_match_brute_force(spark, monkeypatch):
     for i, w in docs:
         grams = {tuple(w[k : k + 25]) for k in range(len(w) - 24)}
         want |= {(i, j) for j, v in items if any(tuple(v[k : k + 25]) in grams for k in range(len(v) - 24))}
-    for block in (10**9, 1500):
-        monkeypatch.setattr(leak, "BLOCK_CHARS", block)
+    for known in (10**6, 5):
+        monkeypatch.setattr(leak, "KNOWN", known)
         assert {tuple(r) for r in leak.contained_items(ddf, "doc", "body", idf, "item", "passage").collect()} == want
     assert len(want) > 20
     assert leak.contained_items(ddf, "doc", "body", idf.where("false"), "item", "passage").count() == 0

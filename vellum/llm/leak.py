@@ -1,16 +1,14 @@
 """Passages of held-out items inside a large corpus.
 
 Min-hash containment. The unit that has to be contained is a run of `run` consecutive words, that is run - 4 shingles of
-five words; its signature is the least of their hashes, so a run has one signature wherever it stands and equal runs
-never miss each other. Items are cut into blocks of bounded size by their length (size partitions); each block goes to
-all tasks as sorted arrays and the corpus is read once, without a shuffle. Signatures that agree are then verified by
-comparing all words of the run.
+five words; its signature is the least of their hashes, so equal runs have equal signatures wherever they stand, and a
+long text has few: about two in run - 4 words. The signatures of all items are one table and those of the corpus, read
+once, another; they are joined on the signature, and the runs behind it are compared by the hash of all their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.arrays import WordArrays, gram_hashes, groups, sliding
+from vellum.session import cut
 
 SHINGLE = 5
-#: Characters of passages per block that is sent to the tasks (about 8 bytes a word each); more make more blocks.
-BLOCK_CHARS = 20_000_000
+#: If items have at most so many signatures (8 bytes each) the tasks know them and hand on only these; else all are joined.
+KNOWN = 1_000_000
 STEP = 400_000
 
 
@@ -36,43 +35,30 @@ def _signatures(hashes: np.ndarray, starts: np.ndarray, run: int) -> tuple[np.nd
     return at, owner[at], least[at]
 
 
-class ItemBlock:
-    """Items as arrays: the words of all, and the runs sorted by signature."""
-
-    def __init__(self, ids: list, passages: list[str], run: int) -> None:
-        self.ids, self.run = ids, run
-        self.words, starts = WordArrays().split(passages)
-        self.at, self.item, self.least = _signatures(self.words, starts, run)
-        order = np.argsort(self.least, kind="stable")
-        self.at, self.item, self.least = self.at[order], self.item[order], self.least[order]
-        self.distinct = np.unique(self.least)
-        self.whole = gram_hashes(self.words, run)
-        self.by_whole = np.argsort(self.whole[self.at], kind="stable") if len(self.at) else np.zeros(0, np.int64)
-        self.whole_sorted = self.whole[self.at][self.by_whole] if len(self.at) else np.zeros(0, np.uint64)
-
-    def find(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, item) for every run of an item that stands in a text."""
-        at, text, least = _signatures(words, starts, self.run)
-        none = np.zeros(0, np.int64)
-        if not len(at) or not len(self.distinct):
-            return none, none
-        place = np.searchsorted(self.distinct, least)
-        hit = self.distinct[np.minimum(place, len(self.distinct) - 1)] == least
-        at, text = at[hit], text[hit]
-        if not len(at):
-            return none, none
-        whole = gram_hashes(words, self.run)[at]
-        low, high = (np.searchsorted(self.whole_sorted, whole, side) for side in ("left", "right"))
-        n = high - low
-        which = np.repeat(np.arange(len(at)), n)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        runs = self.by_whole[low[which] + nth]
-        # the words themselves, one by one
-        same = np.ones(len(which), bool)
-        for k in range(self.run):
-            same &= words[at[which] + k] == self.words[self.at[runs] + k]
-        pairs = np.unique(np.stack([text[which][same], self.item[runs][same]], axis=1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+def _runs(texts: DataFrame, run: int, known=None) -> DataFrame:
+    """Of texts (id, text) the runs by signature: id, sig, runs (hashes of the whole runs behind it); of known ones only."""
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = WordArrays()
+        for batch in batches:
+            ids, held = batch.column("id"), batch.column("text").to_pylist()
+            for piece in groups([len(x) for x in held], STEP):
+                words, starts = split.split(held[piece])
+                at, owner, least = _signatures(words, starts, run)
+                if known is not None and len(at):
+                    near = np.minimum(np.searchsorted(known.value, least), len(known.value) - 1)
+                    hit = known.value[near] == least
+                    at, owner, least = at[hit], owner[hit], least[hit]
+                if not len(at):
+                    continue
+                whole = gram_hashes(words, run)[at]
+                order = np.lexsort((whole, least, owner))
+                owner, least, whole = owner[order], least[order], whole[order]
+                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(whole)].astype(np.int32)), pa.array(whole.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[first] + piece.start)), pa.array(least[first].view(np.int64)), lists], names=["id", "sig", "runs"])
+
+    return texts.mapInArrow(steps, f"id {texts.schema['id'].dataType.simpleString()}, sig long, runs array<long>")
 
 
 def contained_items(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, passage: str, run: int = 25) -> DataFrame:
@@ -81,49 +67,13 @@ def contained_items(documents: DataFrame, doc_key: str, text: str, items: DataFr
     Words are compared without case, accents, punctuation, spacing and odd character forms. Null texts and passages and
     those of fewer than run words are in no pair; null keys take no part; repeated rows count once.
     """
-    items = items.where(F.col(item_key).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_key).alias("item"), F.col(passage).alias("passage"))
-    # size partitions: items of one length class lie together, and no block is larger than BLOCK_CHARS (or one item)
-    sizes = items.groupBy(F.floor(F.log2(F.length("passage") + 1)).alias("class")).agg(F.sum(F.length("passage")).alias("chars")).collect()
-    spark = documents.sparkSession
-    source = documents.where(F.col(doc_key).isNotNull() & (F.length(text) >= 2 * run - 1)).select(F.col(doc_key).alias("doc"), F.col(text).alias("text"))
-    doc_type, item_type = source.schema["doc"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
-    schema = f"doc_id {doc_type}, item_id {item_type}"
-    blocks = _blocks({r["class"]: r["chars"] for r in sizes}, 2 * run - 1)
-    found = []
-    for classes, parts, part in blocks:
-        chosen = items.where(F.floor(F.log2(F.length("passage") + 1)).isin(classes)).where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        rows = chosen.distinct().toArrow()
-        block = spark.sparkContext.broadcast(ItemBlock(rows.column("item").to_pylist(), rows.column("passage").to_pylist(), run))
-        item_arrow = rows.schema.field("item").type
-
-        def steps(batches: Iterator[pa.RecordBatch], block=block, item_arrow=item_arrow) -> Iterator[pa.RecordBatch]:
-            split = WordArrays()
-            for batch in batches:
-                ids, texts = batch.column("doc"), batch.column("text").to_pylist()
-                for piece in groups([len(x) for x in texts], STEP):
-                    doc, item = block.value.find(*split.split(texts[piece]))
-                    if len(doc):
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + piece.start)), pa.array([block.value.ids[i] for i in item], item_arrow)], names=["doc_id", "item_id"])
-
-        found.append(source.mapInArrow(steps, schema))
-    return reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], schema)
-
-
-def _blocks(chars: dict[int, int], least: int) -> list[tuple[list[int], int, int]]:
-    """Length classes packed into blocks: (classes, number of parts by item, part)."""
-    out, open_classes, total = [], [], 0
-    for c, n in sorted(chars.items()):
-        if c is None or 2 ** (c + 1) <= least:
-            continue  # shorter than any run
-        if n > BLOCK_CHARS:
-            parts = -(-n // BLOCK_CHARS)
-            out += [([c], parts, p) for p in range(parts)]
-            continue
-        if total + n > BLOCK_CHARS and open_classes:
-            out.append((open_classes, 1, 0))
-            open_classes, total = [], 0
-        open_classes, total = [*open_classes, c], total + n
-    return out + ([(open_classes, 1, 0)] if open_classes else [])
+    texts = lambda df, key, column: df.where(F.col(key).isNotNull() & (F.length(column) >= 2 * run - 1)).select(F.col(key).alias("id"), F.col(column).alias("text"))
+    wanted = cut(_runs(texts(items, item_key, passage).distinct(), run))
+    few = wanted.select("sig").distinct().limit(KNOWN + 1).toArrow().column("sig").to_numpy().view(np.uint64)
+    known = documents.sparkSession.sparkContext.broadcast(np.sort(few)) if 0 < len(few) <= KNOWN else None
+    held = _runs(texts(documents, doc_key, text), run, known)
+    pairs = held.select(F.col("id").alias("doc_id"), "sig", F.col("runs").alias("own")).join(wanted.select(F.col("id").alias("item_id"), "sig", "runs"), "sig")
+    return pairs.where(F.arrays_overlap("own", "runs")).select("doc_id", "item_id").distinct()
 
 
 def leak_report(found: DataFrame, items: DataFrame, item_key: str = "item_id", split: str = "split", source: str = "source") -> DataFrame:
