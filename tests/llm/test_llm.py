@@ -73,15 +73,22 @@ def test_words_are_cut_only_where_they_are_too_long(spark, monkeypatch):
 
 
 def test_split_files(spark, tmp_path):
-    path = tmp_path / "law.txt"
-    text = (VI + "\n") * 400 + "ế" * 3000
-    path.write_text(text, encoding="utf-8")
-    empty = tmp_path / "empty.txt"
-    empty.write_text("")
-    pieces = sorted(split.split_files(spark, [str(path), str(empty)], 1000, 100, range_bytes=5000).collect(), key=lambda r: r["end"])
-    raw = text.encode()
-    assert all(len(p["text"].encode()) <= 1000 and p["text"].encode() == raw[p["begin"] : p["end"]] for p in pieces)
-    assert pieces[-1]["end"] == len(raw) and all(b["begin"] <= a["end"] <= a["end"] - 96 + 100 and a["end"] - b["begin"] > 96 for a, b in zip(pieces, pieces[1:], strict=False))
+    text = (VI + "\n") * 400 + "ế" * 3000 + "\n" + "x " * 900
+    (tmp_path / "law.txt").write_text(text, encoding="utf-8")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe x\n" * 300)
+    for size in (5000, 10**9):
+        found: dict = {}
+        for r in split.split_files(spark, f"file://{tmp_path}", 1000, 100, range_bytes=size).collect():
+            found.setdefault(r["path"].rsplit("/", 1)[1], []).append(r)
+        assert set(found) == {"law.txt", "bad.txt"}
+        for name, pieces in found.items():
+            pieces.sort(key=lambda r: r["end"])
+            raw = (tmp_path / name).read_bytes()
+            assert all(len(p["text"]) <= 1000 and p["text"] == raw[p["begin"] : p["end"]].decode("utf-8", "replace") for p in pieces)
+            assert pieces[0]["begin"] == 0 and pieces[-1]["end"] == len(raw) and pieces[-1]["cut"] == "end"
+            assert all(len(raw[b["begin"] : a["end"]].decode("utf-8", "replace")) == min(100, len(a["text"])) for a, b in zip(pieces, pieces[1:], strict=False))
+            assert all(p["cut"] != "none" or "ế" * 400 in p["text"] for p in pieces)
 
 
 # p3

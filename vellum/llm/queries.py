@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from vellum.functions.text import LOOK_ALIKE
 from vellum.llm import encoding, forms, leak, mix, overlap, spans, split
 from vellum.plans.oracles import form
-from vellum.session import table
+from vellum.session import ensure_checkpoint_dir, table
 
 
 def folded_words(column: str) -> str:
@@ -32,6 +33,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("pieces > 1").select("item_kind", "item_key").distinct()
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """All unit texts as large files in the shared folder, cut by byte ranges under the units' limit: pieces by how they end."""
+    limit = table(spark, d, "piece_limits").where("item_kind = 'unit'").first()
+    texts = table(spark, d, "legal_units").where("text is not null").select(F.regexp_replace("text", r"\r\n?", "\n").alias("value"))
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/texts-{uuid4().hex}"
+    texts.write.text(folder)
+    pieces = split.split_files(spark, folder, limit["max_chars"], limit["overlap_chars"])
+    return pieces.groupBy("cut").agg(F.count("*").alias("pieces"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("chars"))
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlaps(table(spark, d, "gold_questions"), "question_id", "question", "split", "gold_unit_ids")
 
@@ -105,7 +117,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_files": p2_files,
     "p3_found": p3_found, "p3_report": p3_report,
     "p4_found": p4_found, "p4_share": p4_share,
     "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_same": p6_same,

@@ -12,12 +12,12 @@ cut only if it is longer than pitch + slack, and as seldom as possible. Pieces a
 
 from __future__ import annotations
 
-import os
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +27,8 @@ SLACK = 0.4
 HALO = 40
 #: Zones worked on in one range.
 ZONES_PER_RANGE = 16
+#: Bytes read at a time while a line end is looked for.
+CHUNK = 1 << 16
 
 #: Boundaries from the strongest to the weakest; a cut falls at the end of the match.
 BOUNDARIES = (
@@ -122,143 +124,120 @@ def split_texts(items: DataFrame, limits: DataFrame, kind: str, key: str, text:
     large = source.join(rules, "item_kind").withColumn("chars", F.length("text")).where("chars > max_chars")
     large = large.withColumn("version", F.xxhash64("text")).dropDuplicates(["item_kind", "item_key", "version"])
     ranges = _ranges(large)
-    cuts = _cuts(ranges)
-
-    by_item = Window.partitionBy(*ITEM).orderBy("cut_at")
-    whole = by_item.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pieces = cuts.select(
-        *ITEM, "range", "cut", "overlap",
-        F.row_number().over(by_item).alias("piece_no"), F.count("*").over(whole).cast("int").alias("pieces"),
-        F.coalesce(F.lag("cut_at").over(by_item), F.lit(0)).alias("from_at"), F.col("cut_at").alias("end"),
-    ).withColumn("begin", F.greatest(F.lit(0), F.col("from_at") - F.col("overlap")))
+    # the cut tables of a text's ranges are stitched: numbers by a running sum, the first piece from the cut before
+    order = Window.partitionBy(*ITEM).orderBy("range")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stitched = ranges.select(
+        "*", F.coalesce(F.sum(F.size("cuts")).over(before), F.lit(0)).alias("done"), F.sum(F.size("cuts")).over(whole).cast("int").alias("pieces"),
+        F.coalesce(F.last(F.try_element_at("cuts", F.lit(-1))["at"], ignorenulls=True).over(before), F.lit(0)).alias("last_at"),
+    )
+    each = stitched.select(
+        *ITEM, "pieces", "done", "overlap", "offset", "part", F.col("last_at"), "cuts", F.posexplode("cuts").alias("pos", "c"),
+    ).withColumn("from_at", F.when(F.col("pos") == 0, F.col("last_at")).otherwise(F.col("cuts")[F.col("pos") - 1]["at"]))
+    placed = each.select("item_kind", "item_key", (F.col("done") + F.col("pos") + 1).cast("int").alias("piece_no"), "pieces", F.greatest(F.lit(0), F.col("from_at") - F.col("overlap")).alias("begin"), F.col("c.at").alias("end"), F.col("c.cut").alias("cut"), "part", "offset")
     # a piece lies whole in the range that its end was found in
-    parts = ranges.select(*ITEM, "range", "offset", "part")
-    return pieces.drop("overlap", "from_at").join(parts, [*ITEM, "range"]).select("item_kind", "item_key", "piece_no", "pieces", "begin", "end", "cut", F.expr("substring(part, begin - offset + 1, end - begin)").alias("text"))
+    return placed.select("item_kind", "item_key", "piece_no", "pieces", "begin", "end", "cut", F.expr("substring(part, begin - offset + 1, end - begin)").alias("text"))
 
 
 ITEM = ("item_kind", "item_key", "version")
 
 
 def _ranges(large: DataFrame) -> DataFrame:
-    """Texts as ranges of ZONES_PER_RANGE zones or more, each with the characters its pieces and boundary rules need.
+    """Texts as ranges of ZONES_PER_RANGE zones or more, each with its cuts and the characters its pieces and boundary rules need.
 
     Zone k (from 1) is (k * pitch, k * pitch + slack]; a text has as many as keep its last piece under the limit. A
-    range goes on until its last zone has a boundary.
+    range goes on until its last zone has a boundary. Columns: ITEM, range, overlap, offset, part, cuts (at, cut).
     """
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, rows, parts = [], [], []
+            owner, rows, parts, cuts = [], [], [], []
             for i, (pitch, slack, overlap, chars, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pitch", "slack", "overlap", "chars", "text")), strict=True)):
-                zones = max(1, -(-(chars - pitch - slack) // pitch))
-                n, last = 0, 0
+                zones, n, last = _zones(chars, pitch, slack), 0, 0
                 while last < zones:
                     first, last = last + 1, min(zones, last + ZONES_PER_RANGE)
                     while last < zones and _best(text, 0, last * pitch, last * pitch + slack, chars)[1] == "none":
                         last += 1
-                    offset = max(0, (first - 1) * pitch - overlap - HALO)
+                    offset, final = max(0, (first - 1) * pitch - overlap - HALO), last == zones
+                    part = text[offset:] if final else text[offset : last * pitch + slack + HALO]
                     owner.append(i)
-                    rows.append((n, first, last, last == zones, offset))
-                    parts.append(text[offset:] if last == zones else text[offset : last * pitch + slack + HALO])
+                    rows.append((n, offset))
+                    parts.append(part)
+                    cuts.append([{"at": at, "cut": kind} for at, kind in [*zone_cuts(part, offset, first, last, final, pitch, slack, chars), *([(chars, "end")] if final else [])]])
                     n += 1
             take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in (*ITEM, "pitch", "slack", "overlap", "chars")), *(pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()))), pa.array(parts, pa.string())],
-                names=[*ITEM, "pitch", "slack", "overlap", "chars", "range", "first", "last", "final", "offset", "part"],
+                [*(batch.column(c).take(take) for c in (*ITEM, "overlap")), *(pa.array([r[c] for r in rows], pa.int32()) for c in range(2)), pa.array(parts, pa.string()), pa.array(cuts, pa.list_(pa.struct([("at", pa.int32()), ("cut", pa.string())])))],
+                names=[*ITEM, "overlap", "range", "offset", "part", "cuts"],
             )
 
     source = large.select(*ITEM, "pitch", "slack", "overlap", "chars", "text")
-    return source.mapInArrow(steps, "item_kind string, item_key string, version long, pitch int, slack int, overlap int, chars int, range int, first int, last int, final boolean, offset int, part string")
-
-
-def _cuts(ranges: DataFrame) -> DataFrame:
-    """The cut table: the cuts of each text's zones, found range by range, and one for the text's end."""
+    return source.mapInArrow(steps, "item_kind string, item_key string, version long, overlap int, range int, offset int, part string, cuts array<struct<at: int, cut: string>>")
 
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, at, kinds = [], [], []
-            for i, (first, last, final, pitch, slack, chars, offset, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "last", "final", "pitch", "slack", "chars", "offset", "part")), strict=True)):
-                for place, kind in zone_cuts(part, offset, first, last, final, pitch, slack, chars):
-                    owner.append(i)
-                    at.append(place)
-                    kinds.append(kind)
-                if final:
-                    owner.append(i)
-                    at.append(chars)
-                    kinds.append("end")
-            take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in (*ITEM, "range", "overlap")), pa.array(at, pa.int32()), pa.array(kinds, pa.string())],
-                names=[*ITEM, "range", "overlap", "cut_at", "cut"],
-            )
 
-    found = ranges.select(*ITEM, "range", "overlap", "first", "last", "final", "pitch", "slack", "chars", "offset", "part")
-    return found.mapInArrow(steps, "item_kind string, item_key string, version long, range int, overlap int, cut_at int, cut string")
+def _zones(chars: int, pitch: int, slack: int) -> int:
+    return max(1, -(-(chars - pitch - slack) // pitch))
 
 
-def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_chars: int, range_bytes: int = 32 << 20) -> DataFrame:
-    """Pieces of UTF-8 text files too large for one task: path, begin, end (bytes), cut, text.
+def split_files(spark: SparkSession, folder: str, max_chars: int, overlap_chars: int, range_bytes: int = 32 << 20) -> DataFrame:
+    """Pieces of the UTF-8 text files in a folder, each too large for one task: path, begin, end (bytes), cut, text.
 
-    Tasks read byte ranges with a halo (from a folder all executors see), never a whole file. Zones, limits and overlap
-    are as for split_texts but counted in bytes (a zone without a boundary is cut at its end), so a piece has at most max_chars bytes and so at most as many
-    characters; a cut never falls inside a character. An empty file gives no rows.
+    No file is loaded whole. A task looks for the first line end in its byte range; these boundaries are stitched to
+    stretches that begin and end at a line, and a task cuts a stretch by the rules of split_texts, reading what it repeats
+    of the stretch before as a halo. A range without a line end belongs to the stretch before it. Bytes that aren't UTF-8
+    come out as replacement characters. Empty files give no rows. The folder may be on any file system that pyarrow
+    knows (file, hdfs, s3, gs) and that all executors see.
     """
     overlap = min(max(0, overlap_chars), (max_chars - 1) // 2)
     slack = max(1, int((max_chars - overlap) * SLACK))
     pitch = max_chars - overlap - slack
-    per_range = max(1, range_bytes // pitch)
-    rows = []
-    for path in paths:
-        size = os.path.getsize(path)
-        zones = max(0, -(-(size - pitch - slack) // pitch)) if size > max_chars else 0
-        rows += [(path, size, 0, -1)] + [(path, size, k, min(k + per_range - 1, zones)) for k in range(1, zones + 1, per_range)]
+    files, root = FileSystem.from_uri(folder)
+    held = [(x.path, x.size) for x in files.get_file_info(FileSelector(root, recursive=True)) if x.is_file and x.size and not x.base_name.startswith((".", "_"))]
+    rows = [(path, size, start) for path, size in held for start in range(0, size, range_bytes)]
     if not rows:
         return spark.createDataFrame([], "path string, begin long, end long, cut string, text string")
-    halo = 4 * HALO
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = FileSystem.from_uri(folder)[0]
         for batch in batches:
             out = []
-            for path, size, first, last in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "first", "last")), strict=True):
-                if first == 0:
-                    if size:
-                        out.append((path, size, "end"))
-                    continue
-                with open(path, "rb") as f:
-                    offset = max(0, first * pitch - halo)
-                    f.seek(offset)
-                    part = f.read(last * pitch + slack + halo - offset)
-                for k in range(first, last + 1):
-                    begin = _char(part, k * pitch - offset)
-                    end = _char(part, min(k * pitch + slack, size - 1) - offset)
-                    if begin >= end:
-                        continue
-                    before, zone, after = (part[a:b].decode("utf-8", "ignore") for a, b in ((max(0, begin - halo), begin), (begin, end), (end, end + halo)))
-                    inner, kind = best_cut(before, zone, after)
-                    out.append((path, offset + begin + len(zone[:inner].encode()), kind))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in ((0, pa.string()), (1, pa.int64()), (2, pa.string()))], names=["path", "end", "cut"])
+            for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "start")), strict=True):
+                with files.open_input_file(path) as f:
+                    at, end = start, min(size, start + range_bytes)
+                    while start and at < end:
+                        f.seek(at)
+                        part = f.read(min(CHUNK, end - at))
+                        if (found := part.find(b"\n")) >= 0:
+                            at += found + 1
+                            break
+                        at += len(part)
+                if at < end or not start:
+                    out.append((path, size, at))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "size", "begin"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = FileSystem.from_uri(folder)[0]
         for batch in batches:
-            out = []
-            for path, start, end, cut in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end", "cut")), strict=True):
-                begin = max(0, start - overlap) if start else 0
-                with open(path, "rb") as f:
-                    f.seek(begin)
-                    data = f.read(end - begin)
-                skip = next((i for i, b in enumerate(data[:4]) if b & 0xC0 != 0x80), 0)
-                out.append((path, begin + skip, end, cut, data[skip:].decode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["path", "begin", "end", "cut", "text"])
-
-    jobs = spark.createDataFrame(rows, "path string, size long, first long, last long").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-    cuts = jobs.mapInArrow(boundaries, "path string, end long, cut string")
-    starts = cuts.withColumn("start", F.coalesce(F.lag("end").over(Window.partitionBy("path").orderBy("end")), F.lit(0)))
-    return starts.mapInArrow(read, "path string, begin long, end long, cut string, text string")
-
-
-def _char(data: bytes, at: int) -> int:
-    """The start of the character that holds byte at."""
-    at = min(at, len(data))
-    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
-        at -= 1
-    return at
+            for path, size, begin, end in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "begin", "end")), strict=True):
+                halo = min(begin, 4 * overlap)
+                with files.open_input_file(path) as f:
+                    f.seek(begin - halo)
+                    data = f.read(end - begin + halo)
+                text, before = data[halo:].decode("utf-8", "surrogateescape"), data[:halo].decode("utf-8", "surrogateescape")
+                before = before[max(0, len(before) - overlap) :]
+                chars, out, at = len(text), [], 0
+                cuts = zone_cuts(text, 0, 1, _zones(chars, pitch, slack), True, pitch, slack, chars) if chars > pitch + slack else []
+                place = begin
+                for cut, kind in [*cuts, (chars, "end" if end == size else "line")]:
+                    piece = (before + text[:cut])[-(cut - at + overlap) :] if at < overlap else text[at - overlap : cut]
+                    stop = place + len(text[at:cut].encode("utf-8", "surrogateescape"))
+                    raw = piece.encode("utf-8", "surrogateescape")
+                    out.append((path, stop - len(raw), stop, kind, raw.decode("utf-8", "replace")))
+                    at, place = cut, stop
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["path", "begin", "end", "cut", "text"])
+
+    jobs = spark.createDataFrame(rows, "path string, size long, start long").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism), "path", "start")
+    starts = jobs.mapInArrow(boundaries, "path string, size long, begin long")
+    stretches = starts.withColumn("end", F.coalesce(F.lead("begin").over(Window.partitionBy("path").orderBy("begin")), F.col("size")))
+    # stretches of one file are spread over all tasks
+    return stretches.repartition("path", "begin").mapInArrow(read, "path string, begin long, end long, cut string, text string")
