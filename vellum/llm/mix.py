@@ -8,10 +8,12 @@ documents, then by the same part of every length, and what is left by a bounded
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +39,16 @@ def _encoding(path: str, pattern: str):
 
 
 def count_tokens(documents: DataFrame, text: str, vocabulary: str, keep: list[str], pattern: str = PATTERN) -> DataFrame:
-    """keep columns and n_tokens: whole texts in tokens of the byte-level BPE vocabulary at that path (0 for null)."""
+    """keep columns and n_tokens: whole texts in tokens of the byte-level BPE vocabulary at that path (0 for null).
+
+    The file is read where the job is started from and sent to the executors with it.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary, pattern).encode_ordinary
+        encode = _encoding(SparkFiles.get(name), pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(x)) if x else 0 for x in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
