@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,20 +111,20 @@ def _texts(records: DataFrame, key: str, text: str, run: int) -> DataFrame:
 def _shared(source: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
     """(runs that stand in more than one text, the texts that may hold such runs: tid, text).
 
-    Runs: h (class of the run), tid, at, holders (what texts hold the run, as a fingerprint). Copies of a text are one.
+    Runs: tid, at, holders (which texts hold the run, as a fingerprint). Copies of a text are one.
     """
     gram = max(1, run // 2)
-    windows = _windows(source.select("tid", "text"), run, gram).persist(StorageLevel.DISK_ONLY)
-    meeting = windows.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low < high").select("h")
-    places = windows.join(meeting, "h").groupBy("tid").agg(F.collect_set(F.struct("at", "free_left", "free_right")).alias("windows"))  # bounded by the text
+    # grouping and join read one exchange: both name all columns of what lies below it
+    windows = _windows(source.select("tid", "text"), run, gram).repartition("h")
+    meeting = windows.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.max(F.col("at") + F.col("free_left") + F.col("free_right")).alias("reach")).where("low < high and reach >= 0")
+    places = windows.join(meeting.select("h"), "h").groupBy("tid").agg(F.collect_set(F.struct("at", "free_left", "free_right")).alias("windows"))  # bounded by the text
     held = cut(source.select("tid", "text").join(places, "tid").groupBy("tid").agg(F.first("text").alias("text"), F.first("windows").alias("windows")))
-    windows.unpersist()
-    runs = _run_hashes(held, run, gram)
+    runs = _run_hashes(held, run, gram).repartition("h")
     # two sums over hashes of the holders stand for the set of them
     mixed = F.xxhash64("tid")
     half = lambda bits: F.sum(F.shiftrightunsigned(mixed, bits).bitwiseAND(0x7FFFFFFF))
-    classes = runs.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.struct(F.count("*"), half(0), half(32)).alias("holders")).where("low < high")
-    return runs.join(classes.select("h", "holders"), "h"), held.select("tid", "text")
+    classes = runs.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.max("at").alias("reach"), F.xxhash64(F.count("*"), half(0), half(32)).alias("holders")).where("low < high and reach >= 0")
+    return runs.join(classes.select("h", "holders"), "h").select("tid", "at", "holders"), held.select("tid", "text")
 
 
 def shared_pairs(records: DataFrame, key: str, text: str, run: int = 150) -> DataFrame:
@@ -139,8 +138,8 @@ def shared_pairs(records: DataFrame, key: str, text: str, run: int = 150) -> Dat
     shared, texts = _shared(source, run)
     order = Window.partitionBy("tid").orderBy("at")
     same = (F.lag("at").over(order) == F.col("at") - 1) & (F.lag("holders").over(order) == F.col("holders"))
-    firsts = shared.withColumn("goes_on", F.coalesce(same, F.lit(False))).where("not goes_on").select("h", "tid", "at")
-    slices = cut(firsts.join(texts, "tid").select("h", "tid", F.expr(f"substring(text, at + 1, {run})").alias("slice")).distinct())
+    firsts = shared.withColumn("goes_on", F.coalesce(same, F.lit(False))).where("not goes_on").select("tid", "at")
+    slices = cut(firsts.join(texts, "tid").select("tid", F.expr(f"substring(text, at + 1, {run})").alias("slice")).withColumn("h", F.xxhash64("slice")).distinct())
     side = lambda name: slices.select("h", F.col("tid").alias(f"tid_{name}"), F.col("slice").alias(f"slice_{name}"))
     pairs = side("a").join(side("b"), "h").where("tid_a < tid_b and slice_a = slice_b").select("tid_a", "tid_b").distinct()
     members = source.select("tid", "id").distinct()
