@@ -114,12 +114,12 @@ def _shared(source: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
     Runs: tid, at, holders (which texts hold the run, as a fingerprint). Copies of a text are one.
     """
     gram = max(1, run // 2)
-    # grouping and join read one exchange: both name all columns of what lies below it
-    windows = _windows(source.select("tid", "text"), run, gram).repartition("h")
+    # grouping and join read one exchange: both name all columns of what lies below it, and both drop nulls (there are none)
+    windows = _windows(source.select("tid", "text"), run, gram).where("h is not null").repartition("h")
     meeting = windows.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.max(F.col("at") + F.col("free_left") + F.col("free_right")).alias("reach")).where("low < high and reach >= 0")
     places = windows.join(meeting.select("h"), "h").groupBy("tid").agg(F.collect_set(F.struct("at", "free_left", "free_right")).alias("windows"))  # bounded by the text
     held = cut(source.select("tid", "text").join(places, "tid").groupBy("tid").agg(F.first("text").alias("text"), F.first("windows").alias("windows")))
-    runs = _run_hashes(held, run, gram).repartition("h")
+    runs = _run_hashes(held, run, gram).where("h is not null").repartition("h")
     # two sums over hashes of the holders stand for the set of them
     mixed = F.xxhash64("tid")
     half = lambda bits: F.sum(F.shiftrightunsigned(mixed, bits).bitwiseAND(0x7FFFFFFF))
@@ -145,7 +145,7 @@ def shared_pairs(records: DataFrame, key: str, text: str, run: int = 150) -> Dat
     members = source.select("tid", "id").distinct()
     member = lambda name: members.select(F.col("tid").alias(f"tid_{name}"), F.col("id").alias(f"id_{name}"))
     other = pairs.join(member("a"), "tid_a").join(member("b"), "tid_b").select("id_a", "id_b")
-    copies = members.join(members.groupBy("tid").count().where("count > 1").select("tid"), "tid", "left_semi")
+    copies = cut(members.join(members.groupBy("tid").count().where("count > 1").select("tid"), "tid", "left_semi"))
     alike = copies.select("tid", F.col("id").alias("id_a")).join(copies.select("tid", F.col("id").alias("id_b")), "tid").select("id_a", "id_b")
     return other.where("id_a <> id_b").unionByName(alike.where("id_a < id_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
