@@ -232,6 +232,73 @@ def test_stream_stores_contents_once(spark, tmp_path):
     assert sorted(r["payload"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["a", "b", "c"]
 
 
+def letters():
+    return lambda texts: [[1.0 + len(t), 2.0] for t in texts]
+
+
+def test_write_once_and_readers(spark, tmp_path):
+    path = str(tmp_path / "store")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k string, v string")
+    artifacts.write_once(frame(("a", "1"), ("a", "1")), path, ["k"], "v")
+    artifacts.write_once(frame(("a", "1"), ("b", None)), path, ["k"], "v")
+    assert sorted(map(str, spark.read.parquet(path).collect())) == ["Row(k='a', v='1')", "Row(k='b', v=None)"]
+    for wrong in (frame(("a", "2"), ("c", "3")), frame(("c", "1"), ("c", "2"))):
+        with pytest.raises(artifacts.WriteOnceError):
+            artifacts.write_once(wrong, path, ["k"], "v")
+    assert spark.read.parquet(path).count() == 2
+    artifacts.store_normalized(spark.createDataFrame([("h", "1", "c", "x")], "content_sha256 string, normalizer_version string, corrections_sha256 string, text string"), str(tmp_path / "n"))
+    assert spark.read.parquet(str(tmp_path / "n")).first()["text"] == "x\n"
+    (tmp_path / "r.json").write_text(json.dumps({"artifact_version": "1", "snapshot_id": "s", "relations": [{"relation_id": "r1", "source": {"document_id": "d"}, "reviewed_at": "2025-01-02"}]}))
+    (tmp_path / "g.json").write_text(json.dumps({"artifact_version": "1", "snapshot_id": "s", "questions": [{"question_id": "q1", "gold_unit_ids": ["u"]}, {"question_id": "q2"}]}))
+    (tmp_path / "bad.json").write_text('{"artifact_version": ')
+    relation = artifacts.read_relations(spark, str(tmp_path / "r.json")).first()
+    assert (relation["relation_id"], relation["source"]["document_id"], relation["reviewed_at"], relation["note"]) == ("r1", "d", date(2025, 1, 2), None)
+    assert [r["question_id"] for r in artifacts.read_gold(spark, str(tmp_path / "g.json")).collect()] == ["q1", "q2"]
+    with pytest.raises(Exception, match=r"(?i)malformed|FAILFAST"):
+        artifacts.read_gold(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_catalog_lookup(spark, tmp_path):
+    source = {"document_guid": "g 1/&", "expected_document_id": "1/2024/X", "reviewed_text_replacements": [{"find": "a", "replace": "b", "expected_count": 1}] * 2}
+    (tmp_path / "c.json").write_text(json.dumps({"snapshot_id": "s", "sources": [source, {"document_guid": "g2", "expected_document_id": "2/2024/X"}]}))
+    catalog = portal.read_catalog(spark, str(tmp_path / "c.json"))
+    assert portal.select_source(catalog, "1/2024/X").first()["document_guid"] == "g 1/&" and tuple(portal.correction_count(catalog).first()) == (2, 2)
+    with pytest.raises(LookupError):
+        portal.select_source(catalog, "3/2024/X")
+    assert portal.detail_url("g 1/&", "https://x/d") == "https://x/d?docGUId=g%201%2F%26&tabName=noidung"
+    with pytest.raises(ValueError, match="https"):
+        portal.fetch_raw("http://x")
+
+
+def test_snapshot_sides(spark):
+    import hashlib
+
+    h = {x: hashlib.sha256(x.encode()).hexdigest() for x in "abc"}
+    entry = lambda d, x, path="parsed/x.json": (d, h.get(x, x), "g", "1", "2", "2", path)
+    manifest = spark.createDataFrame([entry("ok", "a"), entry("raw", "c"), entry("bytes", "b", "../x"), entry("none", None), entry("extra", "a", "/x")], "document_id string, content_sha256 string, portal_document_guid string, normalizer_version string, parser_version string, artifact_version string, parsed_path string")
+    documents = manifest.where("document_id <> 'extra'").drop("parsed_path")
+    raw = spark.createDataFrame([(h["a"].upper(), "a"), (h["b"], "x")], "content_sha256 string, payload string")
+    receipts = spark.createDataFrame([(h["a"], "2025-01-01T00:00:00+07:00"), (h["b"], "2025-01-01T00:00:00")], "content_sha256 string, retrieved_at string")
+    got = {tuple(r) for r in integrity.snapshot_violations(manifest, raw, receipts, documents).collect()}
+    assert got == {("raw", "RAW"), ("raw", "RECEIPT"), ("none", "RAW"), ("none", "RECEIPT"), ("bytes", "RAW_HASH"), ("bytes", "RECEIPT_TIME"), ("bytes", "PATH"), ("extra", "MISSING"), ("extra", "PATH")}
+
+
+def test_node_properties_and_coverage(spark, units, documents):
+    nodes = graph.nodes(documents, units)
+    held = {r["key"]: r["properties"] for r in nodes.collect()}
+    assert held["s::1/2024/X"]["title"] == "Luật 1/2024/X" and "source_effect_status" not in held["s::1/2024/X"] and held["s::1/2024/X::article::3"]["text"] == "Tên\nxe máy dừng" and held["s"] == {"snapshot_id": "s"}
+    assert held["s::1/2024/X::article::3::clause::1"]["parser_version"] == "2" and graph.repeated_nodes(nodes).count() == 0
+    assert [(r["key"], r["nodes"]) for r in graph.repeated_nodes(nodes.unionByName(nodes.where("key = 's'"))).collect()] == [("s", 2)]
+    vectors = spark.createDataFrame([("1/2024/X::article::3",), ("1/2024/X::article::3",), ("x",), (None,)], "unit_id string")
+    assert [tuple(r) for r in dense.coverage(units, vectors).collect()] == [("s", 5, 1, False)]
+    questions = spark.createDataFrame([("q1", ["1/2024/X::article::3"], date(2024, 5, 1)), ("q2", ["1/2024/X::article::3"], date(2020, 5, 1)), ("q3", ["none"], None)], "question_id string, gold_unit_ids array<string>, effective_at date")
+    ranking = spark.createDataFrame([("q1", "1/2024/X::article::3", 1), ("q9", "x", 1)], "query_id string, unit_id string, rank int")
+    assert {tuple(r) for r in evaluation.valid_recall(questions, ranking, units, documents).collect()} == {("q1", 1, 1.0), ("q2", 0, None)}
+    assert {tuple(r) for r in evaluation.result_keys(questions, ranking).collect()} == {("q2", "NO_RESULT"), ("q3", "NO_RESULT"), ("q9", "UNKNOWN_QUESTION")}
+    digest = lambda df: evaluation.content_digest(df).first()[0]
+    assert digest(ranking) == digest(ranking.orderBy("query_id", ascending=False)) != digest(ranking.limit(1)) and digest(ranking.where("false"))
+
+
 def test_commands(spark, units, documents, tmp_path, capsys):
     root = str(tmp_path)
     units.withColumn("loaded_at", F.lit(datetime(2025, 1, 1))).write.parquet(f"{root}/legal_units.parquet")
@@ -251,7 +318,14 @@ def test_commands(spark, units, documents, tmp_path, capsys):
     assert run("build-lexical-index")[1][0]["units"] == 5
     assert run("search-lexical", "--query", "xe tải")[1][0]["unit_id"].endswith("clause::1")
     assert run("evaluate-r0", "--split", "dev")[1][0]["full_hit"] == 1 and run("evaluate-r1", "--split", "dev")[1][0]["full_hit"] == 1
-    assert len(run("build-dense-index")[1]) == 4 and run("search-dense", "--query", "[1, 0]")[1][0]["dense_score"] == 1.0
+    assert run("search-lexical", "--query", "xe tải")[1][0].keys() >= {"document_id", "snapshot_id", "text", "unit_type", "source_url", "lexical_score", "validity", "rank"}
+    assert run("build-dense-index")[1][0] == {"snapshot_id": "s", "units": 5, "embedded": 1, "complete": False}
+    found = run("search-dense", "--query", "[1, 0]")[1][0]
+    assert found["dense_score"] == 1.0 and found["source_url"] == "https://x/1/2024/X"
+    assert run("build-dense-index", "--encoder", "tests.test_retrieval:letters")[1][0]["complete"] is True and spark.read.parquet(f"{root}/unit_vectors.parquet").count() == 5
+    runs = spark.read.parquet(f"{root}/runs.parquet").collect()
+    assert len(runs) == 2 and all(len(r["gold_sha256"]) == 64 and r["created_at"] and json.loads(r["config"])["top_k"] == 10 for r in runs)
+    assert spark.read.parquet(f"{root}/run_cases.parquet").where("run_id is not null").count() == 2
     assert run("report-snapshot")[1][-1]["unit_count"] == 5
     with pytest.raises(SystemExit):
         run("search-lexical", "--query", "x", "--top-k", "51")

@@ -118,15 +118,31 @@ def missing_embeddings(inputs: DataFrame, done: DataFrame, key: str) -> DataFram
     return inputs.join(done.select(key), key, "left_anti")
 
 
-def encode(inputs: DataFrame, key: str, text: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
-    """key and vector (length 1) of each text. encoder() is called once a task and gives a function from texts to vectors."""
+def coverage(units: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Per snapshot the units that are to be embedded and have a vector: snapshot_id, units, embedded, complete.
+
+    vectors: unit_id (repeats count once). Snapshots with embedded over 0 own embeddings.
+    """
+    wanted = units.where(F.col("unit_type").isin(*DENSE_TYPES)).select("snapshot_id", "unit_id")
+    both = wanted.join(vectors.select("unit_id").distinct().withColumn("there", F.lit(True)), "unit_id", "left")
+    return both.groupBy("snapshot_id").agg(F.count("*").alias("units"), F.count("there").alias("embedded")).withColumn("complete", F.col("units") == F.col("embedded"))
+
+
+def encode(inputs: DataFrame, key: str, text: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:
+    """key and vector (length 1) of each text, batch (1 to 128) texts at a time.
+
+    encoder() is called once a task and gives a function from texts to vectors; on what device it works is its affair.
+    """
+    if not 1 <= batch <= 128:
+        raise ValueError("batch must be between 1 and 128")
     key_type = inputs.schema[key].dataType.simpleString()
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder()
-        for batch in batches:
-            vectors = model([x or "" for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(vectors, pa.list_(pa.float64()))], names=["key", "vector"])
+        for rows in batches:
+            texts = [x or "" for x in rows.column("text").to_pylist()]
+            vectors = [v for i in range(0, len(texts), batch) for v in model(texts[i : i + batch])]
+            yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(vectors, pa.list_(pa.float64()))], names=["key", "vector"])
 
     made = inputs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(steps, f"key {key_type}, vector array<double>")
     return made.select(F.col("key").alias(key), normalized(F.col("vector")).alias("vector"))

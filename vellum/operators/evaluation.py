@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.integrity import effective
+
 DEPTHS = (1, 3, 5, 10)
 
 
@@ -50,6 +54,45 @@ def ndcg(questions: DataFrame, ranking: DataFrame, depth: int = 10) -> DataFrame
     return size.join(gains, "question_id", "left").select("question_id", F.round(F.coalesce("gain", F.lit(0.0)) / best, 6).alias("ndcg"))
 
 
+def valid_recall(questions: DataFrame, ranking: DataFrame, units: DataFrame, documents: DataFrame, depth: int = 10) -> DataFrame:
+    """Recall over gold units whose document is in force on the question's day: question_id, in_force, recall.
+
+    recall is null where no gold unit is in force; a question without a gold unit that exists has no row.
+    """
+    gold = questions.where("size(gold_unit_ids) > 0").select("question_id", "effective_at", F.explode(F.array_distinct("gold_unit_ids")).alias("unit_id"))
+    owned = gold.join(units.select("unit_id", "document_id"), "unit_id").join(documents.select("document_id", "effective_from", "effective_to", "status"), "document_id")
+    valid = owned.withColumn("valid", effective(F.col("effective_from"), F.col("effective_to"), F.col("status"), F.col("effective_at")) == "true")
+    found = ranking.where(F.col("rank") <= depth).select(F.col("query_id").alias("question_id"), "unit_id", F.lit(True).alias("hit")).distinct()
+    both = valid.join(found, ["question_id", "unit_id"], "left").groupBy("question_id").agg(F.count_if("valid").alias("in_force"), F.count_if(F.col("valid") & F.coalesce("hit", F.lit(False))).alias("hits"))
+    return both.select("question_id", "in_force", F.when(F.col("in_force") > 0, F.round(F.col("hits") / F.col("in_force"), 9)).alias("recall"))
+
+
+def result_keys(questions: DataFrame, ranking: DataFrame) -> DataFrame:
+    """question_id, code where questions and results don't have the same keys: NO_RESULT, UNKNOWN_QUESTION."""
+    asked = questions.select("question_id").distinct().withColumn("asked", F.lit(True))
+    ranked = ranking.select(F.col("query_id").alias("question_id")).distinct().withColumn("ranked", F.lit(True))
+    code = F.when(F.col("ranked").isNull(), "NO_RESULT").when(F.col("asked").isNull(), "UNKNOWN_QUESTION")
+    return asked.join(ranked, "question_id", "full_outer").select("question_id", code.alias("code")).where("code is not null")
+
+
+def content_digest(table: DataFrame) -> DataFrame:
+    """One row, digest: a hash of all rows whatever their order, in sums of fixed size (equal rows count each)."""
+    row = F.sha2(F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}), 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("long")), F.lit(0)) for i in range(8)]
+    return table.agg(F.sha2(F.concat_ws(",", F.count("*"), *sums), 256).alias("digest"))
+
+
+def run_record(name: str, metrics: DataFrame, gold: DataFrame, snapshot: str | None, split: str | None, config: dict, commit: str | None) -> DataFrame:
+    """One row for a retrieval run: run_id, its provenance (snapshot, split, gold_sha256, git_commit, created_at, config) and metrics.
+
+    The id depends on what was asked of what (name, snapshot, split, gold set, config), not on when.
+    """
+    base = metrics.withColumn("gold_sha256", content_digest(gold).scalar())
+    told = base.withColumns({"snapshot_id": F.lit(snapshot), "split": F.lit(split), "config": F.lit(json.dumps(config, sort_keys=True)), "git_commit": F.lit(commit), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")})
+    digest = F.sha2(F.concat_ws("|", F.lit(name), F.coalesce("snapshot_id", F.lit("")), F.coalesce("split", F.lit("")), "gold_sha256", "config"), 256)
+    return told.withColumn("run_id", F.concat(F.lit(f"{name}-"), F.substring(digest, 1, 12)))
+
+
 def reciprocal_rank_fusion(rankings: list[DataFrame], constant: float = 60.0, depth: int = 10) -> DataFrame:
     """Fused ranking: query_id, unit_id, rrf_score, rank. Each ranking has query_id, unit_id, rank; constant is a parameter."""
     every = rankings[0].select("query_id", "unit_id", "rank")

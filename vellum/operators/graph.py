@@ -14,6 +14,23 @@ NODE_LABELS = ("Snapshot", "Document", "DocumentType", "EffectStatus", "Field",
 EDGE_TYPES = ("IN_SNAPSHOT", "HAS_TYPE", "HAS_STATUS", "IN_FIELD", "ISSUED_BY", "SIGNED_BY", "HAS_PART", "HAS_CHAPTER", "HAS_SECTION", "HAS_ARTICLE", "HAS_CLAUSE", "HAS_POINT", "AMENDS")
 
 
+# Properties of document and unit nodes and of amendments.
+DOCUMENT_PROPERTIES = (
+    "document_id", "portal_document_guid", "title", "document_type", "portal_document_type", "issuer", "issued_date", "effective_from", "effective_to", "status",
+    "source_effect_status", "source_url", "content_url", "content_sha256", "snapshot_id", "artifact_version", "parser_version",
+)
+UNIT_PROPERTIES = ("unit_id", "document_id", "unit_type", "number", "title", "text", "parent_id", "path", "snapshot_id")
+AMENDMENT_PROPERTIES = ("relation_id", "amendment_type", "evidence_unit_id", "source_url", "raw_sha256", "provenance", "review_status", "reviewed_by", "reviewed_at", "snapshot_id", "note")
+
+
+def _properties(table: DataFrame, names: tuple[str, ...]) -> Column:
+    """Map of a row's properties as text, those that are null left out; a list is its parts with blanks between."""
+    text = lambda c: F.array_join(c, " ") if dict(table.dtypes)[c].startswith("array") else F.col(c).cast("string")
+    pairs = [x for c in names if c in table.columns for x in (F.lit(c), text(c))]
+    every = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.map_filter(every, lambda _, v: v.isNotNull())
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -57,14 +74,17 @@ def _metadata(documents: DataFrame) -> DataFrame:
 
 
 def nodes(documents: DataFrame, units: DataFrame) -> DataFrame:
-    """label, key, document_id (null for metadata). documents and units have one row a key (see one_row_each)."""
-    none = F.lit(None).cast("string").alias("document_id")
+    """label, key, document_id (null for metadata), properties. documents and units have one row a key (see one_row_each)."""
+    none, named = F.lit(None).cast("string").alias("document_id"), lambda c: F.create_map(F.lit("name"), F.col(c)).alias("properties")
+    parser = documents.select("snapshot_id", "document_id", "parser_version").distinct() if "parser_version" in documents.columns else None
+    own = units.where(F.col("unit_type").isin(*TYPES))
+    own = own if parser is None else own.join(parser, ["snapshot_id", "document_id"], "left")
     snapshot = documents.select("snapshot_id").union(units.select("snapshot_id")).where("snapshot_id is not null").distinct()
     return _union([
-        snapshot.select(F.lit("Snapshot").alias("label"), F.col("snapshot_id").alias("key"), none),
-        documents.select(F.lit("Document").alias("label"), physical_key(F.col("snapshot_id"), F.col("document_id")).alias("key"), "document_id"),
-        _metadata(documents).select("label", F.col("name").alias("key"), none).distinct(),
-        units.where(F.col("unit_type").isin(*TYPES)).select(F.initcap("unit_type").alias("label"), physical_key(F.col("snapshot_id"), F.col("unit_id")).alias("key"), "document_id"),
+        snapshot.select(F.lit("Snapshot").alias("label"), F.col("snapshot_id").alias("key"), none, F.create_map(F.lit("snapshot_id"), F.col("snapshot_id")).alias("properties")),
+        documents.select(F.lit("Document").alias("label"), physical_key(F.col("snapshot_id"), F.col("document_id")).alias("key"), "document_id", _properties(documents, DOCUMENT_PROPERTIES).alias("properties")),
+        _metadata(documents).select("label", "name").distinct().select("label", F.col("name").alias("key"), none, named("name")),
+        own.select(F.initcap("unit_type").alias("label"), physical_key(F.col("snapshot_id"), F.col("unit_id")).alias("key"), "document_id", _properties(own, (*UNIT_PROPERTIES, "parser_version")).alias("properties")),
     ])
 
 
@@ -91,6 +111,17 @@ def amends(documents: DataFrame, units: DataFrame, relations: DataFrame) -> Data
     return found.select(F.lit("AMENDS").alias("type"), "src", "dst", "extra")
 
 
+def amendments(documents: DataFrame, units: DataFrame, relations: DataFrame) -> DataFrame:
+    """src, dst, relation_id, properties of the AMENDS edges; a null note is no property."""
+    known = relations.where("relation_type = 'AMENDS'").select("relation_id", _properties(relations, AMENDMENT_PROPERTIES).alias("properties")).dropDuplicates(["relation_id"])
+    return amends(documents, units, relations).withColumnRenamed("extra", "relation_id").join(known, "relation_id").select("src", "dst", "relation_id", "properties")
+
+
+def repeated_nodes(node_table: DataFrame) -> DataFrame:
+    """label, key, nodes of keys that stand for more than one node of a label: every label has unique keys."""
+    return node_table.groupBy("label", "key").agg(F.count("*").alias("nodes")).where("nodes > 1")
+
+
 def expected_counts(documents: DataFrame, units: DataFrame, relations: DataFrame) -> DataFrame:
     """kind (node, edge), name, expected: what the source tables say, without building the graph."""
     unit_counts = units.agg(F.count_if(F.col("unit_type").isin(*TYPES)).alias("all"), *(F.count_if(F.col("unit_type") == t).alias(t) for t in TYPES))

@@ -124,6 +124,26 @@ def manifest_violations(manifest: DataFrame, documents: DataFrame) -> DataFrame:
     return _codes(m.join(p, "document_id", "full_outer"), "document_id", tests)
 
 
+def snapshot_violations(manifest: DataFrame, raw: DataFrame, receipts: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id, code: how a snapshot's manifest, raw responses, receipts and parsed documents disagree.
+
+    raw: content_sha256, payload; receipts: content_sha256, retrieved_at (text in ISO form). Besides the codes of
+    manifest_violations: RAW (no response of the entry's hash), RAW_HASH (its bytes have another hash), RECEIPT (none),
+    RECEIPT_TIME (no time with an offset), PATH (a parsed_path that leaves its folder). Hashes are compared without
+    regard to case; a null hash has no response. Several rows of a hash count as wrong if one of them is.
+    """
+    key = lambda c: F.lower(c)
+    held = raw.groupBy(key("content_sha256").alias("hash")).agg(F.bool_and(F.sha2("payload", 256) == key("content_sha256")).alias("whole"))
+    timed = receipts.groupBy(key("content_sha256").alias("hash")).agg(F.bool_and(F.coalesce(F.col("retrieved_at").rlike(r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:?\d{2})$"), F.lit(False))).alias("timed"))
+    full = manifest.withColumn("hash", key("content_sha256")).join(held, "hash", "left").join(timed, "hash", "left")
+    path = F.col("parsed_path") if "parsed_path" in manifest.columns else F.lit("")
+    tests = {
+        "RAW": F.col("whole").isNull(), "RAW_HASH": F.coalesce(~F.col("whole"), F.lit(False)), "RECEIPT": F.col("timed").isNull(), "RECEIPT_TIME": F.coalesce(~F.col("timed"), F.lit(False)),
+        "PATH": F.coalesce(path.rlike(r"(^|/)\.\.(/|$)|^/|\\"), F.lit(False)),
+    }
+    return manifest_violations(manifest, documents).unionByName(_codes(full, "document_id", tests))
+
+
 def key_set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys of only one side: key, side (left, right)."""
     a, b = left.select(key).distinct().withColumn("l", F.lit(True)), right.select(key).distinct().withColumn("r", F.lit(True))

@@ -50,7 +50,7 @@ def ingest(raw: DataFrame, catalog: DataFrame, strict_quotes: bool = False) -> I
     broken = hierarchy.unit_violations(units).select(F.regexp_extract("document_id", r"#([^#]*)$", 1).alias("record")).distinct()
     record = F.col("record_id").cast("string")
     bad = good.select("record_id", record.alias("record")).join(broken.unionByName(good.select(record.alias("record")).join(named.select("record").distinct(), "record", "left_anti")).distinct(), "record", "left_semi").select("record_id").distinct()
-    documents = good.join(bad, "record_id", "left_anti").drop("fixed", "code", "text", "corrections", "expected_document_id", "expected_title").withColumns(
+    documents = good.join(bad, "record_id", "left_anti").withColumns({"normalized_text": F.col("text"), "corrections_sha256": F.sha2(F.coalesce(F.to_json("corrections"), F.lit("")), 256)}).drop("fixed", "code", "text", "corrections", "expected_document_id", "expected_title").withColumns(
         {"normalizer_version": F.lit(NORMALIZER_VERSION), "parser_version": F.lit(PARSER_VERSION), "artifact_version": F.lit(ARTIFACT_VERSION)}
     )
     kept = named.join(documents.select(record.alias("record"), "snapshot_id"), "record").drop("record")

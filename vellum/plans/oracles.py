@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vellum.functions.text import LATIN_STAND_IN, LOOK_ALIKE, ZERO_WIDTH
+from vellum.operators.graph import AMENDMENT_PROPERTIES, DOCUMENT_PROPERTIES, UNIT_PROPERTIES
 
 _FORM = LOOK_ALIKE | LATIN_STAND_IN | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _PLAIN = "".join(_FORM.values()).replace("'", "''")
@@ -81,6 +82,9 @@ _TYPES = ("part", "chapter", "section", "article", "clause", "point")
 LOCATOR = """loc as (select relation_id query_id, target.document_id document_id, target.unit_id target_unit, nullif(regexp_extract(target.unit_id, '::article::([^:]+)', 1), '') article,
     nullif(regexp_extract(target.unit_id, '::clause::([^:]+)', 1), '') clause, nullif(regexp_extract(target.unit_id, '::point::([^:]+)', 1), '') point from r where target.unit_id is not null)"""
 LOCATOR_TEXT = """asked_text as (select query_id, concat_ws(' ', 'Nội dung', 'điểm ' || point, 'khoản ' || clause, 'Điều ' || article, 'của văn bản số', document_id) query from loc)"""
+SCOPED_BM25 = BM25.replace("from qt join post using (term)", "from qt join post using (term) join u using (unit_id) join loc using (query_id)").replace("cross join stats group by", "cross join stats where u.document_id = loc.document_id group by")
+MERGED = """j as (select coalesce(e.query_id, t.query_id) query_id, coalesce(e.unit_id, t.unit_id) unit_id, exact_rank, lexical_rank, lexical_score from exact e full join (select * from top where lexical_rank <= 15) t on e.query_id = t.query_id and e.unit_id = t.unit_id),
+    k as (select *, cast(row_number() over (partition by query_id order by exact_rank asc nulls last, lexical_rank asc nulls last) as integer) rank from j)"""
 EXACT = """exact as (select query_id, unit_id, u.document_id, cast(row_number() over (partition by query_id order by unit_id) as integer) exact_rank from loc join u on unit_id = target_unit)"""
 
 
@@ -100,6 +104,12 @@ def _code(code: str, table: str, key: str, test: str) -> str:
     return f"select {key}, '{code}' code from {table} where coalesce({test}, true)"
 
 
+def _unpivot(label: str, key: str, columns: tuple[str, ...], rows: str) -> str:
+    """A row for each property that isn't null; a list is its parts with blanks between."""
+    pairs = ", ".join(f"{{'property': '{c}', 'value': {'array_to_string(path, chr(32))' if c == 'path' else f'cast({c} as varchar)'}}}" for c in columns)
+    return f"select label, \"key\", x.property, x.value from (select {label} label, {key} \"key\", unnest([{pairs}]) x from {rows}) where x.value is not null"
+
+
 def _json(path: str) -> str:
     return f"json_extract_string(payload, '$.{path}')"
 
@@ -189,6 +199,13 @@ ORACLES: dict[str, str] = {
         union all select document_id, unit_id, 'FOREIGN' from u where not starts_with(unit_id, document_id || '::')
         union all select document_id, unit_id, 'ORPHAN' from u a where parent_id is not null and not exists (select 1 from u b where b.document_id = a.document_id and b.unit_id = a.parent_id))""",
     "graph_nodes": _with(DOCS, UNITS, NODES) + 'select label, "key" from nodes',
+    "graph_node_properties": _with(DOCS, UNITS, NODES, "up as (select u.*, parser_version from u left join d using (snapshot_id, document_id))")
+    + " union all ".join([
+        _unpivot("'Document'", _PKEY.format("document_id"), DOCUMENT_PROPERTIES, "d"), _unpivot("upper(unit_type[1]) || unit_type[2:]", _PKEY.format("unit_id"), (*UNIT_PROPERTIES, "parser_version"), "up"),
+        "select label, \"key\", case label when 'Snapshot' then 'snapshot_id' else 'name' end property, \"key\" \"value\" from nodes where label in ('Snapshot', 'DocumentType', 'EffectStatus', 'Field', 'Organization', 'Signer')",
+    ]),
+    "repeated_node_keys": _with(DOCS, UNITS, NODES) + 'select label, "key", count(*) nodes from nodes group by 1, 2 having count(*) > 1',
+    "amends_properties": _with(DOCS, UNITS, RELATIONS, AMENDS, "known as (select * from r where relation_id in (select relation_id from amends))", f"x as ({_unpivot('relation_id', 'relation_id', AMENDMENT_PROPERTIES, 'known')})") + 'select label relation_id, property, "value" from x',
     "graph_edges": _with(DOCS, UNITS, RELATIONS, METADATA, TREE, AMENDS, EDGES) + "select type, src, dst from edges",
     "hierarchy_edges": _with(UNITS, TREE) + "select type, src, dst from tree",
     "metadata_edges": _with(DOCS, METADATA) + "select type, src, dst, extra from metadata",
@@ -225,6 +242,11 @@ ORACLES: dict[str, str] = {
     "manifest_violations": _with(f"d as (select * replace ({_key('document_id')} as document_id, {_key('content_sha256')} as content_sha256) from (select distinct * from legal_documents))", f"m as {_manifest(0, 'content_sha256', 'portal_document_guid', 'normalizer_version', 'parser_version', 'artifact_version')}",
         "j as (select coalesce(m.document_id, d.document_id) document_id, m.document_id md, d.document_id dd, " + ", ".join(f"m.{c} is distinct from d.{c} {k}" for k, c in (("HASH", "content_sha256"), ("GUID", "portal_document_guid"), ("NORMALIZER", "normalizer_version"), ("PARSER", "parser_version"), ("ARTIFACT", "artifact_version"))) + " from m full join d on m.document_id = d.document_id)")
     + "select distinct document_id, 'MISSING' code from j where dd is null union select document_id, 'EXTRA' from j where md is null" + "".join(f" union select document_id, '{k}' from j where md is not null and dd is not null and {k}" for k in ("HASH", "GUID", "NORMALIZER", "PARSER", "ARTIFACT")),
+    "snapshot_violations": _with(f"d as (select * replace ({_key('document_id')} as document_id, {_key('content_sha256')} as content_sha256) from (select distinct * from legal_documents))", f"m as {_manifest(0, 'content_sha256', 'portal_document_guid', 'normalizer_version', 'parser_version', 'artifact_version', 'parsed_path')}",
+        "j as (select coalesce(m.document_id, d.document_id) document_id, m.document_id md, d.document_id dd, " + ", ".join(f"m.{c} is distinct from d.{c} {k}" for k, c in (("HASH", "content_sha256"), ("GUID", "portal_document_guid"), ("NORMALIZER", "normalizer_version"), ("PARSER", "parser_version"), ("ARTIFACT", "artifact_version"))) + " from m full join d on m.document_id = d.document_id)",
+        "held as (select distinct sha256(payload) h from portal_records where payload is not null)", "lost as (select document_id from m where content_sha256 is null or lower(content_sha256) not in (select h from held))")
+    + "select distinct document_id, 'MISSING' code from j where dd is null union select document_id, 'EXTRA' from j where md is null" + "".join(f" union select document_id, '{k}' from j where md is not null and dd is not null and {k}" for k in ("HASH", "GUID", "NORMALIZER", "PARSER", "ARTIFACT"))
+    + " union select document_id, 'RAW' from lost union select document_id, 'RECEIPT' from lost union select document_id, 'PATH' from m where contains(parsed_path, '..') or starts_with(parsed_path, '/')",
     "key_sets": f"with a as (select distinct {_key('document_id')} document_id from legal_units), b as {_manifest(0, 'content_sha256')} select document_id, 'left' side from a where document_id not in (select document_id from b) union all select document_id, 'right' from b where document_id not in (select document_id from a)",
     "snapshot_report": _with(DOCS, UNITS, "n as (select document_id, count(*) unit_count, " + ", ".join(f"count(*) filter (unit_type = '{t}') {t}_count" for t in _TYPES) + " from u group by 1)",
         "x as (select document_id, status, effective_from, content_sha256, coalesce(unit_count, 0) unit_count, " + ", ".join(f"coalesce({t}_count, 0) {t}_count" for t in _TYPES) + " from d left join n using (document_id))")
@@ -237,10 +259,9 @@ ORACLES: dict[str, str] = {
     "lexical_topk": _with(QUESTIONS, ASKED, QUERIES_SQL, UNITS, BM25) + "select query_id, unit_id, lexical_score, lexical_rank from top where lexical_rank <= 10",
     "locators": _with(RELATIONS, LOCATOR) + "select query_id, article, clause, point from loc",
     "exact_lookup": _with(RELATIONS, UNITS, LOCATOR, EXACT) + "select query_id, unit_id, document_id, exact_rank from exact",
-    "exact_then_lexical": _with(RELATIONS, UNITS, LOCATOR, LOCATOR_TEXT, EXACT, BM25.replace("from qt join post using (term)", "from qt join post using (term) join u using (unit_id) join loc using (query_id)").replace("cross join stats group by", "cross join stats where u.document_id = loc.document_id group by"),
-        "j as (select coalesce(e.query_id, t.query_id) query_id, coalesce(e.unit_id, t.unit_id) unit_id, exact_rank, lexical_rank, lexical_score from exact e full join (select * from top where lexical_rank <= 15) t on e.query_id = t.query_id and e.unit_id = t.unit_id)",
-        "k as (select *, cast(row_number() over (partition by query_id order by exact_rank asc nulls last, lexical_rank asc nulls last) as integer) rank from j)")
-    + "select query_id, unit_id, rank, exact_rank, lexical_rank, lexical_score from k where rank <= 5",
+    "exact_then_lexical": _with(RELATIONS, UNITS, LOCATOR, LOCATOR_TEXT, EXACT, SCOPED_BM25, MERGED) + "select query_id, unit_id, rank, exact_rank, lexical_rank, lexical_score from k where rank <= 5",
+    "search_results": _with(RELATIONS, UNITS, DOCS, LOCATOR, LOCATOR_TEXT, EXACT, SCOPED_BM25, MERGED, "f as (select * from k where rank <= 5)")
+    + "select f.*, cast(null as integer) dense_rank, cast(null as double) dense_score, u.snapshot_id, u.document_id, u.unit_type, u.title, u.text, d.source_url, 'unknown' validity from f join u using (unit_id) join d on d.document_id = u.document_id",
     "dense_validate": "select coalesce(len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0, false) valid, count(*) vectors from embeddings group by 1",
     "dense_topk": """with s as (select a.vec_id query_id, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) dense_score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
         select query_id, vec_id, dense_score, cast(row_number() over (partition by query_id order by dense_score desc, vec_id) as integer) dense_rank from s qualify row_number() over (partition by query_id order by dense_score desc, vec_id) <= 10""",
@@ -248,11 +269,17 @@ ORACLES: dict[str, str] = {
         t as (select *, row_number() over (partition by query_id order by dense_score desc, vec_id) r from s qualify r <= 10)
         select query_id, count(*) filter (hit) hits, coalesce(max(round(1.0 / r, 6)) filter (hit), 0.0) reciprocal_rank from t group by 1""",
     "dense_resume": _with(DOCS, UNITS) + "select unit_id from u where unit_type in ('article', 'clause', 'point') and document_id in (select document_id from d) and unit_id not in (select unit_id from candidates where dense_score is not null)",
+    "embedding_coverage": _with(UNITS, "w as (select snapshot_id, unit_id in (select unit_id from candidates where dense_score is not null) has from u where unit_type in ('article', 'clause', 'point'))") + "select snapshot_id, count(*) units, count(*) filter (has) embedded, count(*) = count(*) filter (has) complete from w group by 1",
     "embedding_text": _with(DOCS, UNITS, "s as (select unit_id, unnest(path) step, unnest(range(len(path))) i from u where unit_type in ('article', 'clause', 'point'))",
         "l as (select s.unit_id, string_agg((case p.unit_type when 'part' then 'Phần' when 'chapter' then 'Chương' when 'section' then 'Mục' when 'article' then 'Điều' when 'clause' then 'Khoản' else 'Điểm' end) || ' ' || p.number, ' > ' order by i) place, count(*) n from s join u p on p.unit_id = s.step group by 1)")
     + "select u.unit_id, concat_ws(chr(10), 'Văn bản: ' || d.title, 'Vị trí: ' || place, u.title, u.text) text from u join l on l.unit_id = u.unit_id and n = len(path) join d on d.document_id = u.document_id",
     "eval_cases": _with(QUESTIONS, CANDIDATES, RANKING, CASES.format(recalls=_RECALLS, questions="q", ranking="ranking")) + "select * from cases",
     "eval_metrics": _with(QUESTIONS, CANDIDATES, RANKING, CASES.format(recalls=_RECALLS, questions="q", ranking="ranking")) + f"select {_METRICS} from cases",
+    "eval_valid_recall": _with(DOCS, UNITS, QUESTIONS, CANDIDATES, RANKING, "g as (select distinct question_id, effective_at, unnest(gold_unit_ids) unit_id from q)",
+        "v as (select question_id, unit_id, coalesce(effective_at >= effective_from and (effective_to is null or effective_at <= effective_to) and not (effective_to is null and status = 'repealed'), false) valid from g join u using (unit_id) join d on d.document_id = u.document_id)",
+        "h as (select question_id, count(*) filter (valid) in_force, count(*) filter (valid and (question_id, unit_id) in (select (query_id, unit_id) from ranking where rank <= 10)) hits from v group by 1)")
+    + "select question_id, in_force, case when in_force > 0 then round(hits / in_force, 9) end recall from h",
+    "result_keys": "select distinct question_id, 'NO_RESULT' code from gold_questions where question_id not in (select question_id from candidates where question_id is not null) union select distinct question_id, 'UNKNOWN_QUESTION' from candidates where question_id not in (select question_id from gold_questions where question_id is not null)",
     "eval_lexical": _with(QUESTIONS, ASKED, QUERIES_SQL, UNITS, BM25, "found as (select query_id, unit_id, document_id, lexical_rank rank from top join u using (unit_id) where lexical_rank <= 10)", CASES.format(recalls=_RECALLS, questions="asked", ranking="found")) + f"select {_METRICS} from cases",
     "eval_ndcg": _with(QUESTIONS, CANDIDATES, RANKING, "g as (select question_id, unnest(list_distinct(gold_unit_ids)) unit_id from q)", "n as (select question_id, count(*) n from g group by 1)",
         "x as (select question_id, sum(1.0 / log2(rank + 1)) gain from g join ranking on query_id = question_id and ranking.unit_id = g.unit_id where rank <= 10 group by 1)")

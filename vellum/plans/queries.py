@@ -249,6 +249,21 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes(_documents(spark, d), _units(spark, d)).select("label", "key")
 
 
+@query
+def graph_node_properties(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nodes(_documents(spark, d), _units(spark, d)).select("label", "key", F.explode("properties").alias("property", "value"))
+
+
+@query
+def repeated_node_keys(spark: SparkSession, d: str) -> DataFrame:
+    return graph.repeated_nodes(graph.nodes(_documents(spark, d), _units(spark, d)))
+
+
+@query
+def amends_properties(spark: SparkSession, d: str) -> DataFrame:
+    return graph.amendments(_documents(spark, d), _units(spark, d), _relations(spark, d)).select("relation_id", F.explode("properties").alias("property", "value"))
+
+
 @query
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.edges(_documents(spark, d), _units(spark, d), _relations(spark, d)).select("type", "src", "dst")
@@ -311,6 +326,17 @@ def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
     return integrity.manifest_violations(last, parsed)
 
 
+@query
+def snapshot_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The last manifest against the portal's answers as raw store, their first receipts, and the parsed documents."""
+    last = _manifest(spark, d, 0, ["content_sha256", "portal_document_guid", "normalizer_version", "parser_version", "artifact_version", "parsed_path"])
+    parsed = _documents(spark, d).withColumns({c: key_form(F.col(c)) for c in ("document_id", "content_sha256")})
+    delivered = table(spark, d, "portal_records").where("payload is not null")
+    raw = delivered.select(F.sha2("payload", 256).alias("content_sha256"), "payload")
+    receipts = artifacts.first_receipts(delivered, "payload", "delivered_at").select("content_sha256", F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("retrieved_at"))
+    return integrity.snapshot_violations(last, raw, receipts, parsed)
+
+
 @query
 def key_sets(spark: SparkSession, d: str) -> DataFrame:
     """Laws that only the unit table or only the last manifest names, by the one form of their ids."""
@@ -380,6 +406,12 @@ def exact_then_lexical(spark: SparkSession, d: str) -> DataFrame:
     return lexical.search(asked, _units(spark, d), _documents(spark, d), 5)
 
 
+@query
+def search_results(spark: SparkSession, d: str) -> DataFrame:
+    """Exact hits first, then lexical ones, with all that a reader of them needs."""
+    return lexical.described(exact_then_lexical(spark, d), _units(spark, d), _documents(spark, d))
+
+
 @query
 def dense_validate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").groupBy(dense.valid_vector(F.col("embedding"), 64).alias("valid")).agg(F.count("*").alias("vectors"))
@@ -398,6 +430,12 @@ def dense_resume(spark: SparkSession, d: str) -> DataFrame:
     return dense.missing_embeddings(inputs, _candidates(spark, d).where("dense_score is not null"), "unit_id")
 
 
+@query
+def embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Units to be embedded and those a stored dense ranking has seen, by snapshot."""
+    return dense.coverage(_units(spark, d), _candidates(spark, d).where("dense_score is not null"))
+
+
 @query
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return dense.embedding_texts(_units(spark, d), _documents(spark, d))
@@ -416,6 +454,17 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.evaluation_metrics(eval_cases(spark, d))
 
 
+@query
+def eval_valid_recall(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.valid_recall(_questions(spark, d), _ranking(spark, d), _units(spark, d), _documents(spark, d))
+
+
+@query
+def result_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Questions without stored candidates, and candidates of unknown questions."""
+    return evaluation.result_keys(_questions(spark, d), _ranking(spark, d))
+
+
 @query
 def eval_lexical(spark: SparkSession, d: str) -> DataFrame:
     """Lexical retrieval of the query set, scored: one row."""

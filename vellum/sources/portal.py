@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.request import Request, urlopen
+from urllib.parse import quote
+from urllib.request import HTTPRedirectHandler, Request, build_opener
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,39 @@ ENVELOPE = """success BOOLEAN, tabName STRING, data STRUCT<docGUId: STRING, docI
 issueDate: STRING, effectDate: STRING, expireDate: STRING, effectStatus: STRUCT<effectStatusName: STRING>, docType: STRUCT<docTypeName: STRING>,
 fields: ARRAY<STRUCT<fieldName: STRING>>, majors: ARRAY<STRUCT<majorName: STRING>>, organs: ARRAY<STRUCT<organName: STRING>>,
 signers: ARRAY<STRUCT<signerName: STRING, jobTitleName: STRING>>>"""
+# The only address that is fetched, and the bounds of a response.
+DETAIL = "https://phapluat.gov.vn/api/legal-documents/detail"
 TIMEOUT_S, MAX_BYTES = 20, 2_000_000
 
 
+def detail_url(guid: str, endpoint: str = DETAIL) -> str:
+    """The one URL that is fetched for a source: the guid is a single encoded value, whatever characters it holds."""
+    return f"{endpoint}?docGUId={quote(guid, safe='')}&tabName=noidung"
+
+
+class _NoRedirect(HTTPRedirectHandler):
+    def redirect_request(self, *_: object) -> None:
+        return None
+
+
+def select_source(catalog: DataFrame, document_id: str) -> DataFrame:
+    """The reviewed source of a document; an error if the catalog has none."""
+    found = catalog.where(F.col("expected_document_id") == document_id)
+    if found.isEmpty():
+        raise LookupError(f"{document_id} is not in the catalog")
+    return found
+
+
+def correction_count(catalog: DataFrame) -> DataFrame:
+    """One row: sources and reviewed text corrections of a catalog."""
+    return catalog.agg(F.count("*").alias("sources"), F.coalesce(F.sum(F.greatest(F.lit(0), F.coalesce(F.size("reviewed_text_replacements"), F.lit(0)))), F.lit(0)).alias("corrections"))
+
+
 def fetch_raw(url: str, timeout: float = TIMEOUT_S, most: int = MAX_BYTES) -> bytes:
-    """One response body; only https, status 200 and at most `most` bytes."""
+    """One response body; only https, status 200 and at most `most` bytes; redirects aren't followed."""
     if not url.startswith("https://"):
         raise ValueError("only https is fetched")
-    with urlopen(Request(url, headers={"Accept": "application/json"}), timeout=timeout) as response:  # noqa: S310
+    with build_opener(_NoRedirect).open(Request(url, headers={"Accept": "application/json"}), timeout=timeout) as response:  # noqa: S310
         if response.status != 200:
             raise OSError(f"FETCH: status {response.status}")
         body = response.read(most + 1)
