@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.session import cut
+
 
 def latest_rows(deliveries: DataFrame, keys: list[str], delivered: str, values: list[str]) -> DataFrame:
     """Per key the values of the row delivered last; of several at the same time the one with the largest values.
@@ -33,7 +35,8 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, compared:
     order = order.withColumn("__n", F.row_number().over(Window.orderBy("__taken", "__snapshot")))
     numbered = rows.where(F.col(key).isNotNull()).join(F.broadcast(order), F.col(snapshot) == F.col("__snapshot")).select(F.col("__n").alias("n"), F.col(key).alias("key"), F.col(delivered).alias("at"), *(F.col(c).alias(f"c_{i}") for i, c in enumerate(compared)))
     state = latest_rows(numbered, ["key", "n"], "at", [f"c_{i}" for i in range(len(compared))])
-    state = state.select("key", "n", row_hash([F.col(f"c_{i}") for i in range(len(compared))]).alias("hash"))
+    # both sides of the join read it
+    state = cut(state.select("key", "n", row_hash([F.col(f"c_{i}") for i in range(len(compared))]).alias("hash")))
     now = state.select("key", "n", F.col("hash").alias("now"))
     before = state.select("key", (F.col("n") + 1).alias("n"), F.col("hash").alias("before"))
     change = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("before"), "changed")

@@ -114,6 +114,11 @@ def _json(path: str) -> str:
     return f"json_extract_string(payload, '$.{path}')"
 
 
+def _held(path: str) -> str:
+    """A value under data that is no object and not blank."""
+    return f"case when coalesce(json_type(payload, '$.data.{path}'), 'NULL') not in ('NULL', 'OBJECT') then nullif(trim(json_extract_string(payload, '$.data.{path}')), '') end"
+
+
 def _kind(path: str) -> str:
     return f"coalesce(json_type(payload, '$.{path}'), 'NULL')"
 
@@ -169,6 +174,13 @@ ORACLES: dict[str, str] = {
     + """select file_name, 'renamed' change, o old_path, w new_path from renamed union select file_name, 'removed', path, '' from gone g where not exists (select 1 from renamed r where r.feed = g.feed and r.later = g.later and r.o = g.path)
         union select file_name, 'added', '', path from born g where not exists (select 1 from renamed r where r.feed = g.feed and r.later = g.later and r.w = g.path)
         union select b.file_name, 'retyped', b.path, b.path from a join b on a.feed = b.feed and a.later = b.later and a.path = b.path where a.kinds <> b.kinds""",
+    # every name under which a field is delivered, read off the payloads
+    "p5_filled": "with p as (select distinct record_id, feed, file_no, payload from portal_records where payload is not null and json_valid(payload)) select feed, count(*) records, " + ", ".join(
+        f"count(coalesce({', '.join(_held(x) for x in names)})) {c}" for c, names in {
+            "guid": ["docGUId"], "identity": ["docIdentity"], "name": ["docName"], "content": ["docContent.html", "docContent", "content", "noiDung", "htmlContent", "body.value"],
+            "effect_status": ["effectStatus.effectStatusName", "effectStatus.name", "effectStatusName", "effectStatus"], "issue_date": ["issueDate", "issue_date", "issuedDate", "ngayBanHanh"], "effect_date": ["effectDate"],
+            "expire_date": ["expireDate"], "doc_type": ["docType.docTypeName"], "fields": ["fields[0].fieldName"], "majors": ["majors[0].majorName"], "organs": ["organs[0].organName", "issuingOrgans[0].organName"], "signers": ["signers[0].signerName"],
+        }.items()) + ", 0 uncast from p group by 1",
     "canonical_documents": _with(RESPONSES) + f"""select record_id, {_json("data.docGUId")} portal_document_guid, {_json("data.docIdentity")} document_id, {_json("data.docName")} title,
         case when contains({_json("data.docIdentity")}, '/QH') then 'law' when contains({_json("data.docIdentity")}, '/NĐ-CP') then 'decree' when contains({_json("data.docIdentity")}, '/TT-') then 'circular' when contains({_json("data.docIdentity")}, '/QĐ-') then 'decision' else 'other' end document_type,
         {_json("data.docType.docTypeName")} portal_document_type, nullif(split_part({_names("organs", "organName")}, '; ', 1), '') issuer, {_names("fields", "fieldName")} fields, {_names("majors", "majorName")} majors, {_names("organs", "organName")} issuing_organs,

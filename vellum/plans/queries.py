@@ -105,6 +105,13 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("record_id", "feed", "file_no", *(F.array_join(c, "; ").alias(c) if kind == "array" else F.col(c) for c, (_, kind) in PORTAL_COLUMNS.items()), "other", "uncast")
 
 
+@query
+def p5_filled(spark: SparkSession, d: str) -> DataFrame:
+    """How many records of each feed have a value in each column of the consistent table."""
+    named = p5_table(spark, d)
+    return named.groupBy("feed").agg(F.count("*").alias("records"), *(F.count(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(c) for c in PORTAL_COLUMNS), F.count("uncast").alias("uncast"))
+
+
 # sources and sinks
 
 
