@@ -26,7 +26,7 @@ from vellum.session import cut
 COMMON = 0.005
 #: Words of a segment that are compared in the join (the first ones of a longer segment; what meets is verified whole).
 SEGMENT = 3
-#: Training classes of one key (unit and words) that one task joins; a key of more is spread over several.
+#: Training classes of one unit that share join keys; a unit of more is spread over several tasks.
 HOT = 5000
 #: Words of strings times strings that the dynamic program takes at once; bounds a task's memory, not the result.
 STEP = 60_000
@@ -174,7 +174,7 @@ def overlaps(records: DataFrame, key: str, text: str, split: str, units: str) ->
     other splits are in no pair; repeated rows count once; a key with several texts or splits stands for each.
 
     Strings of the same words are one class; classes are joined and verified, and records only come in at the end. A
-    key (unit and words) that more than HOT training classes have is spread over several tasks.
+    unit of more than HOT training classes is spread over several tasks.
     """
     source = records.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lower(F.trim(F.col(split))).alias("split"), F.expr(f"filter(array_distinct(`{units}`), x -> x is not null)").alias("units"))
     source = source.where("id is not null and text is not null and split in ('train', 'dev', 'test') and size(units) > 0").distinct()
@@ -198,14 +198,16 @@ def overlaps(records: DataFrame, key: str, text: str, split: str, units: str) ->
     held = listed.select("class", F.xxhash64("unit").alias("unit"), "words", "rare", "train").dropDuplicates(["class", "unit", "train"])
 
     schema = "k long, class long, place int, size int"
-    probe = held.where("not train").drop("train").mapInArrow(lambda b: Cells().segments(b), schema)
-    build = held.where("train").drop("train").mapInArrow(lambda b: Cells().substrings(b), schema)
-    hot = build.groupBy("k").count().where(F.col("count") > HOT).select("k", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    e = probe.join(hot, "k", "left").select("k", F.col("class").alias("eval_class"), "place", "size", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).alias("e")
-    t = build.join(hot, "k", "left").select("k", F.col("class").alias("train_class"), "place", "size", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part")).alias("t")
+    # a unit's training classes in parts of HOT: a key is of one part, and evaluation classes meet every part
+    sizes = held.where("train").groupBy("unit").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+    placed = held.join(sizes, "unit").withColumn("part", F.when(F.col("train"), F.array(F.pmod(F.xxhash64("class"), "parts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = placed.select("class", "words", "rare", "train", F.explode("part").alias("part"), "unit").withColumn("unit", F.xxhash64("unit", "part")).drop("part")
+    probe = spread.where("not train").drop("train").mapInArrow(lambda b: Cells().segments(b), schema)
+    build = spread.where("train").drop("train").mapInArrow(lambda b: Cells().substrings(b), schema)
+    e = probe.select("k", F.col("class").alias("eval_class"), "place", "size").alias("e")
+    t = build.select("k", F.col("class").alias("train_class"), "place", "size").alias("t")
     near = (F.abs(F.col("e.place") - F.col("t.place")) <= F.ceil(F.col("e.size") * 0.4) + 1) & (5 * F.col("t.size") >= 4 * F.col("e.size")) & (4 * F.col("t.size") <= 5 * F.col("e.size"))
-    candidates = e.join(t, (F.col("e.k") == F.col("t.k")) & (F.col("e.part") == F.col("t.part"))).where(near).select("eval_class", "train_class").distinct()
+    candidates = e.join(t, F.col("e.k") == F.col("t.k")).where(near).select("eval_class", "train_class").distinct()
     side = lambda name: texts.select(F.col("class").alias(f"{name}_class"), F.col("words").alias(f"{name}_words"))
     full = candidates.join(side("eval"), "eval_class").join(side("train"), "train_class").select("eval_class", "train_class", "eval_words", "train_words")
 
