@@ -62,43 +62,46 @@ def compact_windows(texts: list[str], run: int, gram: int) -> tuple[np.ndarray,
     return text, own.view(np.int64), at - starts[text], left, right
 
 
+def _parts(text: str, run: int) -> Iterator[tuple[int, str]]:
+    """A long text in parts (begin, part); every run begins in one of them and lies whole in it."""
+    for begin in range(0, max(1, len(text) - run + 1), STEP):
+        yield begin, text[begin : begin + STEP + run - 1]
+
+
 def _windows(source: DataFrame, run: int, gram: int) -> DataFrame:
+    """The hashes of each text's windows, once each: h, tid."""
+
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("tid").to_numpy(), batch.column("text").to_pylist()
-            # a long text is worked on in parts; every run lies whole in one of them
-            parts = [(i, begin) for i, x in enumerate(texts) for begin in range(0, max(1, len(x) - run + 1), STEP)]
-            for some in groups([min(STEP, len(texts[i])) for i, _ in parts], STEP):
-                owner, begins = (np.array(x) for x in zip(*parts[some], strict=True))
-                text, h, at, left, right = compact_windows([texts[i][b : b + STEP + run - 1] for i, b in parts[some]], run, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(ids[owner[text]]), *(pa.array(x.astype(np.int32)) for x in (at + begins[text], left, right))],
-                    names=["h", "tid", "at", "free_left", "free_right"],
-                )
+            ids = batch.column("tid").to_numpy()
+            parts = [(i, part) for i, text in enumerate(batch.column("text").to_pylist()) for _, part in _parts(text, run)]
+            for some in groups([len(x) for _, x in parts], STEP):
+                owner = np.array([i for i, _ in parts[some]])
+                text, h, *_ = compact_windows([x for _, x in parts[some]], run, gram)
+                rows = np.unique(np.stack([ids[owner[text]], h], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 0])], names=["h", "tid"])
 
-    return source.mapInArrow(steps, "h long, tid long, at int, free_left int, free_right int")
+    return source.mapInArrow(steps, "h long, tid long")
 
 
 def _run_hashes(held: DataFrame, run: int, gram: int) -> DataFrame:
-    """Every run of the given windows by the hash of all its characters: h, tid, at (where it begins); each once."""
+    """Every run of the windows of the given hashes by the hash of all its characters: h, tid, at (where it begins); each once."""
     width = run - gram
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tid, text, windows in zip(*(batch.column(c).to_pylist() for c in ("tid", "text", "windows")), strict=True):
-                # a window's least gram is least in the runs that begin from here to there
-                edge = np.zeros(len(text) + 2, np.int32)
-                for w in windows:
-                    first, last = w["at"] - min(w["free_left"], width), w["at"] + min(w["free_right"], width) - width
-                    if first <= last:
-                        edge[first] += 1
-                        edge[last + 1] -= 1
-                wanted = np.cumsum(edge) > 0
-                for begin in range(0, len(text) - run + 1, STEP):
-                    points, _ = code_points([text[begin : begin + STEP + run - 1]])
-                    h = gram_hashes(points, run)
-                    at = np.flatnonzero(wanted[begin : begin + len(h)])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), tid, np.int64)), pa.array((at + begin).astype(np.int32))], names=["h", "tid", "at"])
+            for tid, text, hashes in zip(*(batch.column(c).to_pylist() for c in ("tid", "text", "hashes")), strict=True):
+                for begin, part in _parts(text, run):
+                    _, least, at, left, right = compact_windows([part], run, gram)
+                    # a window's least gram is least in the runs that begin from first to last
+                    first, last = at - np.minimum(left, width), at + np.minimum(right, width) - width
+                    used = np.isin(least, hashes) & (first <= last)
+                    edge = np.zeros(len(part) + 2, np.int64)
+                    np.add.at(edge, first[used], 1)
+                    np.add.at(edge, last[used] + 1, -1)
+                    h = gram_hashes(code_points([part])[0], run)
+                    where = np.flatnonzero(np.cumsum(edge)[: len(h)] > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[where].view(np.int64)), pa.array(np.full(len(where), tid, np.int64)), pa.array((where + begin).astype(np.int32))], names=["h", "tid", "at"])
 
     return held.mapInArrow(steps, "h long, tid long, at int")
 
@@ -114,17 +117,16 @@ def _shared(source: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
     Runs: tid, at, holders (which texts hold the run, as a fingerprint). Copies of a text are one.
     """
     gram = max(1, run // 2)
-    # grouping and join read one exchange: both name all columns of what lies below it, and both drop nulls (there are none)
-    windows = _windows(source.select("tid", "text"), run, gram).where("h is not null").repartition("h")
-    meeting = windows.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.max(F.col("at") + F.col("free_left") + F.col("free_right")).alias("reach")).where("low < high and reach >= 0")
-    places = windows.join(meeting.select("h"), "h").groupBy("tid").agg(F.collect_set(F.struct("at", "free_left", "free_right")).alias("windows"))  # bounded by the text
-    held = cut(source.select("tid", "text").join(places, "tid").groupBy("tid").agg(F.first("text").alias("text"), F.first("windows").alias("windows")))
-    runs = _run_hashes(held, run, gram).where("h is not null").repartition("h")
+    # hashes are compared over their rows where these are sorted (16 and 20 bytes a row, spilled if many): nothing is
+    # brought together that grows with how many texts hold a run
+    alike = Window.partitionBy("h")
+    several = F.min("tid").over(alike) < F.max("tid").over(alike)
+    meeting = _windows(source.select("tid", "text"), run, gram).withColumn("several", several).where("several").groupBy("tid").agg(F.collect_set("h").alias("hashes"))  # bounded by the text
+    held = cut(source.select("tid", "text").join(meeting, "tid").groupBy("tid").agg(F.first("text").alias("text"), F.first("hashes").alias("hashes")))
     # two sums over hashes of the holders stand for the set of them
-    mixed = F.xxhash64("tid")
-    half = lambda bits: F.sum(F.shiftrightunsigned(mixed, bits).bitwiseAND(0x7FFFFFFF))
-    classes = runs.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.max("at").alias("reach"), F.xxhash64(F.count("*"), half(0), half(32)).alias("holders")).where("low < high and reach >= 0")
-    return runs.join(classes.select("h", "holders"), "h").select("tid", "at", "holders"), held.select("tid", "text")
+    half = lambda bits: F.sum(F.shiftrightunsigned(F.xxhash64("tid"), bits).bitwiseAND(0x7FFFFFFF)).over(alike)
+    runs = _run_hashes(held, run, gram).select("tid", "at", several.alias("several"), F.xxhash64(F.count("*").over(alike), half(0), half(32)).alias("holders"))
+    return runs.where("several").select("tid", "at", "holders"), held.select("tid", "text")
 
 
 def shared_pairs(records: DataFrame, key: str, text: str, run: int = 150) -> DataFrame:
