@@ -34,14 +34,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_files(spark: SparkSession, d: str) -> DataFrame:
-    """All unit texts as large files in the shared folder, cut by byte ranges under the units' limit: pieces by how they end."""
+    """All unit texts as large files in the shared folder, cut by byte ranges under the units' limit: their pieces."""
     limit = table(spark, d, "piece_limits").where("item_kind = 'unit'").first()
     texts = table(spark, d, "legal_units").where("text is not null").select(F.regexp_replace("text", r"\r\n?", "\n").alias("value"))
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/texts-{uuid4().hex}"
     texts.write.text(folder)
-    pieces = split.split_files(spark, folder, limit["max_chars"], limit["overlap_chars"])
-    return pieces.groupBy("cut").agg(F.count("*").alias("pieces"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("chars"))
+    pieces = split.split_files(spark, folder, limit["max_chars"], limit["overlap_chars"], 4 << 20)
+    return pieces.select("begin", "end", "cut", "text")
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:

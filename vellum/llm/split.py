@@ -236,8 +236,9 @@ def split_files(spark: SparkSession, folder: str, max_chars: int, overlap_chars:
                     at, place = cut, stop
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["path", "begin", "end", "cut", "text"])
 
-    jobs = spark.createDataFrame(rows, "path string, size long, start long").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism), "path", "start")
+    tasks = min(len(rows), 4 * spark.sparkContext.defaultParallelism)
+    jobs = spark.createDataFrame(rows, "path string, size long, start long").repartition(tasks, "path", "start")
     starts = jobs.mapInArrow(boundaries, "path string, size long, begin long")
     stretches = starts.withColumn("end", F.coalesce(F.lead("begin").over(Window.partitionBy("path").orderBy("begin")), F.col("size")))
     # stretches of one file are spread over all tasks
-    return stretches.repartition("path", "begin").mapInArrow(read, "path string, begin long, end long, cut string, text string")
+    return stretches.repartition(tasks, "path", "begin").mapInArrow(read, "path string, begin long, end long, cut string, text string")
