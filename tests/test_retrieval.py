@@ -134,6 +134,29 @@ def test_topk_is_taken_in_the_tasks(spark, monkeypatch):
     assert sorted(map(tuple, dense.cosine_topk(once.where("vec_id % 20 = 0"), vectors, "vec_id", "v", 4).collect())) == [r for r in best if r[0] >= 40]
 
 
+def test_ranking_is_whole_and_moves_only_the_best(spark, monkeypatch):
+    """Blocks of units, common and rare terms, ties over blocks and stored postings against brute force; only k rows a query and task move."""
+    monkeypatch.setattr(lexical, "BLOCK", 40)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 15))) + (f" rare{i % 90}" if i % 3 == 0 else "") for i in range(500)] + ["a b same"] * 60
+    rows = [(f"u{i * 7919 % 1000:03}x{i}", f"d{i % 5}", t) for i, t in enumerate(texts)]
+    held = spark.createDataFrame(rows, "unit_id string, document_id string, text string").repartition(3)
+    asked = _asked(spark, q1="a b same", q2="c rare3 d", q3="e", q4="rare6 rare9 h a", q5="none")
+    found = lexical.bm25_topk(asked, lexical.bags(held, "unit_id", "text"), 7)
+    assert max(_shuffled_rows(found)) <= 7 * 5 * 4
+    words = {u: t.split() for u, _, t in rows}
+    mean = round(sum(map(len, words.values())) / len(words), 6)
+    df = {t: sum(t in w for w in words.values()) for t in {t for w in words.values() for t in w}}
+    idf = {t: math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    want = []
+    for q, text in (("q1", "a b same"), ("q2", "c rare3 d"), ("q3", "e"), ("q4", "rare6 rare9 h a")):
+        scores = {u: sum(idf[t] * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in text.split() if t in w) for u, w in words.items()}
+        want += [(q, u, n) for n, (u, _) in enumerate(sorted(((u, round(x, 6)) for u, x in scores.items() if x), key=lambda x: (-x[1], x[0]))[:7], 1)]
+    assert sorted((r["query_id"], r["unit_id"], r["lexical_rank"]) for r in found.collect()) == sorted(want)
+    stored = lexical.bm25_topk(asked, lexical.postings(held, "unit_id", "text"), 7)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, found.collect()))
+
+
 def test_exact_hits_come_first(spark, units, documents):
     found = lexical.search(_asked(spark, q="phạt xe theo khoản 1 điều 3 1/2024/X"), units, documents, 3).orderBy("rank").collect()
     assert found[0]["unit_id"].endswith("clause::1") and found[0]["exact_rank"] == 1 and [r["rank"] for r in found] == [1, 2, 3] and found[1]["exact_rank"] is None
