@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum import cli
 from vellum.operators import dense, evaluation, graph, integrity, lexical
-from vellum.plans import ingest
+from vellum.plans import ingest, queries
 from vellum.sources import artifacts, portal
 from vellum.streaming import raw as streaming
 
@@ -157,6 +157,14 @@ def test_ranking_is_whole_and_moves_only_the_best(spark, monkeypatch):
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, found.collect()))
 
 
+def test_scored_ranking_reads_the_units_once(spark):
+    """The index has the documents of its units, so nothing beside it reads the unit table again."""
+    d = "/root/testdata/sf0.001"
+    assert not [x for x in queries.eval_lexical(spark, d).inputFiles() if "legal_units" in x]
+    found = queries._found(spark, d).select("unit_id", "document_id").distinct()
+    assert found.count() and found.subtract(spark.read.parquet(f"{d}/legal_units.parquet").select("unit_id", "document_id")).count() == 0
+
+
 def test_exact_hits_come_first(spark, units, documents):
     found = lexical.search(_asked(spark, q="phạt xe theo khoản 1 điều 3 1/2024/X"), units, documents, 3).orderBy("rank").collect()
     assert found[0]["unit_id"].endswith("clause::1") and found[0]["exact_rank"] == 1 and [r["rank"] for r in found] == [1, 2, 3] and found[1]["exact_rank"] is None
