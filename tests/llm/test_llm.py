@@ -314,6 +314,20 @@ def test_lost_bytes_and_empty_input(spark):
     assert encoding.restore_encoding(spark.createDataFrame([], "id int, text string, lang string"), "id", "text", "lang").count() == 0
 
 
+def test_all_documents_are_counted(spark):
+    """Words, letters and dictionary come from every clean document, wherever in it, whatever the partitions."""
+    rows = [(i, f"{'xe ' * 2000}đường {chr(0x4E00 + i)} từ{i}" , " VI" if i % 2 else "vi") for i in range(700)] + [(900, "đường táº¡i", "vi"), (901, "đường", None), (902, "đường fin", "fr")]
+    df = spark.createDataFrame(rows, "id int, text string, lang string")
+    vi, fr = encoding.train(df, "text", "lang")
+    assert vi.words["đường"] == 700 and vi.words["xe"] == 700 * 2000 and vi.words["từ650"] == 1 and fr.words["đường"] == 1
+    assert {chr(0x4E00 + i) for i in range(700)} <= vi.letters and "¡" not in vi.letters
+    other = encoding.train(df.repartition(7), "text", "lang")[0]
+    assert other.data == vi.data and other.letters == vi.letters and (other.words.cells == vi.words.cells).all()
+    pairs = [("a", "b", 3), ("b", "a", 2), ("b", None, 1), ("c", "a", 1)]
+    walked = [x.split() for x in encoding._walk(pairs)]
+    assert sorted((x, y) for w in walked for x, y in zip(w, w[1:], strict=False)) == sorted((x, y) for x, y, n in pairs if y for _ in range(n))
+
+
 def test_held_out_texts_are_restored(spark):
     """Clean documents that the sample didn't draw, misread along every chain, in whole or in one sentence."""
     rng = random.Random(13)

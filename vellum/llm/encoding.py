@@ -7,23 +7,28 @@ that saves most over a text, its cost included, is undone. Where no decoding is
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.arrays import TextScan
+from vellum.session import cut
 
-#: Documents per language that the dictionaries are trained on (a bounded sample of labelled rows).
-SAMPLE_DOCS = 500
-#: Characters of each sampled document that the dictionaries see (from anywhere in it), and bytes of a dictionary.
-SAMPLE_CHARS = 4000
+#: Words of the text a dictionary is trained on: its pairs of words stand in it in proportion to their counts in all documents.
+MODEL_WORDS = 150_000
+#: Cells that words are counted in, by their hash.
+CELLS = 1 << 20
 DICTIONARY_BYTES = 65_536
 LANGUAGES = ("vi", "en", "fr")
 #: Bytes a chain costs, once a text: naming one of six chains takes a third of a byte. Any letters can be read as another
@@ -190,12 +195,28 @@ SUSPECT_PAIRS = [*_USUAL_PAIRS, *_missing_pairs()]
 _SUSPECT = re.compile("|".join([SUSPECT, *(a + b for a, b in SUSPECT_PAIRS)]))
 
 
+class WordCounts:
+    """Counts of words in cells by their hash; words that share a cell are counted together."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        self.cells = cells
+
+    @staticmethod
+    def cell(word: str) -> int:
+        return zlib.crc32(word.encode("utf-8", "surrogatepass")) % CELLS
+
+    def __getitem__(self, word: str) -> int:
+        return int(self.cells[self.cell(word)])
+
+
 class Language:
     """Description lengths by a zstandard dictionary; the dictionary is made again where the object arrives."""
 
-    def __init__(self, samples: list[bytes]) -> None:
+    def __init__(self, samples: list[bytes], letters: set[str] | None = None, words: WordCounts | None = None) -> None:
+        """samples are what the dictionary is trained on; letters and counts of words are theirs where none are given."""
         text = b" ".join(samples).decode("utf-8", "ignore")
-        self.letters, self.words = set(text), Counter(re.findall(r"\w+", text.lower()))
+        self.letters = set(text) if letters is None else letters
+        self.words = Counter(re.findall(r"\w+", text.lower())) if words is None else words
         try:
             self.data = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8, level=3).as_bytes()
         except zstandard.ZstdError:  # too few samples to train on: their text itself is the dictionary
@@ -351,23 +372,93 @@ class Restorer:
         return out
 
 
-def train(documents: DataFrame, text: str, lang: str, seed: int = 0) -> list[Language]:
-    """A dictionary for each language, from those of a bounded sample of its documents that hold nothing suspicious.
+def _word_pairs(documents: DataFrame, text: str, lang: str) -> DataFrame:
+    """lang, first, second, n: neighbouring words of all labelled documents that hold nothing suspicious.
+
+    A line end is a word; the last word of a text has null behind it.
+    """
+    scan = TextScan(SUSPECT, SUSPECT_PAIRS)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, labels = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            suspicious = set(scan(texts))
+            for name in LANGUAGES:
+                clean = [unicodedata.normalize("NFC", x).encode("utf-8", "surrogatepass") for i, x in enumerate(texts) if labels[i] == name and i not in suspicious]
+                lists = pc.split_pattern(pc.replace_substring(pa.array(clean, pa.binary()).view(pa.string()), "\n", " \n "), " ")
+                words = lists.flatten().dictionary_encode()
+                codes, ends = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()[1:]
+                size = len(words.dictionary) + 1
+                behind = np.append(codes[1:], size - 1)
+                behind[ends[ends > 0] - 1] = size - 1
+                pairs, n = np.unique(codes * size + behind, return_counts=True)
+                held = pa.concat_arrays([words.dictionary, pa.nulls(1, pa.string())])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pairs), pa.string()), held.take(pa.array(pairs // size)), held.take(pa.array(pairs % size)), pa.array(n, pa.int64())], names=["lang", "first", "second", "n"])
+
+    labelled = documents.where(F.col(text).isNotNull()).select(F.lower(F.trim(F.col(lang))).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(*LANGUAGES))
+    return labelled.mapInArrow(steps, "lang string, first string, second string, n bigint").groupBy("lang", "first", "second").agg(F.sum("n").alias("n"))
+
+
+def _letters_and_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of counted words the cells of their lower-case words, and after these a place for each letter."""
+    for batch in batches:
+        counts: dict[tuple[str, int], int] = Counter()
+        for name, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            for x in re.findall(r"\w+", word.lower()):
+                counts[name, WordCounts.cell(x)] += n
+            for c in set(word):
+                counts[name, CELLS + ord(c)] += n
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["lang", "cell", "n"])
+
+
+def _walk(pairs: list[tuple[str, str | None, int]], seed: int = 0) -> list[str]:
+    """Texts that hold each pair of neighbouring words n times, by a seed; what stands in them is alike from first to last."""
+    rng = random.Random(seed)
+    behind: dict[str, list[str | None]] = {}
+    for first, second, n in sorted(pairs, key=lambda x: (x[0], x[1] or "", x[2])):
+        behind.setdefault(first, []).extend([second] * n)
+    for ways in behind.values():
+        rng.shuffle(ways)
+    starts = [word for word, ways in behind.items() for _ in ways]
+    rng.shuffle(starts)
+    out = []
+    for word in starts:
+        text = [word]
+        while word is not None and (ways := behind.get(word)):
+            word = ways.pop()
+            if word is not None:
+                text.append(word)
+        if len(text) > 1:
+            out.append(" ".join(text))
+    return out
+
+
+def train(documents: DataFrame, text: str, lang: str) -> list[Language]:
+    """A dictionary for each language, from all of its documents that hold nothing suspicious.
 
-    Documents are drawn by their seeded hash, so the sample doesn't depend on the order of files; of each a stretch of
-    SAMPLE_CHARS is seen that begins anywhere in it, by the hash again.
+    Pairs of neighbouring words, words and letters are counted over all of them. The dictionary is trained on a text of
+    about MODEL_WORDS words in which pairs stand in proportion to their counts (all of them, if there are no more than
+    that), so neither the order of rows nor their files matter.
     """
-    draw = F.xxhash64(F.lit(seed), F.col(text))
-    begin = F.pmod(draw, F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS + 1)).cast("int") + 1
-    labelled = documents.where(F.col(text).isNotNull()).select(F.lower(F.trim(F.col(lang))).alias("lang"), F.substring(F.col(text), begin, F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("draw"))
+    pairs = cut(_word_pairs(documents, text, lang))
+    total = pairs.groupBy("lang").agg(F.sum("n").alias("total"))
+    times = F.round(F.col("n") * F.least(F.lit(1.0), F.lit(float(MODEL_WORDS)) / F.col("total"))).cast("long")
+    often: dict[str, list] = {}
+    for x in pairs.join(F.broadcast(total), "lang").select("lang", "first", "second", times.alias("n")).where("n > 0").toArrow().to_pylist():
+        often.setdefault(x["lang"], []).append((x["first"], x["second"], x["n"]))
+    words = pairs.groupBy("lang", F.col("first").alias("word")).agg(F.sum("n").alias("n"))
+    counted = words.mapInArrow(_letters_and_cells, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    labels, cells, n = np.array(counted.column("lang").to_pylist(), object), counted.column("cell").to_numpy(), counted.column("n").to_numpy()
     out = []
     for name in LANGUAGES:
-        rows = labelled.where(F.col("lang") == name).orderBy("draw", "text").limit(SAMPLE_DOCS).toArrow().column("text").to_pylist()
-        # dictionaries are trained on pieces of the length that is compressed later
-        clean = [unicodedata.normalize("NFC", x) for x in rows if not _SUSPECT.search(x)]
-        samples = [x[i : i + 200].encode("utf-8", "surrogatepass") for x in clean for i in range(0, len(x), 200)]
-        if samples:
-            out.append(Language(samples))
+        if name in often:
+            own = labels == name
+            table = np.zeros(CELLS, np.uint32)
+            word = own & (cells < CELLS)
+            table[cells[word]] = np.minimum(n[word], 2**32 - 1)
+            # dictionaries are trained on pieces of the length that is compressed later
+            samples = [x[i : i + 200].encode("utf-8", "surrogatepass") for x in [" ".join(_walk(often[name])).replace(" \n ", "\n")] for i in range(0, len(x), 200)]
+            out.append(Language(samples, {chr(c - CELLS) for c in cells[own & (cells >= CELLS)]}, WordCounts(table)))
     return out
 
 
