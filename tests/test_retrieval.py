@@ -153,6 +153,11 @@ def test_ranking_is_whole_and_moves_only_the_best(spark, monkeypatch):
         scores = {u: sum(idf[t] * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in text.split() if t in w) for u, w in words.items()}
         want += [(q, u, n) for n, (u, _) in enumerate(sorted(((u, round(x, 6)) for u, x in scores.items() if x), key=lambda x: (-x[1], x[0]))[:7], 1)]
     assert sorted((r["query_id"], r["unit_id"], r["lexical_rank"]) for r in found.collect()) == sorted(want)
+    same = _asked(spark, q1="a b same", q8="Same b a b", q9="same b a")
+    bags = lexical.bags(held, "unit_id", "text")
+    assert lexical._weights(same, lexical._blocks(bags), None).count() == 1  # the same words are searched once
+    alike = lexical.bm25_topk(same, bags, 7)
+    assert sorted((r["query_id"], r["unit_id"], r["lexical_rank"]) for r in alike.collect()) == sorted((q, u, n) for q in ("q1", "q8", "q9") for p, u, n in want if p == "q1")
     stored = lexical.bm25_topk(asked, lexical.postings(held, "unit_id", "text"), 7)
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, found.collect()))
 
